@@ -7,6 +7,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs_length(a, b) -> int:
@@ -27,12 +28,12 @@ def lcs_length(a, b) -> int:
     return len(b) - row.bit_count()
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def lcs_tokens(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([lcs_length(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int64())
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def shared_tokens(a: pa.Array, b: pa.Array) -> pa.Array:
     """Size of the multiset intersection, per row and so without a shuffle of tokens."""
     pairs = zip(a.to_pylist(), b.to_pylist())

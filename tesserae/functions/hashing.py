@@ -26,5 +26,10 @@ def hash_key(seed, *keys) -> Column:
 
 
 def unit(seed, *keys) -> Column:
-    """Uniform double in [0, 1) for the key: the leading 52 bits of its digest."""
-    return F.conv(F.substring(hash_key(seed, *keys), 1, _DIGITS), 16, 10).cast("bigint") / F.lit(_SCALE)
+    """Uniform double in [0, 1) for the key: the leading 52 bits of its digest.
+
+    Never null by construction; saying so keeps Spark from adding null checks to join keys
+    that would compute the digest again.
+    """
+    bits = F.conv(F.substring(hash_key(seed, *keys), 1, _DIGITS), 16, 10).cast("bigint")
+    return F.coalesce(bits, F.lit(0)) * F.lit(1.0 / _SCALE)

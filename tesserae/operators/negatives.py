@@ -24,6 +24,8 @@ NEGATIVE_SEED = 2022
 USER_ID = ["category", "user_id"]
 PAIR = ["category", "user_id", "item_id"]
 BLOCK = 4096
+DRAWS_PER_TASK = 1_000_000
+BROADCAST_ITEMS = 250_000
 
 
 def first_slots(k: int) -> int:
@@ -40,67 +42,71 @@ def _steps(df: DataFrame, first, last, name: str) -> DataFrame:
     return blocks.withColumn(name, F.explode(F.sequence(low, high))).drop("_o")
 
 
-def _weighted_pool(seen: DataFrame) -> DataFrame:
+def _weighted_pool(seen: DataFrame, sizes: DataFrame) -> DataFrame:
     """Items with the half-open interval of interaction numbers that each one covers."""
     items = seen.groupBy("category", "item_id").agg(F.sum("n").alias("weight"))
-    return running_start(items, ["category"], "item_id", "weight", "start")
+    pool = running_start(items, ["category"], "item_id", "weight", "start")
+    return pool.join(sizes.select("category", "width"), "category")
 
 
 def _draw(users: DataFrame, pool: DataFrame | None, seed: int) -> DataFrame:
-    """``category, user_id, slot, item_id`` for slots 0..slots-1 of each user."""
-    slots = _steps(users, F.lit(0).cast("bigint"), F.col("slots") - 1, "slot")
+    """``category, user_id, target, slot, item_id`` for slots 0..slots-1 of each user.
+
+    The user table is small and its draws are many, so it is spread by the number of draws:
+    adaptive execution would go by its bytes and leave them to one task.
+    """
+    spark = users.sparkSession
+    draws = users.agg(F.sum("slots")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, draws // DRAWS_PER_TASK)
+    spread = users.repartition(tasks, *USER_ID)
+    slots = _steps(spread, F.lit(0).cast("bigint"), F.col("slots") - 1, "slot")
     drawn = slots.withColumn("at", F.floor(unit(seed, *USER_ID, "slot") * F.col("mass")))
     if pool is None:
-        return drawn.select(*USER_ID, "slot", (F.col("at") + 1).alias("item_id"))
+        return drawn.select(*USER_ID, "target", "slot", (F.col("at") + 1).alias("item_id"))
     # Interval lookup as an equi-join: with blocks as wide as the mean weight there are at most
     # two intervals per block on average, whatever the weights.
-    width = F.ceil(F.col("mass") / F.col("items"))
-    blocked = drawn.withColumn("block", F.floor(F.col("at") / width))
+    blocked = drawn.withColumn("block", F.coalesce(F.floor(F.col("at") / F.col("width")), F.lit(0)))
     hit = (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("weight"))
     return (
-        blocked.join(_pool_blocks(pool, users), ["category", "block"])
+        blocked.join(_sized(_pool_blocks(pool), pool), ["category", "block"])
         .filter(hit)
-        .select(*USER_ID, "slot", "item_id")
+        .select(*USER_ID, "target", "slot", "item_id")
     )
 
 
-def _pool_blocks(pool: DataFrame, users: DataFrame) -> DataFrame:
-    sizes = users.select("category", "mass", "items").distinct()
-    width = F.ceil(F.col("mass") / F.col("items"))
-    return _steps(
-        pool.join(sizes, "category").select(
-            "category",
-            "item_id",
-            "start",
-            "weight",
-            F.floor(F.col("start") / width).alias("_first"),
-            F.floor((F.col("start") + F.col("weight") - 1) / width).alias("_last"),
-        ),
-        F.col("_first"),
-        F.col("_last"),
-        "block",
-    ).drop("_first", "_last")
+def _pool_blocks(pool: DataFrame) -> DataFrame:
+    first = F.floor(F.col("start") / F.col("width"))
+    last = F.floor((F.col("start") + F.col("weight") - 1) / F.col("width"))
+    blocks = _steps(pool.withColumn("_f", first).withColumn("_l", last), F.col("_f"), F.col("_l"), "block")
+    return blocks.select("category", "block", "item_id", "start", "weight")
+
+
+def _sized(side: DataFrame, pool: DataFrame) -> DataFrame:
+    """``side``, at most a few rows per pool item, as the build side of a join with draws.
+
+    Spark takes generated rows for as small as the rows they come from and might broadcast the
+    draws, so the choice is made here: broadcast a pool of bounded size, else merge.
+    """
+    return F.broadcast(side) if pool.count() <= BROADCAST_ITEMS else side.hint("merge")
 
 
 def _unseen(draws: DataFrame, seen: DataFrame) -> DataFrame:
     """First slot of each drawn item that the user has not seen."""
-    first = draws.groupBy(*PAIR).agg(F.min("slot").alias("slot"))
+    first = draws.groupBy(*PAIR).agg(F.min("slot").alias("slot"), F.max("target").alias("target"))
     return first.join(seen, PAIR, "left_anti")
 
 
-def _take(candidates: DataFrame, users: DataFrame, k: int, *order) -> DataFrame:
+def _take(candidates: DataFrame, k: int, *order) -> DataFrame:
     place = F.row_number().over(W.partitionBy(*USER_ID).orderBy(*order))
     return (
         candidates.withColumn("neg_pos", place)
-        .filter(F.col("neg_pos") <= k)
-        .join(users.select(*USER_ID, "target"), USER_ID)
-        .filter(F.col("neg_pos") <= F.col("target"))
+        .filter((F.col("neg_pos") <= k) & (F.col("neg_pos") <= F.col("target")))
         .select(*USER_ID, "neg_pos", "item_id")
     )
 
 
 def _remaining(users: DataFrame, seen: DataFrame) -> DataFrame:
-    """Every unseen item of the given users, block of ids by block of ids."""
+    """Every unseen item of the given users, one block of ids at a time."""
     last_block = F.floor((F.col("items") - 1) / BLOCK)
     blocks = users.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
     known = (
@@ -112,7 +118,7 @@ def _remaining(users: DataFrame, seen: DataFrame) -> DataFrame:
     ids = F.sequence(low, F.least(F.col("items"), low + (BLOCK - 1)))
     known_ids = F.coalesce("_known", F.array().cast("array<bigint>"))
     return blocks.join(known, [*USER_ID, "_b"], "left").select(
-        *USER_ID, F.explode(F.array_except(ids, known_ids)).alias("item_id")
+        *USER_ID, "target", F.explode(F.array_except(ids, known_ids)).alias("item_id")
     )
 
 
@@ -130,9 +136,10 @@ def sample_negatives(
         raise ValueError(f"unknown sampling mode {mode!r}")
     pairs = encoded.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"))
     seen = store(pairs, "seen")
-    pool = store(_weighted_pool(seen), "pool") if mode == "pop" else None
     mass = F.sum("n") if mode == "pop" else F.max("item_id")
     sizes = seen.groupBy("category").agg(F.max("item_id").alias("items"), mass.alias("mass"))
+    sizes = sizes.withColumn("width", F.ceil(F.col("mass") / F.col("items")))
+    pool = store(_weighted_pool(seen, sizes), "pool") if mode == "pop" else None
     target = F.least(F.lit(k).cast("bigint"), F.col("items") - F.col("own"))
     users = store(
         seen.groupBy(*USER_ID)
@@ -146,7 +153,7 @@ def sample_negatives(
     )
     parts = []
     while True:
-        picks = store(_take(_unseen(_draw(users, pool, seed), seen), users, k, "slot"), "picks")
+        picks = store(_take(_unseen(_draw(users, pool, seed), seen), k, "slot"), "picks")
         got = picks.groupBy(*USER_ID).agg(F.count(F.lit(1)).alias("_got"))
         short = users.join(got, USER_ID, "left").filter(
             F.coalesce("_got", F.lit(0)) < F.col("target")
@@ -164,14 +171,15 @@ def sample_negatives(
 
 
 def _fill(users: DataFrame, pool: DataFrame | None, seen: DataFrame, seed: int, k: int) -> DataFrame:
-    drawn = _unseen(_draw(users, pool, seed), seen)
-    rest = _remaining(users, seen).join(drawn, PAIR, "left")
+    drawn = _unseen(_draw(users, pool, seed), seen).drop("target")
+    rest = _remaining(users, seen).join(drawn.hint("merge"), PAIR, "left")
     clock = -F.log(1 - unit(seed, F.lit("fill"), *PAIR))
     if pool is not None:
-        rest = rest.join(pool.select("category", "item_id", "weight"), ["category", "item_id"])
+        weights = pool.select("category", "item_id", "weight")
+        rest = rest.join(_sized(weights, pool), ["category", "item_id"])
         clock = clock / F.col("weight")
     rest = rest.withColumn("_clock", clock)
-    return _take(rest, users, k, F.col("slot").asc_nulls_last(), "_clock", "item_id")
+    return _take(rest, k, F.col("slot").asc_nulls_last(), "_clock", "item_id")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

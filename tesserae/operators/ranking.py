@@ -69,9 +69,10 @@ def positions(
     """
     local = F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("bigint")
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    hot = store(sizes.filter(F.col("_n") > hot_rows).drop("_n"), "hot-groups")
+    hot = sizes.filter(F.col("_n") > hot_rows).drop("_n")
     if hot.isEmpty():
         return df.withColumn(name, local)
+    hot = store(hot, "hot-groups")
     cold_rows = df.join(hot, group, "left_anti").withColumn(name, local)
     hot_rows_df = df.join(hot, group, "left_semi")
     return cold_rows.unionByName(_range_positions(hot_rows_df, group, order, name))

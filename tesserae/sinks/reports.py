@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import code_tokens
@@ -40,6 +40,15 @@ def generated(rows: DataFrame) -> DataFrame:
     return rows.select("product_text", "semantic_ids", "semantic_id_tokens", "semantic_id_text")
 
 
+def _ordered_map(key: str, value: str) -> Column:
+    """Map in ascending order of integer keys, which JSON spells as strings."""
+    entries = F.array_sort(
+        F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))),
+        lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0),
+    )
+    return F.map_from_arrays(F.transform(entries, lambda e: e["k"].cast("string")), entries["v"])
+
+
 def category_report(codes: DataFrame, size: int, code_range: int, top: int = TOP_SHARED) -> DataFrame:
     """``category, report`` for every category and ``ALL``: metrics, collapse and histograms.
 
@@ -49,19 +58,15 @@ def category_report(codes: DataFrame, size: int, code_range: int, top: int = TOP
     tuples = with_all(tuple_counts(codes, size))
     keyed = "category"
     sharing = multiplicity_histogram(tuples).groupBy(keyed).agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("sharing", "num_tuples")))
-        ).alias("multiplicity_histogram")
+        _ordered_map("sharing", "num_tuples").alias("multiplicity_histogram")
     )
     shared = most_shared(tuples, top).groupBy(keyed).agg(
         F.array_sort(F.collect_list(F.struct("place", "ids", "n"))).alias("_top")
     )
     per_position = position_histogram(tuples).groupBy(keyed, "pos").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("_h")
-    )
-    histograms = per_position.groupBy(keyed).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("pos", "_h")))).alias("histograms")
+        _ordered_map("code", "n").alias("_h")
     )
+    histograms = per_position.groupBy(keyed).agg(_ordered_map("pos", "_h").alias("histograms"))
     metrics = quality(tuples, code_range)
     joined = metrics.join(sharing, keyed).join(shared, keyed).join(histograms, keyed, "left")
     top_list = F.transform("_top", lambda t: F.struct(t["ids"].alias("tuple"), t["n"].alias("count")))
