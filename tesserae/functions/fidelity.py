@@ -1,4 +1,4 @@
-"""Token overlap and longest common subsequence of two token arrays."""
+"""Token overlap and longest common subsequence of two normalised texts."""
 
 from __future__ import annotations
 
@@ -28,15 +28,21 @@ def lcs_length(a, b) -> int:
     return len(b) - row.bit_count()
 
 
+def _words(texts: pa.Array) -> list[list[str]]:
+    """Tokens of normalised texts. Whole texts cross to Python faster than arrays of words."""
+    return [(text or "").split() for text in texts.to_pylist()]
+
+
 @F.arrow_udf(T.LongType())
 def lcs_tokens(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([lcs_length(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int64())
+    pairs = zip(_words(a), _words(b))
+    return pa.array([lcs_length(x, y) for x, y in pairs], pa.int64())
 
 
 @F.arrow_udf(T.LongType())
 def shared_tokens(a: pa.Array, b: pa.Array) -> pa.Array:
     """Size of the multiset intersection, per row and so without a shuffle of tokens."""
-    pairs = zip(a.to_pylist(), b.to_pylist())
+    pairs = zip(_words(a), _words(b))
     return pa.array([(Counter(x) & Counter(y)).total() for x, y in pairs], pa.int64())
 
 

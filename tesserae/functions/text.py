@@ -19,6 +19,7 @@ ANSWER_PREFIX = "The product name and/or its metadata are: "
 
 # Java's \s is ASCII. Together with these it is the Unicode whitespace set of Python strings.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+SPACES = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 
 # Decimal digits of other scripts and the ASCII digits they stand for.
 _OTHER_DIGITS = "".join(
@@ -32,7 +33,8 @@ def _col(value) -> Column:
 
 
 def strip(text) -> Column:
-    return F.regexp_replace(_col(text), rf"\A{SPACE}+|{SPACE}+\z", "")
+    """Without whitespace at either end."""
+    return F.trim(_col(text), F.lit(SPACES))
 
 
 def clean(text) -> Column:
@@ -48,7 +50,8 @@ def stringify(value, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.MapType):
         text = stringify(F.map_values(value), T.ArrayType(dtype.valueType))
     elif isinstance(dtype, T.StructType):
-        text = F.concat_ws(" ", *[stringify(value[f.name], f.dataType) for f in dtype.fields])
+        fields = F.concat_ws(" ", *[stringify(value[f.name], f.dataType) for f in dtype.fields])
+        text = F.when(value.isNotNull(), fields)
     elif isinstance(dtype, T.BooleanType):
         text = F.initcap(value.cast("string"))
     elif isinstance(dtype, T.StringType):

@@ -54,7 +54,8 @@ def drop_under_core(
     """One pass: drop under-core users and items, both judged on the counts before the pass."""
     users = user_counts(interactions).filter(F.col("n") < user_core)
     items = item_counts(interactions).filter(F.col("n") < item_core)
-    return interactions.join(users, USER, "left_anti").join(items, ITEM, "left_anti")
+    kept = interactions.join(users, USER, "left_anti").join(items, ITEM, "left_anti")
+    return kept.select(*interactions.columns)
 
 
 def kcore(
@@ -101,7 +102,8 @@ def kcore(
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     users = dropped.filter("side = 'user'").select("category", F.col("key").alias("user"))
     items = dropped.filter("side = 'item'").select("category", F.col("key").alias("item"))
-    return rows.join(users, USER, "left_anti").join(items, ITEM, "left_anti")
+    kept = rows.join(users, USER, "left_anti").join(items, ITEM, "left_anti")
+    return kept.select(*rows.columns)
 
 
 def sequences(interactions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

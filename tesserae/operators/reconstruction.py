@@ -16,12 +16,11 @@ def score(pairs: DataFrame, prefix: str = ANSWER_PREFIX, metrics=METRICS) -> Dat
     out = pairs.withColumn("_p", normalize_answer("prediction", prefix)).withColumn(
         "_r", normalize_answer("reference", prefix)
     )
-    out = out.withColumn("_pt", tokens("_p")).withColumn("_rt", tokens("_r"))
-    out = out.withColumn("_np", F.size("_pt")).withColumn("_nr", F.size("_rt"))
+    out = out.withColumn("_np", F.size(tokens("_p"))).withColumn("_nr", F.size(tokens("_r")))
     if "recon_token_f1" in metrics:
-        out = out.withColumn("_shared", shared_tokens("_pt", "_rt"))
+        out = out.withColumn("_shared", shared_tokens("_p", "_r"))
     if "recon_rouge_l" in metrics:
-        out = out.withColumn("_lcs", lcs_tokens("_pt", "_rt"))
+        out = out.withColumn("_lcs", lcs_tokens("_p", "_r"))
     values = {
         "recon_exact_match": lambda: (F.col("_p") == F.col("_r")).cast("double"),
         "recon_token_f1": lambda: f1_score("_shared", "_np", "_nr"),

@@ -53,7 +53,9 @@ def read_interactions(
     spark: SparkSession, paths: dict[str, str], floor: float = RATING_FLOOR
 ) -> DataFrame:
     """``category, user, item, ts, seq`` of rated reviews; rows with a missing or bad field drop."""
-    reviews = read_dicts(spark, paths, REVIEW_FIELDS, "reviews").dropna(subset=REVIEW_FIELDS.names)
+    reviews = read_dicts(spark, paths, REVIEW_FIELDS, "reviews")
+    for name in REVIEW_FIELDS.names:  # dropna would also drop a NaN rating, which passes the floor
+        reviews = reviews.filter(F.col(name).isNotNull())
     return rating_filter(reviews, "overall", floor).select(
         "category",
         F.col("reviewerID").alias("user"),
