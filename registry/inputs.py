@@ -8,25 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.hashing import unit
+from tesserae.workspace import spread
 
 CODE_SEED = 7
 CODES = 16
 POSITIONS = 3
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+KEYS = {"lineitem": ["l_orderkey"], "events": ["event_id"], "documents": ["doc_id"], "conversations": ["conv_id"]}
+
+
+def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """The columns of a table; the large ones spread over the cores when they come in few files."""
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = rows.select(*columns) if columns else rows
+    return spread(rows, *KEYS[name]) if name in KEYS else rows
 
 
 def epoch(column: str):
     """Seconds since 1970 of a timestamp without time zone."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column))
+    days = F.unix_date(F.col(column).cast("date")).cast("bigint")
+    return days * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
 
 
 def purchases(spark: SparkSession, sf: str) -> DataFrame:
     """Interactions: customers buying parts; the part type is the category, the discount the rating."""
-    lines = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"
+    lines = table(
+        spark, sf, "lineitem",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount",
     )
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     parts = table(spark, sf, "part").select("p_partkey", "p_type")
@@ -55,7 +64,7 @@ def one_category(rows: DataFrame) -> DataFrame:
 
 def clicks(spark: SparkSession, sf: str) -> DataFrame:
     """Interactions from the event log: a small item pool that most users have largely seen."""
-    return table(spark, sf, "events").select(
+    return table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "props").select(
         F.col("event_type").alias("category"),
         F.col("user_id").cast("string").alias("user"),
         F.get_json_object("props", "$.k").alias("item"),
@@ -116,7 +125,7 @@ def hashed_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation turn as a prediction of the next one."""
-    turns = table(spark, sf, "conversations")
+    turns = table(spark, sf, "conversations", "conv_id", "turn", "text")
     following = turns.select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference")
     )
@@ -135,6 +144,6 @@ def near_copies(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("lang") == "fr", F.regexp_replace(text, "[ai]n", "on"))
         .otherwise(text)
     )
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id", "lang", "text").select(
         "doc_id", changed.alias("prediction"), text.alias("reference")
     )

@@ -127,7 +127,8 @@ def event_sequences(spark, sf):
 
 def numbered(rows: DataFrame):
     """(sequenced, users, items, encoded) of an interaction frame."""
-    sequenced = store(it.sequences(store(rows, "interactions")), "sequenced")
+    placed = it.sequences(store(rows, "interactions"))
+    sequenced = store(placed.select("category", "user", "item", "pos"), "sequenced")
     users = store(idm.user_ids(sequenced), "user-ids")
     items = store(idm.item_ids(sequenced, users), "item-ids")
     return sequenced, users, items, idm.encode(sequenced, users, items)
@@ -308,7 +309,7 @@ def split_capped(spark, sf):
 
 @query
 def clean_text(spark, sf):
-    return inp.table(spark, sf, "documents").select("doc_id", tx.clean("text").alias("cleaned"))
+    return inp.table(spark, sf, "documents", "doc_id", "text").select("doc_id", tx.clean("text").alias("cleaned"))
 
 
 @query
@@ -373,7 +374,7 @@ def prompt_records(spark, sf):
 
 @query
 def guessing_prompts(spark, sf):
-    prompts = inp.table(spark, sf, "documents").select(
+    prompts = inp.table(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", guessing_prompt("text", 7, 4, 32).alias("prompt")
     )
     return prompts.select("doc_id", flat_turns("prompt").alias("prompt"))
@@ -405,7 +406,8 @@ def code_tokens(spark, sf):
 def parse_ids(spark, sf):
     fallback = F.array(F.col("n_chars").cast("int"), F.lit(5))
     parsed = tx.parse_ids("text", 6, 99, fallback)
-    return inp.table(spark, sf, "documents").select("doc_id", F.array_join(
+    documents = inp.table(spark, sf, "documents", "doc_id", "text", "n_chars")
+    return documents.select("doc_id", F.array_join(
         F.transform(parsed, lambda x: x.cast("string")), ",").alias("ids"))
 
 
@@ -420,8 +422,8 @@ def parse_formatted(spark, sf):
 def code_lookup(spark, sf):
     tokens = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda p: F.pmod(
         F.col("l_partkey") * 7 + F.col("l_suppkey") * p + F.col("l_linenumber"), F.lit(40)) + 500)
-    rows = inp.table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", tokens.alias("tokens"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = inp.table(spark, sf, "lineitem", *key).select(*key, tokens.alias("tokens"))
     known = [500 + 2 * i for i in range(16)]
     codes = tx.lookup_codes("tokens", known, 3)
     return rows.withColumn("ids", codes).select(
@@ -767,7 +769,7 @@ def make_hash_predict():
 
 
 def generated(spark: SparkSession, sf: str) -> DataFrame:
-    texts_ = inp.table(spark, sf, "conversations").select(
+    texts_ = inp.table(spark, sf, "conversations", "conv_id", "turn", "text").select(
         "conv_id", "turn", F.col("text").alias("product_text"),
         F.array(F.struct(F.md5("text").alias("m"))).alias("prompt"),
     )

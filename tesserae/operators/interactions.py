@@ -66,37 +66,49 @@ def kcore(
 ) -> DataFrame:
     """The interactions that remain when passes are repeated until no count is under its core.
 
-    The fixpoint does not depend on the order in which keys are dropped. Only (user, item, n)
-    edges are iterated over. A round writes the keys that fell under their core; while these are
+    The fixpoint does not depend on the order in which keys are dropped. The first round counts
+    the interactions; if nothing falls they are returned as they are. Later rounds iterate over
+    (user, item, n) edges. A round writes the keys that fell under their core; while these are
     few the edges are not rewritten but anti-joined against them, which Spark does as a
     broadcast join when the written keys are small. The edges are rewritten once the dropped
     keys exceed ``rewrite_share`` of them. The driver only sees row counts.
     """
-    spark = interactions.sparkSession
-    base = store(interactions.groupBy(*USER, "item").agg(F.count(F.lit(1)).alias("n")), "edges")
+    folders = [new_path(interactions.sparkSession, "dropped")]
+    ones = interactions.select(*USER, "item", F.lit(1).cast("bigint").alias("n"))
+    fallen = _fallen(ones, user_core, item_core)
+    dropped = _add(fallen, folders[0])
+    if dropped.isEmpty():
+        return interactions
+    edges = _without(ones, dropped).groupBy(*USER, "item").agg(F.sum("n").alias("n"))
+    base, gone, gone_rows = store(edges, "edges"), None, 0
     base_rows = base.count()
-    folders = [new_path(spark, "dropped")]
-    dropped, dropped_rows = None, 0
+    folders.append(new_path(interactions.sparkSession, "dropped"))
     while True:
-        alive = base if dropped is None else _without(base, dropped)
-        users = alive.groupBy(*USER).agg(F.sum("n").alias("n")).filter(F.col("n") < user_core)
-        items = alive.groupBy(*ITEM).agg(F.sum("n").alias("n")).filter(F.col("n") < item_core)
-        fallen = users.select(F.lit("user").alias("side"), "category", F.col("user").alias("key"))
-        fallen = fallen.unionByName(
-            items.select(F.lit("item").alias("side"), "category", F.col("item").alias("key"))
-        )
-        fallen.write.mode("append").parquet(folders[-1])
-        dropped = read_stored(fallen, folders[-1])
-        rows = dropped.count()
-        if rows == dropped_rows:
-            break
-        dropped_rows = rows
+        alive = base if gone is None else _without(base, gone)
+        gone = _add(_fallen(alive, user_core, item_core), folders[-1])
+        rows = gone.count()
+        if rows == gone_rows:
+            return _without(interactions, read_stored(fallen, *folders))
+        gone_rows = rows
         if rows > rewrite_share * base_rows:
-            base = store(_without(base, dropped), "edges")
+            base, gone, gone_rows = store(_without(base, gone), "edges"), None, 0
             base_rows = base.count()
-            folders.append(new_path(spark, "dropped"))
-            dropped, dropped_rows = None, 0
-    return _without(interactions, read_stored(fallen, *folders))
+            folders.append(new_path(interactions.sparkSession, "dropped"))
+
+
+def _fallen(edges: DataFrame, user_core: int, item_core: int) -> DataFrame:
+    """``side, category, key`` of the users and items whose count is under the core."""
+    sides = []
+    for side, floor in (("user", user_core), ("item", item_core)):
+        counts = edges.groupBy("category", F.col(side).alias("key")).agg(F.sum("n").alias("n"))
+        sides.append(counts.filter(F.col("n") < floor).select(F.lit(side).alias("side"), "category", "key"))
+    return sides[0].unionByName(sides[1])
+
+
+def _add(keys: DataFrame, folder: str) -> DataFrame:
+    """Appends the keys to the folder and returns all keys in it."""
+    keys.write.mode("append").parquet(folder)
+    return read_stored(keys, folder)
 
 
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def sample_negatives(
     seen = store(pairs, "seen")
     mass = F.sum("n") if mode == "pop" else F.max("item_id")
     sizes = seen.groupBy("category").agg(F.max("item_id").alias("items"), mass.alias("mass"))
-    sizes = sizes.withColumn("width", F.ceil(F.col("mass") / F.col("items")))
+    sizes = store(sizes.withColumn("width", F.ceil(F.col("mass") / F.col("items"))), "sizes")
     pool = store(_weighted_pool(seen, sizes), "pool") if mode == "pop" else None
     target = F.least(F.lit(k).cast("bigint"), F.col("items") - F.col("own"))
     users = store(

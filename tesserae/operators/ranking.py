@@ -64,10 +64,12 @@ def positions(
     """1-based position inside ``group`` by ``order``, which must be unique inside a group.
 
     Groups up to ``hot_rows`` rows are numbered by a plain window. Larger ones are range
-    partitioned on (group, order) and numbered piece by piece. ``df`` is read twice, so pass a
-    stored table when it is costly to compute.
+    partitioned on (group, order) and numbered piece by piece. ``df`` is read up to three times,
+    so pass a stored table, whose row count is known without reading it.
     """
     local = F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("bigint")
+    if df.count() <= hot_rows:
+        return df.withColumn(name, local)
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.filter(F.col("_n") > hot_rows).drop("_n")
     if hot.isEmpty():

@@ -53,7 +53,8 @@ def preprocess(
     """All categories in one run. Frames used more than once are written and scanned again."""
     interactions = store(interactions, "interactions")
     core = store(it.kcore(interactions, user_core, item_core), "core")
-    sequenced = store(it.sequences(core), "sequenced")
+    placed = it.sequences(core).select("category", "user", "item", "pos")
+    sequenced = store(placed, "sequenced")
     users = store(ids.user_ids(sequenced, seed), "user-ids")
     items = store(ids.item_ids(sequenced, users), "item-ids")
     encoded = store(ids.encode(sequenced, users, items), "encoded")

@@ -41,3 +41,13 @@ def store(df: DataFrame, label: str = "step") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return read_stored(df, path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions a table that has fewer files than the cluster has cores.
+
+    A file with one row group is read by one task, which would then do all the work up to the
+    next shuffle. Tables with enough files are returned unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
