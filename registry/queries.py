@@ -631,49 +631,54 @@ def text_inputs(spark, sf):
     return counted.select("product_text", "n", (F.col("_first") == 0).alias("comes_first"))
 
 
-def written_artifacts(spark: SparkSession, sf: str):
-    """(folder, categories) with all artifacts of the k-core interactions."""
+def written_artifacts(spark: SparkSession, sf: str, *wanted: str):
+    """(folder, categories) with the wanted artifacts of the k-core interactions."""
     sequenced, users, items, encoded = numbered(core(spark, sf))
     encoded = store(encoded, "encoded")
-    known = store(im.latest(inp.product_versions(spark, sf), items), "latest")
-    rows = at.attribute_rows(known)
-    names = store(at.attribute_ids(rows), "attribute-ids")
     root = new_path(spark, "artifacts")
-    snk.write_sequences(encoded, root)
-    snk.write_negatives(ng.sample_negatives(encoded, 20), root)
-    snk.write_item_attributes(at.item_attributes(known, rows, names, items), root)
-    snk.write_id_maps(users, items, names, root, chunk=100)
+    if art.SEQUENCES in wanted:
+        snk.write_sequences(encoded, root)
+    if art.NEGATIVES in wanted:
+        snk.write_negatives(ng.sample_negatives(encoded, 20), root)
+    if art.ITEM_ATTRIBUTES in wanted or art.ID_MAPS in wanted:
+        known = store(im.latest(inp.product_versions(spark, sf), items), "latest")
+        rows = at.attribute_rows(known)
+        names = store(at.attribute_ids(rows), "attribute-ids")
+        if art.ITEM_ATTRIBUTES in wanted:
+            snk.write_item_attributes(at.item_attributes(known, rows, names, items), root)
+        if art.ID_MAPS in wanted:
+            snk.write_id_maps(users, items, names, root, chunk=100)
     return root, list(category_folders(spark, sf, root))
 
 
 @query
 def artifact_sequences(spark, sf):
-    root, categories = written_artifacts(spark, sf)
+    root, categories = written_artifacts(spark, sf, art.SEQUENCES)
     return art.read_sequences(spark, root, categories).withColumn("item_ids", joined("item_ids"))
 
 
 @query
 def artifact_negatives(spark, sf):
-    root, categories = written_artifacts(spark, sf)
+    root, categories = written_artifacts(spark, sf, art.NEGATIVES)
     return art.read_negatives(spark, root, categories).withColumn("neg_items", joined("neg_items"))
 
 
 @query
 def artifact_item_ids(spark, sf):
-    root, categories = written_artifacts(spark, sf)
+    root, categories = written_artifacts(spark, sf, art.ID_MAPS)
     return art.read_item_ids(spark, root, categories)
 
 
 @query
 def artifact_item_attributes(spark, sf):
-    root, categories = written_artifacts(spark, sf)
+    root, categories = written_artifacts(spark, sf, art.ITEM_ATTRIBUTES)
     lists = art.read_item_attributes(spark, root, categories)
     return lists.withColumn("attribute_ids", joined("attribute_ids"))
 
 
 @query
 def sequence_corpus(spark, sf):
-    root, categories = written_artifacts(spark, sf)
+    root, categories = written_artifacts(spark, sf, art.SEQUENCES, art.NEGATIVES)
     config = {"dataset_mode": "sequential", "sequential_dir": root, "categories": categories}
     records = corpus.load_corpus(spark, config)
     return records.withColumn("item_ids", joined("item_ids")).withColumn("neg_items", joined("neg_items"))
@@ -681,7 +686,7 @@ def sequence_corpus(spark, sf):
 
 @query
 def item_corpus(spark, sf):
-    root, categories = written_artifacts(spark, sf)
+    root, categories = written_artifacts(spark, sf, art.ID_MAPS)
     config = {
         "dataset_version": 2014,
         "metadata_dir": write_product_lines(spark, sf),
