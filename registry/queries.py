@@ -435,6 +435,10 @@ def code_lookup(spark, sf):
 QUALITY = ("codebook_perplexity", "active_code_ratio", "collision_rate", "uniqueness")
 
 
+def all_tuples(spark: SparkSession, sf: str, size: int) -> DataFrame:
+    return cd.with_all(store(cd.tuple_counts(inp.hashed_codes(spark, sf), size), "tuples"))
+
+
 @query
 def codebook_quality(spark, sf):
     return rounded(cd.whole_quality(inp.hashed_codes(spark, sf), SIZE, RANGE), *QUALITY)
@@ -442,8 +446,7 @@ def codebook_quality(spark, sf):
 
 @query
 def quality_by_category(spark, sf):
-    tuples = cd.with_all(cd.tuple_counts(inp.hashed_codes(spark, sf), SIZE))
-    return rounded(cd.quality(tuples, RANGE), *QUALITY)
+    return rounded(cd.quality(store(all_tuples(spark, sf, SIZE), "tuples"), RANGE), *QUALITY)
 
 
 @query
@@ -461,18 +464,18 @@ def quality_capped(spark, sf):
 
 @query
 def collapse_histogram(spark, sf):
-    return cd.multiplicity_histogram(cd.with_all(cd.tuple_counts(inp.hashed_codes(spark, sf), 2)))
+    return cd.multiplicity_histogram(all_tuples(spark, sf, 2))
 
 
 @query
 def most_shared(spark, sf):
-    top = cd.most_shared(cd.with_all(cd.tuple_counts(inp.hashed_codes(spark, sf), 2)), 20)
+    top = cd.most_shared(all_tuples(spark, sf, 2), 20)
     return top.withColumn("ids", joined("ids", ","))
 
 
 @query
 def position_histogram(spark, sf):
-    return cd.position_histogram(cd.with_all(cd.tuple_counts(inp.hashed_codes(spark, sf), SIZE)))
+    return cd.position_histogram(all_tuples(spark, sf, SIZE))
 
 
 @query

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.workspace import store
+
 ALL = "*"
 TOP_SHARED = 20
 
@@ -26,7 +28,10 @@ def tuple_counts(codes: DataFrame, size: int, keys: tuple[str, ...] = ("category
 
 
 def with_all(tuples: DataFrame) -> DataFrame:
-    """Adds the tuple counts over all categories under the category ``ALL``."""
+    """Adds the tuple counts over all categories under the category ``ALL``.
+
+    ``tuples`` is read twice and the result feeds several metrics, so pass a stored table.
+    """
     everything = tuples.groupBy("ids").agg(F.sum("n").alias("n"))
     return tuples.unionByName(everything.select(F.lit(ALL).alias("category"), "ids", "n"))
 
@@ -95,7 +100,7 @@ def quality(
 def whole_quality(codes: DataFrame, size: int, code_range: int) -> DataFrame:
     """One row of quality metrics over all items; also for no items at all."""
     spark = codes.sparkSession
-    tuples = tuple_counts(codes, size, ()).withColumn("category", F.lit(ALL))
+    tuples = store(tuple_counts(codes, size, ()).withColumn("category", F.lit(ALL)), "tuples")
     one = spark.range(1).select(F.lit(ALL).alias("category"))
     return quality(tuples, code_range, groups=one)
 
@@ -142,7 +147,7 @@ def batch_health(codes: DataFrame, size: int, code_range: int, batch: str = "bat
 
     The first two look at all codes of a row, the last only at the first ``size``.
     """
-    rows = codes.groupBy(batch, "ids").agg(F.count(F.lit(1)).alias("n"))
+    rows = store(codes.groupBy(batch, "ids").agg(F.count(F.lit(1)).alias("n")), "batch-tuples")
     usage = _perplexity(code_usage(rows, (batch,)), [batch])
     cut = rows.groupBy(batch, F.slice("ids", 1, size).alias("ids")).agg(F.sum("n").alias("n"))
     unique = cut.groupBy(batch).agg(
@@ -159,7 +164,7 @@ def batch_health(codes: DataFrame, size: int, code_range: int, batch: str = "bat
 
 def position_perplexity(codes: DataFrame, size: int, batch: str = "batch_id") -> DataFrame:
     """Per batch and position: perplexity of the known codes there, 0 when there is none."""
-    histogram = position_histogram(tuple_counts(codes, size, (batch,)), (batch,))
+    histogram = store(position_histogram(tuple_counts(codes, size, (batch,)), (batch,)), "histogram")
     known = _perplexity(histogram.filter(F.col("code") >= 0), [batch, "pos"])
     every = histogram.select(batch, "pos").distinct()
     return every.join(known, [batch, "pos"], "left").select(

@@ -16,6 +16,7 @@ from tesserae.operators.codes import (
     tuple_counts,
     with_all,
 )
+from tesserae.workspace import store
 
 
 def write_metrics(row: DataFrame, path: str) -> None:
@@ -55,7 +56,7 @@ def category_report(codes: DataFrame, size: int, code_range: int, top: int = TOP
     The maps are bounded: positions by codes, ``top`` tuples, and at most sqrt(2 n) different
     sharing counts for n items.
     """
-    tuples = with_all(tuple_counts(codes, size))
+    tuples = store(with_all(store(tuple_counts(codes, size), "tuples")), "tuples")
     keyed = "category"
     sharing = multiplicity_histogram(tuples).groupBy(keyed).agg(
         _ordered_map("sharing", "num_tuples").alias("multiplicity_histogram")

@@ -50,4 +50,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     next shuffle. Tables with enough files are returned unchanged, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+    if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *keys)
