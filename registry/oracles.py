@@ -195,6 +195,11 @@ def attribute_id_parts(source: str) -> dict[str, str]:
     }
 
 
+ATTRIBUTE_STATS = """SELECT category, coalesce(any_value(a.n), 0) AS attributes, round(coalesce(avg(l.n), 0.0), 6) AS avg_attributes,
+              count(l.item_id) AS matched, count(*) AS items, round(count(l.item_id) / count(*), 6) AS match_ratio
+       FROM iid LEFT JOIN lists l USING (category, item_id)
+       LEFT JOIN (SELECT category, count(*) AS n FROM aid GROUP BY category) a USING (category)
+       GROUP BY category"""
 ATTRIBUTE_IDS = {**KNOWN, **attribute_id_parts("attrs")}
 ORACLES["attribute_ids"] = with_parts(
     ATTRIBUTE_IDS, "SELECT category, attribute, attribute_id, num FROM aid"
@@ -204,11 +209,7 @@ ORACLES["item_attributes"] = with_parts(
 )
 ORACLES["attribute_stats"] = with_parts(
     {**KNOWN, **FREQUENT, **attribute_id_parts("kept")},
-    """SELECT category, coalesce(any_value(a.n), 0) AS attributes, round(coalesce(avg(l.n), 0.0), 6) AS avg_attributes,
-              count(l.item_id) AS matched, count(*) AS items, round(count(l.item_id) / count(*), 6) AS match_ratio
-       FROM iid LEFT JOIN lists l USING (category, item_id)
-       LEFT JOIN (SELECT category, count(*) AS n FROM aid GROUP BY category) a USING (category)
-       GROUP BY category""",
+    ATTRIBUTE_STATS,
 )
 
 # --- negatives ---
@@ -580,6 +581,15 @@ CORE_ATTRIBUTES = {
 ORACLES["artifact_item_attributes"] = with_parts(
     CORE_ATTRIBUTES, "SELECT category, item_id, coalesce(attribute_ids, '') AS attribute_ids FROM lists"
 )
+ORACLES["preprocess_run"] = with_parts(
+    CORE_ATTRIBUTES,
+    f"""SELECT s.*, a.attributes, a.avg_attributes, a.matched, a.match_ratio, n.negatives
+        FROM ({STATS}) s JOIN ({ATTRIBUTE_STATS}) a USING (category)
+        JOIN (SELECT category, sum(least(5, n_items - own))::BIGINT AS negatives
+              FROM (SELECT category, user_id, count(DISTINCT item_id) AS own FROM enc GROUP BY ALL)
+              JOIN (SELECT category, count(*) AS n_items FROM iid GROUP BY category) USING (category)
+              GROUP BY category) n USING (category)""",
+)
 ORACLES["sequence_corpus"] = with_parts(
     {**RECORDS, **split_parts("SELECT DISTINCT category, user_id::VARCHAR AS user_id FROM enc", "category, user_id", DOWN)},
     """SELECT category, user_id, 0::BIGINT AS chunk_no, item_ids, coalesce(neg_items, '') AS neg_items, split, "index"

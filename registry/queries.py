@@ -22,6 +22,7 @@ from tesserae.operators import quantize as qz
 from tesserae.operators import reconstruction as rc
 from tesserae.operators import splits as sp
 from tesserae.plans import corpus, evaluation
+from tesserae.plans.preprocess import preprocess
 from tesserae.sinks import artifacts as snk
 from tesserae.sinks import reports
 from tesserae.sources import artifacts as art
@@ -687,6 +688,15 @@ def sequence_corpus(spark, sf):
     return records.withColumn("item_ids", joined("item_ids")).withColumn("neg_items", joined("neg_items"))
 
 
+@query
+def preprocess_run(spark, sf):
+    result = preprocess(inp.interactions(spark, sf), inp.product_versions(spark, sf), negatives=5)
+    drawn = result.negatives.groupBy("category").agg(F.count(F.lit(1)).alias("negatives"))
+    found = result.attribute_stats.drop("items")
+    joined_ = result.stats.join(found, "category").join(drawn, "category")
+    return rounded(joined_, "avg_len", "sparsity", "avg_attributes", "match_ratio")
+
+
 @query
 def item_corpus(spark, sf):
     root, categories = written_artifacts(spark, sf, art.ID_MAPS)
