@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import simhash
+from tesserae.llm import divergence, simhash
+from tesserae.llm.substrings import Repeats
 
 
 def read(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
@@ -17,5 +18,15 @@ def op5_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup,)}
+def op6_distribution_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """Base counts, distances from the language references and verdict of every document."""
+    return divergence.judge(read(spark, sf, "documents", "doc_id", "text", "lang"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What every document keeps without 50-word passages that start in a document with a smaller id."""
+    return Repeats(read(spark, sf, "documents", "doc_id", "text")).judged()
+
+
+QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op6_distribution_divergence, op8_substring_dedup)}
 ORACLES: dict[str, str] = {}

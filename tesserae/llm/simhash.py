@@ -22,7 +22,9 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +44,6 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """``doc_id`` and ``fp``, the fingerprint as a signed 64-bit integer, per row of ``docs``."""
 
     def run(batches):
-        import numpy as np
-        import xxhash
-
         digest = xxhash.xxh64_intdigest
 
         def fingerprint(text) -> int:

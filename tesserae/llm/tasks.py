@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
@@ -38,8 +39,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def text_offsets(values: pa.Array):
     """Byte offsets of the texts of a string or binary array, one more than its rows."""
-    import numpy as np
-
     wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
     kind = np.int64 if wide else np.int32
     if not len(values):
@@ -50,7 +49,6 @@ def text_offsets(values: pa.Array):
 
 def text_bytes(values: pa.Array):
     """(bytes, offsets) of a string or binary array as numpy arrays without a copy; nulls are empty."""
-    import numpy as np
 
     offsets = text_offsets(values)
     buffer = values.buffers()[2]
@@ -61,3 +59,20 @@ def text_bytes(values: pa.Array):
 def strings(values: pa.Array) -> list[str]:
     """The texts of a column as a list; nulls are empty."""
     return ["" if v is None else v for v in values.to_pylist()]
+
+
+def settled(df, label: str):
+    """``workspace.store`` that also removes the shuffle files of the write as soon as it is complete.
+
+    The frame is not run again, so nothing is lost with them, and a chain of steps holds the
+    shuffle files of one step at a time.
+    """
+    from tesserae.workspace import store
+
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return store(df, label)
+    finally:
+        conf.set(key, before)
