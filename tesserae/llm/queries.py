@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import divergence, simhash
+from tesserae.llm import divergence, packing, simhash
 from tesserae.llm.substrings import Repeats
 
 
@@ -12,6 +13,12 @@ def read(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
 
 
+def op3_hierarchical_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's token pieces, packed into sequences of at most 1024 tokens."""
+    found = packing.pieces(read(spark, sf, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(found)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Class of every document under fingerprints of 3-word shingles that differ in at most 3 bits."""
     found = simhash.near_duplicates(read(spark, sf, "documents", "doc_id", "text"))
@@ -28,5 +35,5 @@ def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return Repeats(read(spark, sf, "documents", "doc_id", "text")).judged()
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op6_distribution_divergence, op8_substring_dedup)}
+QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = {}
