@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserae.llm import divergence, packing, simhash
+from tesserae.llm import divergence, packing, sentences, simhash, topk, urls
+from tesserae.llm.sql import ORACLES  # noqa: F401
 from tesserae.llm.substrings import Repeats
 
 
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
 def read(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
 
@@ -19,6 +29,11 @@ def op3_hierarchical_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(found)
 
 
+def op4_norm_bucketed_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th vector with all other vectors."""
+    return topk.search(read(spark, sf, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Class of every document under fingerprints of 3-word shingles that differ in at most 3 bits."""
     found = simhash.near_duplicates(read(spark, sf, "documents", "doc_id", "text"))
@@ -30,10 +45,20 @@ def op6_distribution_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.judge(read(spark, sf, "documents", "doc_id", "text", "lang"))
 
 
+def op7_digest_array_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Host, path, longest fitting rule and verdict of every page address."""
+    return urls.judge(read(spark, sf, "pages", "page_id", "url"), URL_RULES)
+
+
 def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """What every document keeps without 50-word passages that start in a document with a smaller id."""
     return Repeats(read(spark, sf, "documents", "doc_id", "text")).judged()
 
 
+def op9_offset_preserving_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of every document's SentencePiece ids and of the text that they decode to."""
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    return sentences.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op")}
-ORACLES: dict[str, str] = {}
