@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import divergence, packing, sentences, simhash, topk, urls
+from tesserae.llm import archives, divergence, factorization, packing, sentences, simhash, topk, urls
 from tesserae.llm.sql import ORACLES  # noqa: F401
 from tesserae.llm.substrings import Repeats
 
@@ -23,6 +23,18 @@ def read(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
 
 
+def op1_factorization_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out fold."""
+    docs, labels = read(spark, sf, "documents", "doc_id", "text", "n_chars"), read(spark, sf, "labels", "doc_id", "quality")
+    return factorization.score(docs, labels)
+
+
+def op2_seekable_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page written to seekable bundles and read back."""
+    found = archives.read(archives.write(read(spark, sf, "pages", "page_id", "url", "html")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_hierarchical_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's token pieces, packed into sequences of at most 1024 tokens."""
     found = packing.pieces(read(spark, sf, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))

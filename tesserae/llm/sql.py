@@ -1,5 +1,21 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+OP2 = """
+WITH d AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), b AS (
+    SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, (5 * i + 1)::INTEGER, 5))::BIGINT) AS fives FROM d
+), e AS (
+    SELECT *, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((fives[i // 4 + 1] >> (5 * (3 - i % 4))::INTEGER) & 31)::INTEGER + 1, 1)), 'string_agg', '') AS payload_digest FROM b
+), g AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_bytes, hex) AS largest FROM e
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < largest THEN largest END AS refers_to
+FROM g
+"""
+
 OP4 = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x
@@ -57,6 +73,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 ORACLES = {
+    "op2_seekable_archives": OP2,
     "op4_norm_bucketed_top_k": OP4,
     "op7_digest_array_urls": OP7,
     "op8_substring_dedup": OP8,
