@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import archives, divergence, factorization, packing, sentences, simhash, topk, urls
+from tesserae.llm import archives, divergence, extraction, factorization, packing, sentences, simhash, topk, urls
 from tesserae.llm.sql import ORACLES  # noqa: F401
 from tesserae.llm.substrings import Repeats
 
@@ -73,4 +73,9 @@ def op9_offset_preserving_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op10_boosted_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract(read(spark, sf, "pages", "page_id", "url", "html"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op")}
