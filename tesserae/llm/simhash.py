@@ -174,6 +174,7 @@ def near_duplicates(
     least = grouped.groupBy("root").agg(F.min("least").alias("component"))
     moved = grouped.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component")
     named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    named = store(named, "fingerprint-classes")  # both sides of the last join are plain scans, whose hot keys Spark splits
     return marked.join(named, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
