@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.tasks import cached, settled, slices
+from tesserae.llm.tasks import cached, filled, kept_rows, settled, slices
 from tesserae.llm.words import Words, mixed, window_starts, windows
 
 # Fixed values of the base rules.
@@ -184,6 +184,52 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def measured(text: pa.Array, langs: list, known: dict, limits: Limits) -> dict[str, np.ndarray]:
+    """All result columns of the texts of one slice."""
+    words = Words(text)
+    keys, owner, classes = words.keys(), words.texts_of_words(), class_counts(words)
+    symbols = np.isin(np.arange(256), list(SYMBOLS))
+    inside = (words.data & 0xC0) != 0x80
+    text_of = np.repeat(np.arange(words.n_texts), np.diff(words.offsets))
+    per_text = lambda mask: np.bincount(text_of[mask], minlength=words.n_texts)
+    repeats = repeated_words(words, keys)
+    langs = [x if x in known else ALL for x in langs]
+    by_class, by_word = np.zeros(words.n_texts), np.zeros(words.n_texts)
+    for lang in set(langs):
+        own = np.array([x == lang for x in langs])
+        reference, total, common, counts = known[lang]
+        by_class[own] = distances(classes[own], reference)
+        mine = own[owner]
+        asked = keys[mine].view(np.int64)
+        place = np.searchsorted(common, asked)
+        hit = place < len(common)
+        hit[hit] = common[place[hit]] == asked[hit]
+        place = np.where(hit, place, len(common))
+        width = len(common) + 1
+        number = np.cumsum(own) - 1
+        table = np.bincount(number[owner[mine]] * width + place, minlength=int(own.sum()) * width)
+        by_word[own] = distances(table.reshape(-1, width), np.append(counts, total - counts.sum()))
+    failed = (words.counts < LEAST_WORDS) | (100 * repeats > REPEAT_PERCENT * words.counts)
+    far = (by_class > limits.class_distance) & (classes.sum(axis=1) >= limits.class_chars)
+    far |= (by_word > limits.word_distance) & (words.counts >= limits.word_words)
+    return {
+        "n_words": words.counts.astype(np.int64),
+        "word_chars": per_text(words.solid & inside).astype(np.int64),
+        "n_symbols": per_text(symbols[words.data]).astype(np.int64),
+        "n_dup_lines": np.array([repeated_lines(t) for t in text.cast(pa.large_binary()).to_pylist()], np.int64),
+        "n_repeat_words": repeats,
+        "class_distance": by_class,
+        "word_distance": by_word,
+        "base_failed": failed,
+        "kept": ~failed & ~far,
+    }
+
+
+def language_references(docs: DataFrame, text_column: str, lang_column: str, limits: Limits) -> dict:
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
+    return references(docs.select(F.col(lang_column).cast("string").alias("lang"), text), limits)
+
+
 def judge(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -192,54 +238,19 @@ def judge(
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Per row: ``doc_id``, the base counts, both distances, ``base_failed`` and ``kept``."""
+    known = language_references(docs, text_column, lang_column, limits)
     rows = docs.select(
         F.col(id_column).alias("doc_id"),
         F.col(lang_column).cast("string").alias("lang"),
-        F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
+        F.col(text_column).cast("string").alias("text"),
     )
-    known = references(rows.select("lang", "text"), limits)
 
     def run(batches):
-        symbols = np.isin(np.arange(256), list(SYMBOLS))
         for batch in slices(batches, "text"):
-            words = Words(batch.column("text"))
-            keys, owner, classes = words.keys(), words.texts_of_words(), class_counts(words)
-            inside = (words.data & 0xC0) != 0x80
-            text_of = np.repeat(np.arange(words.n_texts), np.diff(words.offsets))
-            per_text = lambda mask: np.bincount(text_of[mask], minlength=words.n_texts)
-            repeats = repeated_words(words, keys)
-            langs = [x if x in known else ALL for x in batch.column("lang").to_pylist()]
-            by_class, by_word = np.zeros(words.n_texts), np.zeros(words.n_texts)
-            for lang in set(langs):
-                own = np.array([x == lang for x in langs])
-                reference, total, common, counts = known[lang]
-                by_class[own] = distances(classes[own], reference)
-                mine = own[owner]
-                found = np.searchsorted(common, keys[mine].view(np.int64))
-                hit = found < len(common)
-                hit[hit] = common[found[hit]] == keys[mine].view(np.int64)[hit]
-                place = np.where(hit, found, len(common))
-                width = len(common) + 1
-                number = np.cumsum(own) - 1
-                table = np.bincount(number[owner[mine]] * width + place, minlength=int(own.sum()) * width)
-                by_word[own] = distances(table.reshape(-1, width), np.append(counts, total - counts.sum()))
-            failed = (words.counts < LEAST_WORDS) | (100 * repeats > REPEAT_PERCENT * words.counts)
-            far = (by_class > limits.class_distance) & (classes.sum(axis=1) >= limits.class_chars)
-            far |= (by_word > limits.word_distance) & (words.counts >= limits.word_words)
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            columns = {
-                "doc_id": batch.column("doc_id"),
-                "n_words": pa.array(words.counts, pa.int64()),
-                "word_chars": pa.array(per_text(words.solid & inside), pa.int64()),
-                "n_symbols": pa.array(per_text(symbols[words.data]), pa.int64()),
-                "n_dup_lines": pa.array([repeated_lines(t) for t in texts], pa.int64()),
-                "n_repeat_words": pa.array(repeats, pa.int64()),
-                "class_distance": pa.array(by_class),
-                "word_distance": pa.array(by_word),
-                "base_failed": pa.array(failed),
-                "kept": pa.array(~failed & ~far),
-            }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            found = measured(filled(batch, "text"), batch.column("lang").to_pylist(), known, limits)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *map(pa.array, found.values())], ["doc_id", *found]
+            )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
@@ -247,3 +258,13 @@ def judge(
         f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
         "n_repeat_words bigint, class_distance double, word_distance double, base_failed boolean, kept boolean",
     )
+
+
+def passing(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", limits: Limits = Limits()) -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``judge`` keeps."""
+    known = language_references(docs, text_column, lang_column, limits)
+    return kept_rows(
+        docs,
+        text_column,
+        lambda batch: measured(filled(batch, text_column), batch.column(lang_column).to_pylist(), known, limits)["kept"],
+    )

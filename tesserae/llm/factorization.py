@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.divergence import CLASSES, class_counts, repeated_lines, repeated_words
-from tesserae.llm.tasks import settled, slices
+from tesserae.llm.tasks import filled, kept_rows, settled, slices
 from tesserae.llm.words import Words
 
 FOLDS = 5
@@ -111,12 +111,13 @@ def statistics(words: Words, keys, texts: list[bytes], metadata) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(batch: pa.RecordBatch, text: str = "text", metadata: str = "metadata"):
     """(text, feature, value) triples of the texts of a batch."""
-    words = Words(batch.column("text"))
+    values = filled(batch, text)
+    words = Words(values)
     keys, owner = words.keys(), words.texts_of_words()
-    texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-    metadata = np.nan_to_num(batch.column("metadata").to_numpy(zero_copy_only=False).astype(float))
+    texts = values.cast(pa.large_binary()).to_pylist()
+    metadata = np.nan_to_num(batch.column(metadata).to_numpy(zero_copy_only=False).astype(float))
     pairs, counts = np.unique(owner * WORD_BINS + (keys % np.uint64(WORD_BINS)).astype(np.int64), return_counts=True)
     of = pairs // WORD_BINS
     weight = np.sqrt(counts)
@@ -241,7 +242,31 @@ def learn(rows: DataFrame, labels: DataFrame, settings: Settings) -> Machine | f
     return machine
 
 
-def score(
+def scorer(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_column: str,
+    text_column: str,
+    metadata_column: str,
+    label_column: str,
+    settings: Settings,
+):
+    """Fits a machine; returns a function for tasks from (batch, text column, metadata column) to scores."""
+    named = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label"))
+    machine = learn(table_of(docs, id_column, text_column, metadata_column), named, settings)
+    parts = machine if isinstance(machine, float) else (machine.bias, machine.weights, machine.factors)
+    model = docs.sparkSession.sparkContext.broadcast(parts)  # bounded by WORD_BINS, the statistics and the rank
+
+    def scores(batch, text, metadata):
+        if isinstance(model.value, float):
+            return np.full(batch.num_rows, model.value)
+        found = Machine(*model.value).scores(*features(batch, text, metadata), batch.num_rows)
+        return 1 / (1 + np.exp(-np.clip(found, -30, 30)))
+
+    return scores
+
+
+def passing(
     docs: DataFrame,
     labels: DataFrame,
     fit_on: DataFrame | None = None,
@@ -251,24 +276,29 @@ def score(
     label_column: str = "quality",
     settings: Settings = Settings(),
 ) -> DataFrame:
-    """Per row ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted``.
+    """The rows of ``docs``, with all columns, that are predicted to be good; fitted on ``fit_on`` if given."""
+    source = docs if fit_on is None else fit_on
+    scores = scorer(source, labels, id_column, text_column, metadata_column, label_column, settings)
+    least = settings.threshold
+    return kept_rows(docs, text_column, lambda batch: scores(batch, text_column, metadata_column) >= least)
+
 
-    ``labels`` names documents of ``fit_on`` (``docs`` by default) by ``id_column``.
-    """
+def score(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    metadata_column: str = "n_chars",
+    label_column: str = "quality",
+    settings: Settings = Settings(),
+) -> DataFrame:
+    """Per row ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted``; ``labels`` names rows by ``id_column``."""
     rows = table_of(docs, id_column, text_column, metadata_column)
-    source = rows if fit_on is None else table_of(fit_on, id_column, text_column, metadata_column)
-    named = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label"))
-    machine = learn(source, named, settings)
-    parts = machine if isinstance(machine, float) else (machine.bias, machine.weights, machine.factors)
-    model = docs.sparkSession.sparkContext.broadcast(parts)  # bounded by WORD_BINS, the statistics and the rank
+    scores = scorer(docs, labels, id_column, text_column, metadata_column, label_column, settings)
 
     def run(batches):
-        own = model.value if isinstance(model.value, float) else Machine(*model.value)
         for batch in slices(batches, "text"):
-            if isinstance(own, float):
-                found = np.full(batch.num_rows, own)
-            else:
-                found = 1 / (1 + np.exp(-np.clip(own.scores(*features(batch), batch.num_rows), -30, 30)))
+            found = scores(batch, "text", "metadata")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

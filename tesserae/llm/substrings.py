@@ -203,10 +203,16 @@ class Repeats:
         digest = F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha256", "whole_sha256"))
         return rows.select("doc_id", "n_words", removed.alias("n_removed"), digest.alias("kept_sha256"))
 
-    def texts(self) -> DataFrame:
-        """All rows: ``doc_id``, ``text`` and ``n_removed``; texts that lose nothing stay as they are, others are kept words joined by a space."""
-        emptied = self.copies.select("d", "k", F.lit("").alias("kept"), F.col("n_words").alias("n_removed"))
-        news = self.changed.select("d", "k", "kept", "n_removed").unionByName(emptied)
-        rows = self.rows.join(news, ["d", "k"], "left")
-        lost = F.coalesce("n_removed", F.lit(0).cast("bigint"))
-        return rows.select("doc_id", F.coalesce("kept", "text").alias("text"), lost.alias("n_removed"))
+    def rewritten(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+        """``docs`` with all columns; texts that lose words become their kept words, joined by a space."""
+        emptied = self.copies.select("d", "k", F.lit("").alias("kept"))
+        news = self.changed.select("d", "k", "kept").unionByName(emptied)
+        text = F.col(f"rows.`{text_column}`").cast("string")
+        rows = docs.alias("rows").join(
+            news.alias("news"),
+            (F.coalesce(F.col(f"rows.`{id_column}`").cast("bigint"), F.lit(LAST)) == F.col("news.d"))
+            & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("news.k")),
+            "left",
+        )
+        changed = F.coalesce(F.col("news.kept"), F.col(f"rows.`{text_column}`")).alias(text_column)
+        return rows.select(*[changed if c == text_column else F.col(f"rows.`{c}`") for c in docs.columns])

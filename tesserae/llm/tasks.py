@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 
@@ -61,6 +62,22 @@ def strings(values: pa.Array) -> list[str]:
     return ["" if v is None else v for v in values.to_pylist()]
 
 
+def filled(batch: pa.RecordBatch, column: str) -> pa.Array:
+    """A text column without nulls: they become empty texts."""
+    values = batch.column(column)
+    return pc.fill_null(values, "") if values.null_count else values
+
+
+def kept_rows(docs, column: str, mask: Callable[[pa.RecordBatch], list]):
+    """The rows of ``docs``, with all their columns, for which ``mask`` of a slice of them is true; no shuffle."""
+
+    def run(batches):
+        for batch in slices(batches, column):
+            yield batch.filter(pa.array(mask(batch), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def settled(df, label: str):
     """``workspace.store`` that also removes the shuffle files of the write as soon as it is complete.
 
