@@ -4,25 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import simhash
+from tesserae.llm import divergence, factorization, packing, simhash
+from tesserae.llm.substrings import Repeats
 from tesserae.workspace import store
 
+ROW = "_pipeline_row"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and resemble their language."""
+    return divergence.passing(docs)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled documents of the corpus, predicts to be good."""
+    corpus = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return factorization.passing(docs, labels, fit_on=corpus)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate class."""
-    classes = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """One document of each near-duplicate class: that with the smallest id, of rows with equal ids one text."""
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("key")).alias(ROW)
+    classes = simhash.near_duplicates(docs.select(row, "text"), id_column=ROW)
+    first = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(ROW)).distinct()
+    kept = docs.withColumn(ROW, row).join(first, ROW, "left_semi")
+    return kept.dropDuplicates([ROW]).select(docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the passages that start in a document with a smaller id; emptied ones stay, empty."""
+    found = Repeats(docs.select("doc_id", "text"))
+    return found.rewritten(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents in sequences of at most 1024 tokens."""
+    found = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(found)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
     ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
 ]
 
-#: Fingerprints use a 64-bit hash that the comparison engine lacks, so no SQL can express the stages.
+#: A fitted model, 64-bit fingerprints and token ids cannot be expressed in SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
