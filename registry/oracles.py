@@ -269,6 +269,8 @@ ORACLES["sequence_records"] = with_parts(
        FROM items_of LEFT JOIN neg_of USING (category, user_id)""",
 )
 
+ORACLES["sequence_records_chunked"] = f"SELECT * EXCLUDE (chunk_no) FROM ({ORACLES['sequence_records']})"
+
 # --- shuffles and splits ---
 PART_ROWS = "SELECT p_type AS category, p_partkey AS seq FROM part"
 
@@ -439,10 +441,23 @@ PAIRS_OF = f"SELECT category, ids[1:2] AS ids FROM ({BOTH})"
 ORACLES["codebook_quality"] = quality(EVERY.format(CODES))
 ORACLES["quality_by_category"] = quality(BOTH)
 ORACLES["quality_unknown"] = quality(f"SELECT category, [-1, -1, -1] AS ids FROM ({CODES})")
+METRIC_NAMES = (
+    "codebook_perplexity", "active_codes", "dead_codes", "active_code_ratio",
+    "collision_rate", "uniqueness", "num_unique_ids", "num_items",
+)
+TEXT_NAMES = ("recon_exact_match", "recon_token_f1", "recon_rouge_l")
+
+
+def in_file(sql: str, names: tuple[str, ...] = METRIC_NAMES) -> str:
+    """Metrics under the names that files use."""
+    return "SELECT " + ", ".join(f'{n} AS "eval/{n}"' for n in names) + f" FROM ({sql})"
+
+
 ORACLES["quality_capped"] = quality(
     f"""SELECT '*' AS category, ids[1:2] AS ids FROM (SELECT *, row_number() OVER (ORDER BY {digest(42, 'vec_id')}, vec_id)
         AS place FROM ({CODES})) WHERE place < 300"""
 )
+ORACLES["quality_capped"] = in_file(ORACLES["quality_capped"])
 ORACLES["collapse_histogram"] = f"""
 SELECT category, n AS sharing, count(*) AS num_tuples
 FROM (SELECT category, ids, count(*) AS n FROM ({PAIRS_OF}) GROUP BY ALL) GROUP BY category, n"""
@@ -544,10 +559,16 @@ MEANS = f"""SELECT round(coalesce(avg((p = r)::INTEGER), 0.0), 6) AS recon_exact
 ORACLES["recon_summary"] = with_parts(TURN_PARTS, MEANS)
 ORACLES["recon_examples"] = f"SELECT doc_id, prediction, reference FROM ({COPIES}) ORDER BY doc_id LIMIT 5"
 REPORT = f"SELECT q.* EXCLUDE (category, max_sharing), m.* FROM ({quality(EVERY.format(CODES))}) q, ({MEANS}) m"
-ORACLES["rec_report"] = with_parts(TURN_PARTS, REPORT)
+ORACLES["rec_report"] = in_file(with_parts(TURN_PARTS, REPORT), METRIC_NAMES + TEXT_NAMES)
 
 # --- sources and sinks ---
 SURVIVING = "NOT ends_with(description, 'size 17')"
+ORACLES["split_layout_free"] = """
+SELECT count(*) AS rows, ceil(0.25 * count(*))::BIGINT AS evals, 0::BIGINT AS differing FROM part"""
+ORACLES["file_order_ties"] = """
+SELECT p_partkey || ' ' || p_name AS value, pieces,
+       row_number() OVER (PARTITION BY pieces ORDER BY CASE WHEN p_size < 5 THEN 0 WHEN p_size < 40 THEN 1 ELSE 2 END, p_partkey) AS pos
+FROM part, (SELECT unnest(['small', 'large']) AS pieces)"""
 ORACLES["loose_dict_scan"] = with_parts(
     {"products": PRODUCTS},
     f"""SELECT category, asin, title, description, brand,
@@ -600,12 +621,9 @@ ORACLES["item_corpus"] = with_parts(
     {**META, **CORE_IDS, "allowed": KNOWN["allowed"]},
     normal("products", "") + f" WHERE {SURVIVING} AND (category, asin) IN (SELECT category, asin FROM allowed)",
 )
-ORACLES["metrics_json"] = ORACLES["codebook_quality"]
+ORACLES["metrics_json"] = in_file(ORACLES["codebook_quality"])
 ORACLES["rec_metrics_json"] = ORACLES["rec_report"]
-REPORT_CODES = with_parts(
-    split_parts(CODES, "vec_id", UP, "category"),
-    """SELECT category, ids[1:2] AS ids FROM parted WHERE split = 'train' AND "index" < 150""",
-)
+REPORT_CODES = f"SELECT category, ids[1:2] AS ids FROM ({CODES})"
 REPORT_BOTH = f"SELECT * FROM ({REPORT_CODES}) UNION ALL SELECT '*', ids FROM ({REPORT_CODES})"
 ORACLES["report_json"] = f"""
 SELECT q.*, h.histogram_bars, s.top_count, s.top_tuple, p.first_position_codes
@@ -616,7 +634,11 @@ JOIN (SELECT category, n AS top_count, array_to_string(ids, ',') AS top_tuple FR
       (SELECT category, ids, count(*) AS n FROM ({REPORT_BOTH}) GROUP BY ALL)
       QUALIFY row_number() OVER (PARTITION BY category ORDER BY n DESC, ids) = 1) s USING (category)
 JOIN (SELECT category, count(DISTINCT ids[1])::INTEGER AS first_position_codes FROM ({REPORT_BOTH}) GROUP BY category) p
-USING (category)"""
+USING (category)
+UNION ALL BY NAME
+SELECT 'absent' AS category, 0.0 AS codebook_perplexity, 0 AS active_codes, 16 AS dead_codes, 0.0 AS active_code_ratio,
+       0.0 AS collision_rate, 0.0 AS uniqueness, 0 AS num_unique_ids, 0 AS num_items, 0 AS max_sharing, 0 AS histogram_bars,
+       0 AS first_position_codes"""
 ORACLES["assignments_jsonl"] = f"""
 SELECT category || '-' || vec_id AS product_name, array_to_string(ids, ',') AS ids, {TOKENS} AS tokens FROM ({CODES})"""
 
@@ -657,6 +679,11 @@ VECTOR_PARTS = {
 ORACLES["residual_codes"] = with_parts(
     VECTOR_PARTS, "SELECT vec_id, v1.code || ',' || v2.code AS ids FROM v1 JOIN v2 USING (vec_id)"
 )
+ORACLES["residual_codes_nulls"] = f"""
+SELECT vec_id, CASE WHEN vec_id % 7 > 0 THEN ids END AS ids FROM ({ORACLES['residual_codes']})"""
+ORACLES["codebook_fit"] = """
+SELECT level::INTEGER AS level, count(*) AS items, true AS error_falls, true AS known_codes, 8::BIGINT AS codes
+FROM embeddings, (SELECT unnest([0, 1]) AS level) GROUP BY level"""
 ORACLES["residual_error"] = with_parts(
     {**VECTOR_PARTS, "rebuilt_v": "SELECT *, list_transform(list_zip(e, v), lambda z: z[1] - z[2]) AS rebuilt FROM v2"},
     """SELECT vec_id, round(list_dot_product(v, v), 6) AS squared_error,

@@ -21,12 +21,14 @@ from tesserae.operators import negatives as ng
 from tesserae.operators import quantize as qz
 from tesserae.operators import reconstruction as rc
 from tesserae.operators import splits as sp
+from tesserae.operators.ranking import positions
 from tesserae.plans import corpus, evaluation
 from tesserae.plans.preprocess import preprocess
 from tesserae.sinks import artifacts as snk
 from tesserae.sinks import reports
 from tesserae.sources import artifacts as art
 from tesserae.sources import loose, structured, texts
+from tesserae.sources.files import read_lines
 from tesserae.workspace import new_path, store
 
 QUERIES = {}
@@ -271,6 +273,16 @@ def sequence_records(spark, sf):
     return records.withColumn("item_ids", joined("item_ids")).withColumn("neg_items", joined("neg_items"))
 
 
+@query
+def sequence_records_chunked(spark, sf):
+    """Records whose lists are cut at different places, joined again."""
+    encoded, key = encoded_core(spark, sf), ["category", "user_id"]
+    sequences = it.chunked(encoded, key, "pos", "item_id", "item_ids", chunk=3)
+    negatives = it.chunked(ng.sample_negatives(encoded, 20), key, "neg_pos", "item_id", "neg_items", chunk=3)
+    records = ng.whole_records(ng.sequence_records(sequences, negatives))
+    return records.withColumn("item_ids", joined("item_ids")).withColumn("neg_items", joined("neg_items"))
+
+
 # --- shuffles and splits --------------------------------------------------------------------
 
 
@@ -433,6 +445,8 @@ def code_lookup(spark, sf):
 
 # --- codebook quality -----------------------------------------------------------------------
 
+NAMED = tuple(f"eval/{name}" for name in ("codebook_perplexity", "active_code_ratio", "collision_rate", "uniqueness"))
+NAMED_TEXT = tuple(f"eval/{name}" for name in rc.METRICS)
 QUALITY = ("codebook_perplexity", "active_code_ratio", "collision_rate", "uniqueness")
 
 
@@ -460,7 +474,7 @@ def quality_unknown(spark, sf):
 @query
 def quality_capped(spark, sf):
     codes = sp.shuffle(inp.hashed_codes(spark, sf), ["vec_id"], name="index")
-    return rounded(evaluation.evaluate_codes(codes, 2, RANGE, max_samples=300), *QUALITY)
+    return rounded(evaluation.evaluate_codes(codes, 2, RANGE, max_samples=300), *NAMED)
 
 
 @query
@@ -545,7 +559,7 @@ def rec_report(spark, sf):
     report = evaluation.evaluate_reconstruction(
         inp.hashed_codes(spark, sf), inp.turn_pairs(spark, sf), SIZE, RANGE
     )
-    return rounded(report, *QUALITY, *rc.METRICS)
+    return rounded(report, *NAMED, *NAMED_TEXT)
 
 
 # --- sources and sinks ----------------------------------------------------------------------
@@ -560,7 +574,7 @@ def quoted(column: str):
 
 def write_product_lines(spark: SparkSession, sf: str) -> str:
     """Gzip dict lines of all products, one folder per category; those of size 17 are malformed."""
-    part = inp.products(spark, sf).orderBy("seq")
+    part = inp.products(spark, sf)
     labels = F.transform("categories", lambda p: F.concat(F.lit("['"), F.array_join(p, "', '"), F.lit("']")))
     brand = F.when(F.col("brand").isNull(), F.lit("")).otherwise(
         F.concat(F.lit(", 'brand': u"), quoted("brand"))
@@ -572,7 +586,7 @@ def write_product_lines(spark: SparkSession, sf: str) -> str:
     )
     broken = F.concat(line, F.when(F.col("description").endswith("size 17"), F.lit(" trailing")).otherwise(F.lit("")))
     path = new_path(spark, "product-lines")
-    part.select("category", broken.alias("value")).coalesce(1).write.partitionBy("category").option(
+    part.select("category", broken.alias("value")).write.partitionBy("category").option(
         "compression", "gzip"
     ).text(path)
     return path
@@ -601,7 +615,7 @@ def loose_reviews(spark, sf):
     )
     path = new_path(spark, "review-lines")
     rows = inp.purchases(spark, sf).select("category", line.alias("value"))
-    rows.repartition("category").write.partitionBy("category").option("compression", "gzip").text(path)
+    rows.write.partitionBy("category").option("compression", "gzip").text(path)
     read = loose.read_interactions(spark, category_folders(spark, sf, path))
     return read.groupBy("category", "user", "item", "ts").agg(F.count(F.lit(1)).alias("n"))
 
@@ -624,6 +638,51 @@ def structured_scan(spark, sf):
     return texts_.select("category", "product_name", joined("product_features", "|").alias("features"))
 
 
+def under_split_sizes(spark: SparkSession, make) -> list[DataFrame]:
+    """What ``make()`` reads when Spark cuts files into small and into large pieces."""
+    found, key = [], "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    for size in ("20000", "134217728"):
+        spark.conf.set(key, size)
+        found.append(store(make(), "read"))
+    spark.conf.set(key, before)
+    return found
+
+
+@query
+def split_layout_free(spark, sf):
+    """One split of products in uneven files, read in small and in large pieces: sizes and differences."""
+    path = new_path(spark, "uneven-products")
+    part = inp.products(spark, sf).select("category", "title", F.array("description").alias("description"))
+    uneven = F.when(F.length("title") % 5 == 0, F.lit(1)).otherwise(F.pmod(F.crc32("title"), F.lit(3)))
+    part.repartition(4, uneven).write.json(path)
+    settings = corpus.Settings(categories=("all",), ratio=0.25)
+
+    def split_rows():
+        items = structured.read_products(spark, {"all": path}).drop("index")
+        placed = corpus.prompt_records(items, settings).select("product_text", "split", "index")
+        return placed.select(F.sha2("product_text", 256).alias("text"), "split", "index")
+
+    small, large = under_split_sizes(spark, split_rows)
+    differing = small.exceptAll(large).unionByName(large.exceptAll(small))
+    sizes = small.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("split") == "eval", 1)).alias("evals"))
+    return sizes.join(differing.agg(F.count(F.lit(1)).alias("differing")))
+
+
+@query
+def file_order_ties(spark, sf):
+    """Place of every line of several uneven files, read in small and in large pieces."""
+    path = new_path(spark, "uneven-lines")
+    part = inp.table(spark, sf, "part", "p_partkey", "p_name", "p_size")
+    folder = F.when(F.col("p_size") < 5, 0).when(F.col("p_size") < 40, 1).otherwise(2).alias("b")
+    lines = part.select(folder, "p_partkey", F.concat_ws(" ", "p_partkey", "p_name").alias("value"))
+    ordered = lines.repartitionByRange("b", "p_partkey").sortWithinPartitions("b", "p_partkey")
+    ordered.select("b", "value").write.partitionBy("b").text(path)
+    small, large = under_split_sizes(spark, lambda: read_lines(spark, path, "lines").withColumn("all", F.lit(0)))
+    both = [positions(read, ["all"], ["seq"], "pos").select("value", "pos") for read in (small, large)]
+    return both[0].withColumn("pieces", F.lit("small")).unionByName(both[1].withColumn("pieces", F.lit("large")))
+
+
 @query
 def text_inputs(spark, sf):
     path = new_path(spark, "texts")
@@ -714,9 +773,9 @@ def item_corpus(spark, sf):
 @query
 def metrics_json(spark, sf):
     path = new_path(spark, "metrics")
-    row = cd.whole_quality(inp.hashed_codes(spark, sf), SIZE, RANGE)
+    row = evaluation.evaluate_codes(inp.hashed_codes(spark, sf), SIZE, RANGE)
     reports.write_metrics(row, path)
-    return rounded(spark.read.schema(row.schema).json(path), *QUALITY)
+    return rounded(spark.read.schema(row.schema).json(path), *NAMED)
 
 
 @query
@@ -726,16 +785,14 @@ def rec_metrics_json(spark, sf):
         inp.hashed_codes(spark, sf), inp.turn_pairs(spark, sf), SIZE, RANGE
     )
     reports.write_metrics(row, path)
-    return rounded(spark.read.schema(row.schema).json(path), *QUALITY, *rc.METRICS)
+    return rounded(spark.read.schema(row.schema).json(path), *NAMED, *NAMED_TEXT)
 
 
 @query
 def report_json(spark, sf):
     path = new_path(spark, "report")
-    codes = inp.hashed_codes(spark, sf)
-    codes = sp.split(codes, ["vec_id"], group=["category"]).filter("split = 'train'")
-    names = [f"label{i}" for i in range(10)]
-    report = evaluation.evaluate_by_category(codes, names, 2, RANGE, max_samples=150)
+    names = [f"label{i}" for i in range(10)] + ["absent"]
+    report = evaluation.evaluate_by_category(inp.hashed_codes(spark, sf), names, 2, RANGE)
     reports.write_metrics(report, path)
     read = spark.read.schema(report.schema).json(path)
     parts = read.select(F.explode("per_category").alias("category", "r")).unionByName(
@@ -865,4 +922,19 @@ def decoded_vectors(spark, sf):
 def codebook_fit(spark, sf):
     book = store(qz.fit_codebook(inp.table(spark, sf, "embeddings"), 2, 8, max_iter=5), "codebook")
     coded = qz.residual_codes(inp.table(spark, sf, "embeddings"), book, 2)
-    return coded.groupBy(joined("ids", ",").alias("ids")).agg(F.count(F.lit(1)).alias("n"))
+    first = qz.reconstruction_error(qz.residual_codes(inp.table(spark, sf, "embeddings"), book, 1))
+    rows = store(qz.reconstruction_error(coded).join(first.select("vec_id", F.col("squared_error").alias("before")), "vec_id"), "errors")
+    per_level = rows.select(F.posexplode("ids").alias("level", "code"), "squared_error", "before")
+    return per_level.groupBy("level").agg(
+        F.count(F.lit(1)).alias("items"),
+        (F.sum("squared_error") <= F.sum("before")).alias("error_falls"),
+        (F.max("code") < 8).alias("known_codes"),
+    ).join(book.groupBy("level").agg(F.count(F.lit(1)).alias("codes")), "level")
+
+
+@query
+def residual_codes_nulls(spark, sf):
+    """Codes when every seventh vector is missing."""
+    vectors = inp.table(spark, sf, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 7 > 0, F.col("embedding")))
+    coded = qz.residual_codes(vectors, label_codebook(spark, sf), 2)
+    return coded.select("vec_id", joined("ids", ",").alias("ids"))

@@ -146,14 +146,30 @@ def code_tokens(ids) -> Column:
     )
 
 
+# A codebook may spread over so many token ids per code.
+SPARSE = 1000
+
+
 def lookup_codes(token_ids, codebook_tokens: list[int], size: int) -> Column:
-    """Code index of each of the first ``size`` tokens; -1 when it is no codebook token."""
-    known = F.array(*[F.lit(int(t)).cast("bigint") for t in codebook_tokens])
-    found = F.transform(
-        F.slice(_col(token_ids), 1, size),
-        lambda t: F.coalesce(F.array_position(known, t.cast("bigint")) - 1, F.lit(-1)).cast("int"),
-    )
-    return found
+    """Code index of each of the first ``size`` tokens; -1 when it is no codebook token.
+
+    The index of a token stands at its distance from the smallest codebook token, so a lookup
+    takes the same time for any number of codes. Of a repeated token the last index counts.
+    """
+    low, high = min(codebook_tokens, default=0), max(codebook_tokens, default=-1)
+    if high - low > SPARSE * len(codebook_tokens):
+        raise ValueError("codebook tokens must lie close together, as ids of added tokens do")
+    table = [-1] * (high - low + 1)
+    for code, token in enumerate(codebook_tokens):
+        table[token - low] = code
+    known = F.lit(table) if table else F.array().cast("array<int>")
+
+    def code_of(token):
+        place = token.cast("bigint") - low
+        inside = place.between(0, len(table) - 1)
+        return F.coalesce(F.when(inside, F.get(known, place.cast("int"))), F.lit(-1)).cast("int")
+
+    return F.transform(F.slice(_col(token_ids), 1, size), code_of)
 
 
 def normalize_answer(text, prefix: str = ANSWER_PREFIX) -> Column:

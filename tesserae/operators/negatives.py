@@ -195,11 +195,25 @@ def unseen_only(candidates: DataFrame, encoded: DataFrame) -> DataFrame:
 
 
 def sequence_records(sequences: DataFrame, negatives: DataFrame) -> DataFrame:
-    """Joins ``item_ids`` and ``neg_items`` on the user; a user without negatives gets none.
+    """``item_ids`` and ``neg_items`` of every user with a sequence; users without negatives get none.
 
-    Both sides are chunked frames (``category, user_id, chunk_no, ...``).
+    Both sides are chunked frames (``category, user_id, chunk_no, ...``). A chunk that only one
+    side has keeps what it holds beside an empty list, so a user may have more items or more
+    negatives than the other list has chunks for. ``whole_records`` joins the chunks of a user.
     """
-    key = [*USER_ID, "chunk_no"]
-    joined = sequences.join(negatives, key, "left")
-    none = F.array().cast(negatives.schema["neg_items"].dataType)
-    return joined.withColumn("neg_items", F.coalesce("neg_items", none))
+    known = negatives.join(sequences.select(*USER_ID).distinct(), USER_ID, "left_semi")
+    joined = sequences.join(known, [*USER_ID, "chunk_no"], "full")
+    for side, name in ((sequences, "item_ids"), (negatives, "neg_items")):
+        none = F.array().cast(side.schema[name].dataType)
+        joined = joined.withColumn(name, F.coalesce(name, none))
+    return joined
+
+
+def whole_records(records: DataFrame) -> DataFrame:
+    """One record per user, its chunks joined in order; for consumers that hold a user's lists in one row."""
+
+    def merged(name: str):
+        chunks = F.array_sort(F.collect_list(F.struct("chunk_no", name)))
+        return F.flatten(F.transform(chunks, lambda c: c[name])).alias(name)
+
+    return records.groupBy(*USER_ID).agg(merged("item_ids"), merged("neg_items"))

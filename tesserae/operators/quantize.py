@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.sql import DataFrame
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.functions import text as tx
+from tesserae.functions.prompts import without_answer
 from tesserae.workspace import store
 
 SLICE_BYTES = 64 * 1024 * 1024
+POINT_BLOCK, CODE_BLOCK = 1024, 4096
 _NEAR = 1e-9
 
 
@@ -45,6 +48,20 @@ def generate(
     )
 
 
+def rebuild(
+    coded: DataFrame, make_predict, prompt: str = "reconstruction_prompt", ids: str = "semantic_ids",
+    name: str = "prediction", batch_size: int = 64,
+) -> DataFrame:
+    """Adds ``prediction``, the text that a user's batch function gives for a prompt and codes.
+
+    ``make_predict()`` runs once per Python worker and returns a function from an array of JSON
+    objects (``prompt``: the turns without the answer, ``ids``: the codes) to an array of texts.
+    """
+    predict = predict_batch_udf(make_predict, return_type=T.StringType(), batch_size=batch_size)
+    asked = F.to_json(F.struct(without_answer(prompt).alias("prompt"), F.col(ids).alias("ids")))
+    return coded.withColumn(name, predict(asked))
+
+
 def with_code_text(rows: DataFrame, ids: str = "semantic_ids") -> DataFrame:
     """Adds the token and text renderings of the codes."""
     return rows.withColumn("semantic_id_tokens", tx.code_tokens(ids)).withColumn(
@@ -53,22 +70,37 @@ def with_code_text(rows: DataFrame, ids: str = "semantic_ids") -> DataFrame:
 
 
 def _slices(codebook: DataFrame, level: int, slice_bytes: int):
-    """The level's centroids as (first code, matrix) pieces of at most ``slice_bytes`` each."""
+    """The level's centroids as (codes, matrix) pieces of at most ``slice_bytes`` each, in code order."""
     rows = codebook.filter(F.col("level") == level)
-    count, width = rows.agg(F.max("code"), F.max(F.size("centroid"))).first()
-    if count is None:
+    width = rows.agg(F.max(F.size("centroid"))).first()[0]
+    if width is None:
         return
     per_slice = max(1, slice_bytes // (8 * width))
-    for low in range(0, count + 1, per_slice):
-        piece = rows.filter(F.col("code").between(low, low + per_slice - 1)).orderBy("code")
-        found = piece.select("code", "centroid").collect()
+    codes = [r["code"] for r in rows.select("code").orderBy("code").collect()]  # numbers only
+    for at in range(0, len(codes), per_slice):
+        piece = rows.filter(F.col("code").between(codes[at], codes[min(at + per_slice, len(codes)) - 1]))
+        found = piece.orderBy("code").select("code", "centroid").collect()
         yield [r["code"] for r in found], np.array([r["centroid"] for r in found], dtype="float64")
 
 
 def nearest(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index and squared distance of the closest centroid; the lowest index on exact ties.
 
-    A matrix product finds the candidates; where a second one is within rounding distance the
+    Points and centroids meet in blocks, so the scores held at a time are bounded.
+    """
+    best, least = np.zeros(len(points), np.int64), np.full(len(points), np.inf)
+    for row in range(0, len(points), POINT_BLOCK):
+        own = points[row : row + POINT_BLOCK]
+        for at in range(0, len(centroids), CODE_BLOCK):
+            index, distance = _nearest_of_block(own, centroids[at : at + CODE_BLOCK])
+            nearer = distance < least[row : row + POINT_BLOCK]
+            best[row : row + POINT_BLOCK][nearer] = index[nearer] + at
+            least[row : row + POINT_BLOCK][nearer] = distance[nearer]
+    return best, least
+
+
+def _nearest_of_block(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A matrix product finds the candidates; where a second one is within rounding distance the
     candidates are compared again by summing squared differences.
     """
     scores = (centroids**2).sum(axis=1)[None, :] - 2.0 * points @ centroids.T
@@ -101,15 +133,19 @@ def _choose(spark, codes: list[int], centroids: np.ndarray):
     @F.arrow_udf(_CHOICE)
     def choose(rest: pa.Array) -> pa.Array:
         ids, matrix = shared.value
-        if len(rest) == 0:
-            best, distance, chosen = np.zeros(0, "int32"), np.zeros(0), np.zeros((0, 1))
-        else:
-            index, distance = nearest(_matrix(rest), matrix)
-            best, chosen = ids[index], matrix[index]
-        return pa.StructArray.from_arrays(
-            [pa.array(best, pa.int32()), pa.array(distance, pa.float64()), _lists(chosen)],
+        width = matrix.shape[1]
+        sizes = np.nan_to_num(pc.list_value_length(rest).to_numpy(zero_copy_only=False).astype(float), nan=-1)
+        if np.any((sizes >= 0) & (sizes != width)):
+            raise ValueError(f"a vector has another length than the centroids, {width}")
+        known = np.flatnonzero(sizes >= 0)
+        index, distance = nearest(_matrix(rest.take(pa.array(known))), matrix) if len(known) else (known, np.zeros(0))
+        found = pa.StructArray.from_arrays(
+            [pa.array(ids[index], pa.int32()), pa.array(distance, pa.float64()), _lists(matrix[index])],
             names=["code", "distance", "chosen"],
         )
+        place = np.full(len(rest), -1)
+        place[known] = np.arange(len(known))
+        return found.take(pa.array(place, mask=place < 0))
 
     return choose
 
@@ -120,6 +156,8 @@ def residual_codes(
 ) -> DataFrame:
     """Adds ``ids`` and ``residual``: at each level the nearest centroid of what is left.
 
+    A null vector has null codes; one of another length than the centroids is an error.
+
     A level's centroids are shipped to the executors in slices of checked size. A level that
     fits one slice is a map over the rows; a larger one keeps the best choice so far while the
     slices go by, stored in between so that only one slice is held at a time.
@@ -145,7 +183,7 @@ def residual_codes(
         state = state.select(
             *vectors.columns,
             F.zip_with("residual", "_best.chosen", lambda r, c: r - c).alias("residual"),
-            F.concat("ids", F.array("_best.code")).alias("ids"),
+            F.when(F.col("_best").isNotNull(), F.concat("ids", F.array("_best.code"))).alias("ids"),
         )
     return state
 

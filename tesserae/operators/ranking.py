@@ -7,6 +7,8 @@ holds a third of the rows would be one task's work. The helpers here give the sa
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from tesserae.functions.hashing import hash_key
 from tesserae.workspace import store
 
 HOT_ROWS = 1_000_000
+BUCKET_ROWS = 20_000
 
 
 def hash_rank(
@@ -24,16 +27,20 @@ def hash_rank(
     group: list[str] = (),
     name: str = "rank",
     total: str | None = None,
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """1-based position in seeded-shuffle order inside ``group``; ``key`` must identify a row.
 
     Rows are bucketed by the leading digest digits. Buckets are uniform whatever the data looks
     like and ordered like the digests, so a bucket's first position is the number of rows in the
-    buckets before it. ``total`` names a column that receives the group's row count.
+    buckets before it. Rows are stored once and counted from the stored table; unless ``digits``
+    is given there are so many that a bucket of the largest group has about ``BUCKET_ROWS`` rows.
+    ``total`` names a column that receives the group's row count.
     """
     group, key = list(group), list(key)
-    hashed = df.withColumn("_h", hash_key(seed, *group, *key))
+    hashed = store(df.withColumn("_h", hash_key(seed, *group, *key)), "hashed")
+    if digits is None:
+        digits = max(1, math.ceil(math.log(max(1, hashed.count() / BUCKET_ROWS), 16)))
     hashed = hashed.withColumn("_b", F.substring("_h", 1, digits))
     sizes = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     whole = W.partitionBy(*group)

@@ -19,6 +19,16 @@ from tesserae.operators.codes import (
 from tesserae.workspace import store
 
 
+# Fixed value: what precedes the names of metrics in files of whole-split metrics.
+METRIC_PREFIX = "eval/"
+
+
+def metric_row(row: DataFrame) -> DataFrame:
+    """A one-row frame of metrics under the names used in files: without grouping and helper columns."""
+    names = [c for c in row.columns if c not in ("category", "max_sharing")]
+    return row.select(*[F.col(c).alias(METRIC_PREFIX + c) for c in names])
+
+
 def write_metrics(row: DataFrame, path: str) -> None:
     """A one-row frame as a JSON object."""
     row.coalesce(1).write.option("ignoreNullFields", "false").json(path)
@@ -50,9 +60,18 @@ def _ordered_map(key: str, value: str) -> Column:
     return F.map_from_arrays(F.transform(entries, lambda e: e["k"].cast("string")), entries["v"])
 
 
-def category_report(codes: DataFrame, size: int, code_range: int, top: int = TOP_SHARED) -> DataFrame:
+def _or_empty(rows: DataFrame, name: str, empty: str = "map()") -> Column:
+    return F.coalesce(name, F.expr(empty).cast(rows.schema[name].dataType))
+
+
+def category_report(
+    codes: DataFrame, size: int, code_range: int, top: int = TOP_SHARED, groups: DataFrame | None = None
+) -> DataFrame:
     """``category, report`` for every category and ``ALL``: metrics, collapse and histograms.
 
+    ``groups`` names categories to report even when nothing is left of them: their metrics are 0,
+    all codes are dead, and their lists and histograms are empty.
+
     The maps are bounded: positions by codes, ``top`` tuples, and at most sqrt(2 n) different
     sharing counts for n items.
     """
@@ -68,8 +87,17 @@ def category_report(codes: DataFrame, size: int, code_range: int, top: int = TOP
         _ordered_map("code", "n").alias("_h")
     )
     histograms = per_position.groupBy(keyed).agg(_ordered_map("pos", "_h").alias("histograms"))
-    metrics = quality(tuples, code_range)
-    joined = metrics.join(sharing, keyed).join(shared, keyed).join(histograms, keyed, "left")
+    spark = codes.sparkSession
+    wanted = tuples.select(keyed).unionByName(spark.range(1).select(F.lit(ALL).alias(keyed)))
+    metrics = quality(tuples, code_range, groups=wanted if groups is None else wanted.unionByName(groups.select(keyed)))
+    joined = metrics.join(sharing, keyed, "left").join(shared, keyed, "left").join(histograms, keyed, "left")
+    joined = joined.withColumn("multiplicity_histogram", _or_empty(joined, "multiplicity_histogram"))
+    joined = joined.withColumn("_top", _or_empty(joined, "_top", "array()"))
+    nothing = F.map_from_arrays(
+        F.array(*[F.lit(str(p)) for p in range(size)]),
+        F.array(*[F.expr("map()").cast(joined.schema["histograms"].dataType.valueType) for _ in range(size)]),
+    )
+    joined = joined.withColumn("histograms", F.coalesce("histograms", nothing))
     top_list = F.transform("_top", lambda t: F.struct(t["ids"].alias("tuple"), t["n"].alias("count")))
     collapse = F.struct(
         "multiplicity_histogram",

@@ -18,11 +18,13 @@ def existing(load, path: str, what: str) -> DataFrame:
 
 
 def row_order() -> Column:
-    """Input position: byte offset of the file split, then row order in the scan task.
+    """Input position: file, byte offset of the file split, then row order in the scan task.
 
-    It follows the line order of a single file, compressed or not.
+    Its order is that of the files' names and of the lines in each, compressed or not, however Spark
+    cuts and packs the files. Its values do depend on that, so use it to order rows, not as a key.
     """
     return F.struct(
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("line"),
     )

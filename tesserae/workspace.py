@@ -7,7 +7,6 @@ let Spark decide for itself whether a later join may broadcast it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,19 +15,24 @@ FOLDER_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; on a local master one is made if unset."""
-    folder = spark.conf.get(FOLDER_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {FOLDER_SETTING} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tesserae-")
-    spark.conf.set(FOLDER_SETTING, folder)
-    return folder
+    """The folder named by ``spark.checkpoint.dir``; the warehouse folder, which is shared too, if unset."""
+    folder = spark.conf.get(FOLDER_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where the intermediate tables of this application lie."""
+    return f"{shared_folder(spark)}/tesserae/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application; call it when no result is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/tesserae/{label}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def read_stored(like: DataFrame, *paths: str) -> DataFrame:
@@ -44,12 +48,11 @@ def store(df: DataFrame, label: str = "step") -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash partitions a table that has fewer files than the cluster has cores.
+    """Hash partitions a scan that Spark cuts into few pieces.
 
     A file with one row group is read by one task, which would then do all the work up to the
-    next shuffle. Tables with enough files are returned unchanged, without a shuffle.
+    next shuffle. Scans in many pieces are returned unchanged, without a shuffle; the rows are
+    the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    return df if df.rdd.getNumPartitions() > 4 * cores else df.repartition(cores, *keys)

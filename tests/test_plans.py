@@ -160,7 +160,7 @@ def test_item_corpus(spark, run):
     assert free.count() == sum(map(len, metadata.values()))
     with pytest.raises(ValueError, match="needs sequential_dir"):
         corpus.item_corpus(spark, {**config, "sequential_dir": None, "restrict_to_datamaps": True})
-    by_category = corpus.prompt_records(corpus.item_corpus(spark, config), config, by_category=True)
+    by_category = corpus.prompt_records(corpus.item_corpus(spark, config), corpus.Settings.of(config), by_category=True)
     sizes = {(r.category, r.split): r["count"] for r in by_category.groupBy("category", "split").count().collect()}
     for c in CATEGORIES:
         total = sizes[c, "eval"] + sizes[c, "train"]
