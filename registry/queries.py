@@ -666,7 +666,8 @@ def split_layout_free(spark, sf):
     small, large = under_split_sizes(spark, split_rows)
     differing = small.exceptAll(large).unionByName(large.exceptAll(small))
     sizes = small.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("split") == "eval", 1)).alias("evals"))
-    return sizes.join(differing.agg(F.count(F.lit(1)).alias("differing")))
+    one = F.lit(1).alias("one")
+    return sizes.select("*", one).join(differing.agg(F.count(F.lit(1)).alias("differing")).select("*", one), "one").drop("one")
 
 
 @query

@@ -15,6 +15,7 @@ from tesserae.workspace import new_path, read_stored, store
 
 USER = ["category", "user"]
 ITEM = ["category", "item"]
+KEY = ["side", "category", "key"]
 
 # Defaults that must equal the reference's.
 RATING_FLOOR = 0.0
@@ -58,62 +59,59 @@ def drop_under_core(
     return kept.select(*interactions.columns)
 
 
-def kcore(
-    interactions: DataFrame,
-    user_core: int = USER_CORE,
-    item_core: int = ITEM_CORE,
-    rewrite_share: float = 0.02,
-) -> DataFrame:
+def kcore(interactions: DataFrame, user_core: int = USER_CORE, item_core: int = ITEM_CORE) -> DataFrame:
     """The interactions that remain when passes are repeated until no count is under its core.
 
-    The fixpoint does not depend on the order in which keys are dropped. The first round counts
-    the interactions; if nothing falls they are returned as they are. Later rounds iterate over
-    (user, item, n) edges. A round writes the keys that fell under their core; while these are
-    few the edges are not rewritten but anti-joined against them, which Spark does as a
-    broadcast join when the written keys are small. The edges are rewritten once the dropped
-    keys exceed ``rewrite_share`` of them. The driver only sees row counts.
+    The fixpoint does not depend on the order in which keys are dropped. Counts per user and item
+    are kept in one table. A round stores the keys that fell under their core, scans the (user,
+    item, n) edges for those that touch one of them, and takes these off the counts at their other
+    ends. An edge counts against a key only in the round in which its other end falls, and keys
+    that fell have left the table, so the edges need no rewriting. Edges are shuffled only where
+    they touch fallen keys; what a round writes has the size of the counts. ``interactions`` is
+    read up to three times, so pass a stored table.
     """
-    folders = [new_path(interactions.sparkSession, "dropped")]
-    ones = interactions.select(*USER, "item", F.lit(1).cast("bigint").alias("n"))
-    fallen = _fallen(ones, user_core, item_core)
-    dropped = _add(fallen, folders[0])
-    if dropped.isEmpty():
-        return interactions
-    edges = _without(ones, dropped).groupBy(*USER, "item").agg(F.sum("n").alias("n"))
-    base, gone, gone_rows = store(edges, "edges"), None, 0
-    base_rows = base.count()
-    folders.append(new_path(interactions.sparkSession, "dropped"))
+    spark = interactions.sparkSession
+    cores = F.when(F.col("side") == "user", user_core).otherwise(item_core)
+    users = user_counts(interactions).select(F.lit("user").alias("side"), "category", F.col("user").alias("key"), "n")
+    items = item_counts(interactions).select(F.lit("item").alias("side"), "category", F.col("item").alias("key"), "n")
+    counts, edges, folders = store(users.unionByName(items), "counts"), None, []
     while True:
-        alive = base if gone is None else _without(base, gone)
-        gone = _add(_fallen(alive, user_core, item_core), folders[-1])
-        rows = gone.count()
-        if rows == gone_rows:
-            return _without(interactions, read_stored(fallen, *folders))
-        gone_rows = rows
-        if rows > rewrite_share * base_rows:
-            base, gone, gone_rows = store(_without(base, gone), "edges"), None, 0
-            base_rows = base.count()
-            folders.append(new_path(interactions.sparkSession, "dropped"))
-
-
-def _fallen(edges: DataFrame, user_core: int, item_core: int) -> DataFrame:
-    """``side, category, key`` of the users and items whose count is under the core."""
-    sides = []
-    for side, floor in (("user", user_core), ("item", item_core)):
-        counts = edges.groupBy("category", F.col(side).alias("key")).agg(F.sum("n").alias("n"))
-        sides.append(counts.filter(F.col("n") < floor).select(F.lit(side).alias("side"), "category", "key"))
-    return sides[0].unionByName(sides[1])
+        fallen = counts.filter(F.col("n") < cores).select(*KEY)
+        path = new_path(spark, "fallen")
+        fallen.write.parquet(path)
+        fallen = read_stored(fallen, path)
+        if fallen.isEmpty():
+            return _without(interactions, read_stored(fallen, *folders)) if folders else interactions
+        folders.append(path)
+        if edges is None:
+            edges = store(interactions.groupBy(*USER, "item").agg(F.count(F.lit(1)).alias("n")), "edges")
+        counts = store(_lowered(counts, edges, fallen), "counts")
+
+
+def _lowered(counts: DataFrame, edges: DataFrame, fallen: DataFrame) -> DataFrame:
+    """The counts of the keys that did not fall, less their edges to those that did."""
+    users, items = _sides(fallen)
+    lost = (
+        edges.join(users, USER, "left_semi")
+        .select(F.lit("item").alias("side"), "category", F.col("item").alias("key"), "n")
+        .unionByName(
+            edges.join(items, ITEM, "left_semi").select(
+                F.lit("user").alias("side"), "category", F.col("user").alias("key"), "n"
+            )
+        )
+    )
+    lost = lost.groupBy(*KEY).agg(F.sum("n").alias("lost"))
+    rest = counts.join(fallen, KEY, "left_anti").join(lost, KEY, "left")
+    return rest.select(*KEY, (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))
 
 
-def _add(keys: DataFrame, folder: str) -> DataFrame:
-    """Appends the keys to the folder and returns all keys in it."""
-    keys.write.mode("append").parquet(folder)
-    return read_stored(keys, folder)
+def _sides(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    users = keys.filter("side = 'user'").select("category", F.col("key").alias("user"))
+    return users, keys.filter("side = 'item'").select("category", F.col("key").alias("item"))
 
 
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    users = dropped.filter("side = 'user'").select("category", F.col("key").alias("user"))
-    items = dropped.filter("side = 'item'").select("category", F.col("key").alias("item"))
+    users, items = _sides(dropped)
     kept = rows.join(users, USER, "left_anti").join(items, ITEM, "left_anti")
     return kept.select(*rows.columns)
 

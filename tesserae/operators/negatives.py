@@ -49,28 +49,28 @@ def _weighted_pool(seen: DataFrame, sizes: DataFrame) -> DataFrame:
     return pool.join(sizes.select("category", "width"), "category")
 
 
-def _draw(users: DataFrame, pool: DataFrame | None, seed: int) -> DataFrame:
-    """``category, user_id, target, slot, item_id`` for slots 0..slots-1 of each user.
+def _draw(users: DataFrame, pool: DataFrame | None, small: bool, seed: int) -> DataFrame:
+    """``category, user_id, target, got, slot, item_id`` for slots first..slots-1 of each user.
 
     The user table is small and its draws are many, so it is spread by the number of draws:
     adaptive execution would go by its bytes and leave them to one task.
     """
     spark = users.sparkSession
-    draws = users.agg(F.sum("slots")).first()[0] or 0
+    draws = users.agg(F.sum(F.col("slots") - F.col("first"))).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, draws // DRAWS_PER_TASK)
     spread = users.repartition(tasks, *USER_ID)
-    slots = _steps(spread, F.lit(0).cast("bigint"), F.col("slots") - 1, "slot")
+    slots = _steps(spread, F.col("first"), F.col("slots") - 1, "slot")
     drawn = slots.withColumn("at", F.floor(unit(seed, *USER_ID, "slot") * F.col("mass")))
     if pool is None:
-        return drawn.select(*USER_ID, "target", "slot", (F.col("at") + 1).alias("item_id"))
+        return drawn.select(*USER_ID, "target", "got", "slot", (F.col("at") + 1).alias("item_id"))
     # Interval lookup as an equi-join: with blocks as wide as the mean weight there are at most
     # two intervals per block on average, whatever the weights.
     blocked = drawn.withColumn("block", F.coalesce(F.floor(F.col("at") / F.col("width")), F.lit(0)))
     hit = (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("weight"))
     return (
-        blocked.join(_sized(_pool_blocks(pool), pool), ["category", "block"])
+        blocked.join(_sized(_pool_blocks(pool), small), ["category", "block"])
         .filter(hit)
-        .select(*USER_ID, "target", "slot", "item_id")
+        .select(*USER_ID, "target", "got", "slot", "item_id")
     )
 
 
@@ -81,26 +81,31 @@ def _pool_blocks(pool: DataFrame) -> DataFrame:
     return blocks.select("category", "block", "item_id", "start", "weight")
 
 
-def _sized(side: DataFrame, pool: DataFrame) -> DataFrame:
+def _sized(side: DataFrame, small: bool) -> DataFrame:
     """``side``, at most a few rows per pool item, as the build side of a join with draws.
 
     Spark takes generated rows for as small as the rows they come from and might broadcast the
     draws, so the choice is made here: broadcast a pool of bounded size, else merge.
     """
-    return F.broadcast(side) if pool.count() <= BROADCAST_ITEMS else side.hint("merge")
+    return F.broadcast(side) if small else side.hint("merge")
 
 
 def _unseen(draws: DataFrame, seen: DataFrame) -> DataFrame:
     """First slot of each drawn item that the user has not seen."""
-    first = draws.groupBy(*PAIR).agg(F.min("slot").alias("slot"), F.max("target").alias("target"))
+    first = draws.groupBy(*PAIR).agg(
+        F.min("slot").alias("slot"), F.max("target").alias("target"), F.max("got").alias("got")
+    )
     return first.join(seen, PAIR, "left_anti")
 
 
 def _take(candidates: DataFrame, k: int, *order) -> DataFrame:
+    """The best candidates in order, placed behind the ``got`` items that the user already has."""
     place = F.row_number().over(W.partitionBy(*USER_ID).orderBy(*order))
     return (
-        candidates.withColumn("neg_pos", place)
-        .filter((F.col("neg_pos") <= k) & (F.col("neg_pos") <= F.col("target")))
+        candidates.withColumn("place", place)
+        .filter(F.col("place") <= k)
+        .withColumn("neg_pos", (F.col("got") + F.col("place")).cast("int"))
+        .filter(F.col("neg_pos") <= F.col("target"))
         .select(*USER_ID, "neg_pos", "item_id")
     )
 
@@ -118,7 +123,7 @@ def _remaining(users: DataFrame, seen: DataFrame) -> DataFrame:
     ids = F.sequence(low, F.least(F.col("items"), low + (BLOCK - 1)))
     known_ids = F.coalesce("_known", F.array().cast("array<bigint>"))
     return blocks.join(known, [*USER_ID, "_b"], "left").select(
-        *USER_ID, "target", F.explode(F.array_except(ids, known_ids)).alias("item_id")
+        *USER_ID, "target", "got", F.explode(F.array_except(ids, known_ids)).alias("item_id")
     )
 
 
@@ -127,10 +132,11 @@ def sample_negatives(
 ) -> DataFrame:
     """``category, user_id, neg_pos, item_id``: min(k, unseen items) negatives for every user.
 
-    Users who are still short get four times the slots, until the slots reach the number of items
-    in the category. Those left then get the rest from their unseen items, ordered by
-    exponential clocks (rate = weight), which continues the same law and costs no more than
-    the draws already made.
+    Users who are still short get up to four times the slots; only the new ones are drawn, and
+    what they add comes behind what the user has. Once a user's slots reach the number of items in
+    the category, what is missing is taken from the user's unseen items in the order of exponential
+    clocks (rate = weight), which continues the same law and costs no more than the draws already
+    made. The growth factor is part of the law: another factor gives other, equally distributed items.
     """
     if mode not in ("random", "pop"):
         raise ValueError(f"unknown sampling mode {mode!r}")
@@ -147,39 +153,41 @@ def sample_negatives(
         .join(sizes, "category")
         .withColumn("target", target)
         .filter(F.col("target") > 0)
+        .withColumn("first", F.lit(0).cast("bigint"))
         .withColumn("slots", F.lit(first_slots(k)).cast("bigint"))
+        .withColumn("got", F.lit(0).cast("bigint"))
         .drop("own"),
         "users",
     )
-    parts = []
+    small = pool is not None and pool.count() <= BROADCAST_ITEMS
+    parts: list[DataFrame] = []
     while True:
-        picks = store(_take(_unseen(_draw(users, pool, seed), seen), k, "slot"), "picks")
-        got = picks.groupBy(*USER_ID).agg(F.count(F.lit(1)).alias("_got"))
-        short = users.join(got, USER_ID, "left").filter(
-            F.coalesce("_got", F.lit(0)) < F.col("target")
-        )
-        short = store(short.drop("_got"), "short")
+        fresh = _unseen(_draw(users, pool, small, seed), seen)
+        if parts:
+            fresh = fresh.join(_union(parts), PAIR, "left_anti")
+        parts.append(store(_take(fresh, k, "slot"), "picks"))
+        more = parts[-1].groupBy(*USER_ID).agg(F.count(F.lit(1)).alias("more"))
+        short = users.join(more, USER_ID, "left").withColumn("got", F.col("got") + F.coalesce("more", F.lit(0)))
+        short = store(short.filter(F.col("got") < F.col("target")).drop("more"), "short")
         if short.isEmpty():
-            return _union(parts + [picks])
-        parts.append(picks.join(short, USER_ID, "left_anti"))
+            return _union(parts)
         spent = short.filter(F.col("slots") >= F.col("items"))
-        parts.append(_fill(spent, pool, seen, seed, k))
         users = short.filter(F.col("slots") < F.col("items"))
-        users = users.withColumn("slots", F.col("slots") * 4)
         if users.isEmpty():
-            return _union(parts)
+            return _union([*parts, _fill(spent, pool, small, seen, _union(parts), seed, k)])
+        if not spent.isEmpty():
+            parts.append(store(_fill(spent, pool, small, seen, _union(parts), seed, k), "picks"))
+        users = users.withColumn("first", F.col("slots")).withColumn("slots", F.col("slots") * 4)
 
 
-def _fill(users: DataFrame, pool: DataFrame | None, seen: DataFrame, seed: int, k: int) -> DataFrame:
-    drawn = _unseen(_draw(users, pool, seed), seen).drop("target")
-    rest = _remaining(users, seen).join(drawn.hint("merge"), PAIR, "left")
+def _fill(users, pool: DataFrame | None, small: bool, seen: DataFrame, picked: DataFrame, seed: int, k: int) -> DataFrame:
+    """What the users still miss, from the items that they have neither seen nor been given."""
+    rest = _remaining(users, seen).join(picked, PAIR, "left_anti")
     clock = -F.log(1 - unit(seed, F.lit("fill"), *PAIR))
     if pool is not None:
-        weights = pool.select("category", "item_id", "weight")
-        rest = rest.join(_sized(weights, pool), ["category", "item_id"])
+        rest = rest.join(_sized(pool.select("category", "item_id", "weight"), small), ["category", "item_id"])
         clock = clock / F.col("weight")
-    rest = rest.withColumn("_clock", clock)
-    return _take(rest, k, F.col("slot").asc_nulls_last(), "_clock", "item_id")
+    return _take(rest.withColumn("_clock", clock), k, "_clock", "item_id")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

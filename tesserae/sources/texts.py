@@ -21,9 +21,9 @@ def read_texts(
 
     ``index`` is the 0-based place; ``max_samples`` keeps a prefix (0 keeps none).
     """
-    given = [(0, i, t) for i, t in enumerate(texts or []) if t.strip()]
-    frame = spark.createDataFrame(given, "start bigint, line bigint, product_text string").select(
-        F.lit(0).alias("source"), F.struct("start", "line").alias("seq"), "product_text"
+    given = [("", 0, i, t) for i, t in enumerate(texts or []) if t.strip()]
+    frame = spark.createDataFrame(given, "file string, start bigint, line bigint, product_text string").select(
+        F.lit(0).alias("source"), F.struct("file", "start", "line").alias("seq"), "product_text"
     )
     if path:
         lines = read_lines(spark, path, "text file").select(

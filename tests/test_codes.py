@@ -90,8 +90,15 @@ def test_category_report(spark):
     assert [(t["tuple"], t["count"]) for t in collapse.most_shared_ids] == [([0, 1], 2), ([2, -1], 1)]
     assert report.per_category["x"].position_histograms["1"] == {"-1": 1, "1": 2}
     assert list(report["global"].position_histograms["0"]) == ["0", "1", "2"]
+    empty = evaluation.evaluate_by_category(indexed, ["x", "gone"], 2, 4).first().per_category["gone"]
+    assert (empty.num_items, empty.dead_codes, empty.collapse.max_products_sharing_one_id) == (0, 4, 0)
+    assert (empty.collapse.most_shared_ids, empty.position_histograms) == ([], {"0": {}, "1": {}})
+    nothing = evaluation.evaluate_by_category(indexed, ["x", "y"], 2, 4, max_samples=0).first()
+    assert nothing["global"].num_items == 0 and set(nothing.per_category) == {"x", "y"}
+    with pytest.raises(ValueError, match="stands for all"):
+        evaluation.evaluate_by_category(indexed, [cd.ALL], 2, 4)
     none = evaluation.evaluate_codes(indexed, 2, 4, max_samples=0).first()
-    assert none.num_items == 0
+    assert none["eval/num_items"] == 0
 
 
 def test_assignments_keep_nulls(spark, tmp_path):

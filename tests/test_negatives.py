@@ -73,6 +73,29 @@ def test_records(spark):
     negatives = spark.createDataFrame([("a", 1, 0, [9])], "category string, user_id bigint, chunk_no bigint, neg_items array<bigint>")
     got = {r.user_id: r.neg_items for r in ng.sequence_records(sequences, negatives).collect()}
     assert got == {1: [9], 2: []}
+
+
+def test_records_keep_chunks_that_one_side_lacks(spark):
+    schema = "category string, user_id bigint, chunk_no bigint, {} array<bigint>"
+    sequences = [("a", 1, 0, [5, 6]), ("a", 2, 0, [1, 2, 3]), ("a", 2, 1, [4])]
+    negatives = [("a", 1, 0, [7, 8, 9]), ("a", 1, 1, [10, 11, 12]), ("a", 1, 2, [13]), ("a", 3, 0, [1])]
+    frames = [spark.createDataFrame(r, schema.format(n)) for r, n in ((sequences, "item_ids"), (negatives, "neg_items"))]
+    records = ng.whole_records(ng.sequence_records(*frames)).collect()
+    got = {r.user_id: (r.item_ids, r.neg_items) for r in records}
+    assert got == {1: ([5, 6], [7, 8, 9, 10, 11, 12, 13]), 2: ([1, 2, 3, 4], [])}
+
+
+def test_rounds_of_new_slots_past_the_pool(spark, monkeypatch):
+    rows, frame = encoded(spark)
+    seen = {(c, u, i) for c, u, _, i in rows}
+    for first in (2, 7, 500):
+        monkeypatch.setattr(ng, "first_slots", lambda k, first=first: first)
+        for mode in ("random", "pop"):
+            got = ng.sample_negatives(frame, 40, mode=mode).collect()
+            users = Counter((r.category, r.user_id) for r in got)
+            assert len({(r.category, r.user_id, r.item_id) for r in got} - seen) == len(got)
+            assert {(r.category, r.user_id, r.neg_pos) for r in got} == {(*u, p) for u, n in users.items() for p in range(1, n + 1)}
+            assert all(users[u] == min(40, 60 - n) for u, n in Counter((c, u) for c, u, _ in {(c, u, i) for c, u, _, i in rows}).items() if n < 60)
     candidates = frame.select("category", "user_id", F.lit(1).cast("bigint").alias("item_id")).distinct()
     left = {(r.category, r.user_id) for r in ng.unseen_only(candidates, frame).collect()}
     assert ("a", 2) not in left and ("a", 3) in left

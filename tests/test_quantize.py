@@ -53,6 +53,31 @@ def test_codes_and_decoding(spark, slice_bytes):
         assert errors[i].cosine == pytest.approx(source @ near / np.sqrt((source @ source) * (near @ near)))
 
 
+def test_null_vectors_and_gaps_between_codes(spark):
+    points, frame = vectors(spark)
+    some = frame.withColumn("embedding", F.when(F.col("id") % 3 > 0, F.col("embedding")))
+    centroids = book(1, 6, 6)
+    gaps = book_frame(spark, centroids).withColumn("code", F.col("code") * 5)
+    for slice_bytes in (1 << 20, 6 * 8 * 2):
+        got = {r.id: r.ids for r in qz.residual_codes(some, gaps, 1, slice_bytes=slice_bytes).collect()}
+        expected, _ = plain_codes(points, centroids)
+        assert got == {i: [5 * codes[0]] if i % 3 else None for i, codes in enumerate(expected)}
+    short = frame.withColumn("embedding", F.slice("embedding", 1, 5))
+    with pytest.raises(Exception, match="another length"):
+        qz.residual_codes(short, gaps, 1).collect()
+
+
+def test_blocks_of_points_and_codes(monkeypatch):
+    rng = np.random.default_rng(0)
+    points, centroids = rng.normal(size=(50, 4)), rng.normal(size=(30, 4))
+    centroids[20] = centroids[3]
+    whole = qz.nearest(points, centroids)
+    monkeypatch.setattr(qz, "POINT_BLOCK", 7)
+    monkeypatch.setattr(qz, "CODE_BLOCK", 4)
+    cut = qz.nearest(points, centroids)
+    assert np.array_equal(whole[0], cut[0]) and np.allclose(whole[1], cut[1])
+
+
 def test_missing_level(spark):
     _, frame = vectors(spark, 5)
     with pytest.raises(ValueError, match="no level 1"):
