@@ -591,6 +591,7 @@ ORACLES["artifact_sequences"] = with_parts(
     {**CORE_IDS, **{"items_of": LISTS["items_of"]}},
     "SELECT category, user_id::VARCHAR AS user_id, 0::BIGINT AS chunk_no, item_ids FROM items_of",
 )
+ORACLES["artifact_category_folders"] = ORACLES["artifact_sequences"]
 ORACLES["artifact_negatives"] = with_parts(
     RECORDS, "SELECT category, user_id::VARCHAR AS user_id, 0::BIGINT AS chunk_no, neg_items FROM neg_of"
 )
@@ -602,6 +603,16 @@ CORE_ATTRIBUTES = {
 ORACLES["artifact_item_attributes"] = with_parts(
     CORE_ATTRIBUTES, "SELECT category, item_id, coalesce(attribute_ids, '') AS attribute_ids FROM lists"
 )
+ORACLES["artifact_id_maps"] = with_parts(
+    CORE_ATTRIBUTES,
+    """SELECT category, 'user2id' AS map, u AS key, user_id::VARCHAR AS value FROM uid
+       UNION ALL SELECT category, 'id2user', user_id::VARCHAR, u FROM uid
+       UNION ALL SELECT category, 'item2id', i, item_id::VARCHAR FROM iid
+       UNION ALL SELECT category, 'id2item', item_id::VARCHAR, i FROM iid
+       UNION ALL SELECT category, 'attribute2id', attribute, attribute_id::VARCHAR FROM aid
+       UNION ALL SELECT category, 'id2attribute', attribute_id::VARCHAR, attribute FROM aid
+       UNION ALL SELECT category, 'attributeid2num', attribute_id::VARCHAR, num::VARCHAR FROM aid""",
+)
 ORACLES["preprocess_run"] = with_parts(
     CORE_ATTRIBUTES,
     f"""SELECT s.*, a.attributes, a.avg_attributes, a.matched, a.match_ratio, n.negatives

@@ -721,6 +721,30 @@ def artifact_sequences(spark, sf):
     return art.read_sequences(spark, root, categories).withColumn("item_ids", joined("item_ids"))
 
 
+@query
+def artifact_category_folders(spark, sf):
+    """Sequences in one folder per category, as the artifacts' other layout has them."""
+    root, categories = written_artifacts(spark, sf, art.SEQUENCES)
+    out = new_path(spark, "category-folders")
+    snk.to_category_folders(spark, root, out)
+    return art.read_sequences(spark, out, categories, partitioned=False).withColumn("item_ids", joined("item_ids"))
+
+
+def tagged(name: str):
+    return lambda e: F.struct(F.lit(name).alias("map"), e["key"].alias("key"), e["value"].alias("value"))
+
+
+@query
+def artifact_id_maps(spark, sf):
+    """Every entry of the seven id maps."""
+    root, categories = written_artifacts(spark, sf, art.ID_MAPS)
+    lines = art.artifact_lines(spark, root, art.ID_MAPS, categories)
+    names = ["user2id", "id2user", "item2id", "id2item", "attribute2id", "id2attribute", "attributeid2num"]
+    maps = F.from_json("value", ", ".join(f"{n} map<string,string>" for n in names))
+    entries = F.concat(*[F.transform(F.map_entries(maps[n]), tagged(n)) for n in names])
+    return lines.select("category", F.explode(entries).alias("e")).select("category", "e.*")
+
+
 @query
 def artifact_negatives(spark, sf):
     root, categories = written_artifacts(spark, sf, art.NEGATIVES)

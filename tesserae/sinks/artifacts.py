@@ -7,11 +7,13 @@ chunk, whose lines are those of the reference's files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators.interactions import CHUNK_ITEMS, chunked
-from tesserae.sources.artifacts import ID_MAPS, ITEM_ATTRIBUTES, NEGATIVES, SEQUENCES
+from tesserae.sources.artifacts import EXTENSION, ID_MAPS, ITEM_ATTRIBUTES, NEGATIVES, SEQUENCES
 
 
 def _write_lines(lines: DataFrame, path: str) -> None:
@@ -73,3 +75,27 @@ def write_id_maps(
     empty = F.map_from_arrays(F.array(), F.array())
     filled = [F.coalesce(F.col(n), empty.cast(maps.schema[n].dataType)).alias(n) for n in names]
     _write_lines(maps.select(*key, F.to_json(F.struct(*filled)).alias("value")), f"{root}/{ID_MAPS}")
+
+
+def to_category_folders(spark: SparkSession, root: str, out: str) -> None:
+    """Moves artifacts to ``<out>/<category>/<artifact>.<txt|json>``, each a folder of part files.
+
+    Only folders are renamed; no line passes through the driver. That layout has no chunks, so
+    artifacts must have been written with a ``chunk`` that no sequence or map exceeds.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for artifact, extension in EXTENSION.items():
+        folder = hadoop.Path(f"{root}/{artifact}")
+        if not files.exists(folder):
+            continue
+        for entry in files.listStatus(folder):
+            name = entry.getPath().getName()
+            if not name.startswith("category="):
+                continue
+            chunks = [c.getPath() for c in files.listStatus(entry.getPath())]
+            if [c.getName() for c in chunks] != ["chunk_no=0"]:
+                raise ValueError(f"{artifact} of {name} has several chunks; write it with a larger chunk")
+            target = hadoop.Path(f"{out}/{unquote(name.removeprefix('category='))}")
+            files.mkdirs(target)
+            files.rename(chunks[0], hadoop.Path(target, f"{artifact}.{extension}"))

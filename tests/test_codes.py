@@ -101,6 +101,41 @@ def test_category_report(spark):
     assert none["eval/num_items"] == 0
 
 
+def test_generate_rebuild_and_score(spark):
+    """One pass from prompts to codes, texts, metrics, assignments and examples."""
+    import json
+
+    import numpy as np
+
+    from tesserae.operators import items as im
+    from tesserae.operators import reconstruction as rc
+
+    rows = [(i, f"item {i % 4}", f"item {i % 4}. Features: soft") for i in range(10)]
+    records = spark.createDataFrame(rows, "index bigint, product_name string, product_text string")
+    records = im.with_prompts(records, "index", 2, 8)
+
+    def make_codes():
+        return lambda prompts: np.array([[100 + len(p) % 3, 100 + json.loads(p)[1]["content"].count("item 1"), 7] for p in prompts])
+
+    def make_texts():
+        def texts(asked):
+            found = [json.loads(a) for a in asked]
+            assert all(len(a["prompt"]) == 2 and len(a["ids"]) == 2 for a in found)
+            return np.array([f"item {a['ids'][1]}. Features: soft" for a in found], dtype=object)
+
+        return texts
+
+    tokens = list(range(100, 108))
+    metrics, assignments, examples = evaluation.generate_and_score(records, make_codes, make_texts, tokens, 2, max_samples=8, log_examples=3)
+    row = metrics.first().asDict()
+    assert row["eval/num_items"] == 8 and row["eval/active_codes"] >= 2 and 0 < row["eval/recon_exact_match"] < 1
+    assert set(row) == {"eval/" + n for n in ("codebook_perplexity", "active_codes", "dead_codes", "active_code_ratio", "collision_rate", "uniqueness", "num_unique_ids", "num_items", *rc.METRICS)}
+    named = assignments.collect()
+    assert len(named) == 8 and all(r.semantic_id_tokens == [f"<|CODE_{c}|>" for c in r.semantic_ids] for r in named)
+    shown = examples.collect()
+    assert [r["index"] for r in shown] == [0, 1, 2] and shown[1].reference.endswith("item 1. Features: soft")
+
+
 def test_assignments_keep_nulls(spark, tmp_path):
     rows = spark.createDataFrame([("n", [0, -1])], "product_name string, semantic_ids array<int>")
     reports.write_records(reports.assignments(rows), str(tmp_path / "out"))
