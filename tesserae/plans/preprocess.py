@@ -13,6 +13,7 @@ from tesserae.operators.items import latest
 from tesserae.operators.negatives import NEGATIVES, sample_negatives
 from tesserae.sinks import artifacts as sink
 from tesserae.sources import loose
+from tesserae.sources.artifacts import ITEM_TABLE
 from tesserae.workspace import store
 
 
@@ -36,7 +37,7 @@ class Preprocessed:
         sink.write_item_attributes(self.item_attributes, root)
         sink.write_id_maps(self.users, self.items, self.attributes, root)
         self.users.write.parquet(f"{root}/user_ids")
-        self.items.write.parquet(f"{root}/item_ids")
+        self.items.write.parquet(f"{root}/{ITEM_TABLE}")
         self.attributes.write.parquet(f"{root}/attribute_ids")
 
 

@@ -18,6 +18,8 @@ SEQUENCES = "sequential_data"
 NEGATIVES = "negative_samples"
 ID_MAPS = "datamaps"
 ITEM_ATTRIBUTES = "item2attributes"
+# The table of item ids beside the artifacts.
+ITEM_TABLE = "item_ids"
 EXTENSION = {SEQUENCES: "txt", NEGATIVES: "txt", ID_MAPS: "json", ITEM_ATTRIBUTES: "json"}
 
 
@@ -80,7 +82,16 @@ def read_negatives(
 def read_item_ids(
     spark: SparkSession, root: str, categories: list[str], partitioned: bool = True
 ) -> DataFrame:
-    """``category, item, item_id`` from the id maps; the items are the allow-list of the corpus."""
+    """``category, item, item_id``; the items are the allow-list of the corpus.
+
+    A whole run also writes them as a table, which is read if it is there; else the id maps are parsed.
+    """
+    if partitioned:
+        try:
+            table = existing(spark.read.parquet, f"{root}/{ITEM_TABLE}", "item ids")
+            return table.select("category", "item", "item_id").filter(F.col("category").isin(categories))
+        except FileNotFoundError:
+            pass
     lines = artifact_lines(spark, root, ID_MAPS, categories, partitioned)
     maps = F.from_json("value", "item2id map<string,string>")["item2id"]
     return lines.select("category", F.explode(maps).alias("item", "item_id")).withColumn(
