@@ -8,7 +8,7 @@ vectors per pair of features; by the identity 2 * sum over pairs = (sum)^2 - sum
 takes time linear in the features present.
 
 The machine is fitted on at most ``sample`` labelled documents of each class, picked by a digest
-of their id, on the driver; scores are corrected to the share of the classes among all labels
+of their id, with at most about ``entries`` features in all, on the driver; scores are corrected to the share of the classes among all labels
 it may learn from. Scoring is a map over the table.
 
 Defined results: null texts are empty ones and are scored too; documents with a null id are never
@@ -41,6 +41,7 @@ class Settings:
     """What the machine is fitted with."""
 
     sample: int = 3000
+    entries: int = 20_000_000
     rank: int = 8
     epochs: int = 6
     batch: int = 64
@@ -226,6 +227,10 @@ def learn(rows: DataFrame, labels: DataFrame, settings: Settings) -> Machine | f
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = sample.mapInArrow(run, f"doc_id {kind}, label int, columns array<int>, values array<float>")
+    found = settled(found, "label-features")
+    n = found.agg(F.sum(F.size("columns"))).first()[0] or 0
+    if n > settings.entries:  # very long documents: an even share of the sample, picked by another digest
+        found = found.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(n)) < settings.entries)
     found = found.toArrow().sort_by("doc_id").combine_chunks()
     if len(set(found.column("label").to_pylist())) < 2:
         return (ones + 1) / (total + 2)
