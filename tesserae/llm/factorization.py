@@ -43,7 +43,7 @@ class Settings:
     sample: int = 3000
     entries: int = 20_000_000
     rank: int = 8
-    epochs: int = 6
+    steps: int = 1000
     batch: int = 64
     rate: float = 0.08
     decay: float = 1e-4
@@ -161,7 +161,8 @@ def fit(rows, columns, values, labels: np.ndarray, settings: Settings, n_feature
     order = np.argsort(rows, kind="stable")
     rows, columns, values = rows[order], columns[order], values[order]
     first = np.searchsorted(rows, np.arange(len(labels) + 1))
-    for _ in range(settings.epochs):
+    batches = -(-len(labels) // settings.batch)
+    for _ in range(-(-settings.steps // batches)):  # as many steps for a small sample as for a large one
         shuffled = rng.permutation(len(labels))
         for at in range(0, len(labels), settings.batch):
             own = shuffled[at : at + settings.batch]
