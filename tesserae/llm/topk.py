@@ -78,14 +78,15 @@ def bucket_products(queries: pa.Table, candidates: pa.Table, k: int, steep: floa
     with np.errstate(divide="ignore", invalid="ignore"):
         cosine = np.where(np.isneginf(least) | (least <= 0), -1.0, least / (q_lengths * lengths[0]))
     alive = np.flatnonzero(~(cosine > 1 + safe))
-    dense = alive[cosine[alive] < steep]
+    pruned = (cosine[alive] >= steep) & (least[alive] > 0)
+    dense = alive[~pruned]
     for at in range(0, len(dense), 256):
         own = dense[at : at + 256]
         need = np.where(least[own] > 0, least[own] / np.maximum(q_lengths[own], 1e-300) * (1 - safe), 0.0)
         # By length: candidates are sorted, so those that can reach the lowest need come first.
         reach = int(np.searchsorted(-lengths, -need.min(), side="right"))
         found += best_rows(names[own], ids[:reach], q[own] @ x[:reach].T, least[own], k)
-    for i in alive[cosine[alive] >= steep]:
+    for i in alive[pruned]:
         focus = int(np.abs(q[i]).argmax())
         along = q[i, focus] / q_lengths[i]
         t = min(cosine[i], 1.0)
