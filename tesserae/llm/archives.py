@@ -41,6 +41,7 @@ from tesserae.workspace import new_path
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
 LEVEL = 3
+FRAMES_PER_TASK = 64
 DATE = "1970-01-01T00:00:00Z"
 
 # Fixed values of the seekable format and of the record format.
@@ -238,8 +239,9 @@ def rows_of(records, with_payload: bool) -> pa.RecordBatch:
 
 
 def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Every record of the bundles of an index, whole files at a time, a frame in memory at a time."""
+    """Every record of the bundles of an index; a task reads one bundle, with a frame in memory at a time."""
     files = index.select("file").distinct()
+    files = files.repartition(max(1, files.count()))  # names are short, so their bytes say nothing of the work
 
     def run(batches):
         for batch in batches:
@@ -261,6 +263,8 @@ def fetch(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """The records, with payloads, of the ``page_id`` in ``wanted``: one frame is unpacked per frame that holds some."""
     places = index.join(wanted.select("page_id").distinct(), "page_id", "left_semi")
     frames = places.groupBy("file", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    frames = settled(frames, "wanted-frames")
+    frames = frames.repartition(max(1, -(-frames.count() // FRAMES_PER_TASK)))
 
     def run(batches):
         for batch in batches:
