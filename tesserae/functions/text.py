@@ -42,6 +42,30 @@ def clean(text) -> Column:
     return F.trim(F.regexp_replace(_col(text), f"{SPACE}+", " "))
 
 
+def decimal_text(value) -> Column:
+    """A floating-point number as scripts print it: plain from 1e-4 to below 1e16, else with a signed exponent.
+
+    The JVM prints the same digits but changes to an exponent from 1e7 up and below 1e-3.
+    """
+    text = _col(value).cast("string")
+    power = F.substring_index(text, "E", -1).cast("int")
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(text, "E", 1), r"[-.]", ""), r"(?<=.)0+$", "")
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    size = F.length(digits)
+    whole = F.rpad(digits, F.greatest(size, power + 1), "0")
+    large = F.concat(
+        F.substring(whole, F.lit(1), power + 1), F.lit("."),
+        F.when(size > power + 1, F.substring(whole, power + 2, size)).otherwise("0"),
+    )
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    tail = F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise("")
+    mark = F.when(power < 0, "e-").otherwise("e+")
+    scientific = F.concat(F.substring(digits, 1, 1), tail, mark, F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))
+    body = F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(scientific)
+    special = F.when(text == "NaN", "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf")
+    return F.coalesce(special, F.when(F.contains(text, F.lit("E")), F.concat(sign, body)).otherwise(text))
+
+
 def stringify(value, dtype: T.DataType) -> Column:
     """Text of a column of any type: null is empty, nested values are joined by spaces."""
     value = _col(value)
@@ -56,6 +80,8 @@ def stringify(value, dtype: T.DataType) -> Column:
         text = F.initcap(value.cast("string"))
     elif isinstance(dtype, T.StringType):
         text = strip(value)
+    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+        text = decimal_text(value)
     else:
         text = value.cast("string")
     return F.coalesce(text, F.lit(""))

@@ -31,6 +31,14 @@ def test_stringify_by_type(spark):
     assert tuple(got) == ("p q  r ", "True", "3.0", "")
 
 
+def test_numbers_print_as_in_scripts(spark):
+    values = [0.0, -0.0, 1.0, 12345678.0, -12345678.25, 1e-4, 0.00012, 1e-5, -1.5e-7, 1e7, 123456789012345.6, 1e15, 1e16, 1.5e22, 3e300]
+    values += [0.001, 0.5, -2.5e-4, float("nan"), float("inf"), float("-inf"), 1e100, 9007199254740993.0]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.t for r in frame.select("i", tx.stringify("v", T.DoubleType()).alias("t")).orderBy("i").collect()]
+    assert got == [str(v) for v in values]
+
+
 def test_flatten_paths(spark):
     paths = T.ArrayType(T.ArrayType(T.StringType()))
     schema = T.StructType().add("c", paths).add("s", T.StringType())
