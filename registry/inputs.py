@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.hashing import unit
+from tesserae.functions.text import ANSWER_PREFIX
 from tesserae.workspace import spread
 
 CODE_SEED = 7
@@ -137,7 +138,7 @@ def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def near_copies(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents against a copy rewritten by language: upper case and respaced, prefixed, altered."""
     text = F.col("text")
-    prefix = F.lit("The product name and/or its metadata are: ")
+    prefix = F.lit(ANSWER_PREFIX)
     changed = (
         F.when(F.col("lang") == "en", F.translate(F.regexp_replace(text, " ", "  "), ascii_lowercase, ascii_uppercase))
         .when(F.col("lang") == "de", F.concat(F.lit(" \n"), prefix, text))

@@ -63,6 +63,7 @@ def quality(
 ) -> DataFrame:
     """One row per group: perplexity, active and dead codes, collisions, uniqueness, sharing.
 
+    The column names are fixed values, equal to the reference's metric names.
     A group without items or without any known code scores 0 everywhere and counts all codes as
     dead, while its number of items is kept. ``groups`` names groups to report even when empty.
     """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.fidelity import f1_score, lcs_tokens, shared_tokens
 from tesserae.functions.text import ANSWER_PREFIX, normalize_answer, tokens
 
+# Metric names that must equal the reference's.
 METRICS = ("recon_exact_match", "recon_token_f1", "recon_rouge_l")
 
 
