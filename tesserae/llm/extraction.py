@@ -7,8 +7,8 @@ block one of three states - all of it is kept, none of it, or its children decid
 product of chances over the page is greatest: a block in a dropped one is dropped, and a block in
 a kept one is kept.
 
-The forests are fitted on at most ``sample`` pages, picked by a digest of their id among those of
-at most ``page_chars`` characters: once as they are, where an article or main element marks the
+The forests are fitted on at most ``sample`` pages, picked by a digest among those of at most
+``page_chars`` characters: once as they are, where an article or main element marks the
 main text, and ``variants`` times rebuilt, with their own text under other elements, attributes and
 surroundings (side bars, notices, forms, comments). Everything else is a map over the table.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.boosting import Forest, fit
 from tesserae.llm.markup import BLOCKS, MARK_NAMES, NUMBER, Tree, parse
-from tesserae.llm.tasks import slices, strings
+from tesserae.llm.tasks import picked, slices, strings
 
 MAIN = tuple(NUMBER[n] for n in ("article", "main"))
 FURNITURE = tuple(NUMBER[n] for n in ("nav", "header", "footer", "aside", "form", "menu", "dialog"))
@@ -296,7 +296,7 @@ def extract(
         F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).cast("string").alias("html")
     )
     short = rows.filter(F.length("html").between(1, settings.page_chars))
-    sample = short.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(settings.sample).select("html")
+    sample = picked(short, settings.sample, rows.count(), "page_id", "html").select("html")
     forests = learn([r.html for r in sample.collect()], settings)
     parts = forests and [(f.base, f.features, f.limits, f.values) for f in forests]
     model = pages.sparkSession.sparkContext.broadcast(parts)  # two forests of a fixed size

@@ -78,6 +78,21 @@ def kept_rows(docs, column: str, mask: Callable[[pa.RecordBatch], list]):
     return docs.mapInArrow(run, docs.schema)
 
 
+def picked(rows, n: int, total: int, *key: str):
+    """``n`` of ``total`` rows by the smallest digests of ``key``, or all if there are fewer.
+
+    Rows whose digest is far above the n-th smallest are left out first, so that what tasks hand on
+    for the final choice has the size of the sample, however many tasks there are. Digests are
+    uniform, so with four times the share needed a shortfall is next to impossible.
+    """
+    from pyspark.sql import functions as F
+
+    digest = F.xxhash64(*key)
+    if total > 4 * n:
+        rows = rows.filter(F.pmod(digest, F.lit(1 << 40)) < int((1 << 40) * 4 * n / total))
+    return rows.orderBy(F.pmod(digest, F.lit(1 << 40)), *key).limit(n)
+
+
 def settled(df, label: str):
     """``workspace.store`` that also removes the shuffle files of the write as soon as it is complete.
 
