@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.divergence import CLASSES, class_counts, repeated_lines, repeated_words
-from tesserae.llm.tasks import filled, kept_rows, settled, slices
+from tesserae.llm.tasks import filled, kept_rows, picked, settled, slices
 from tesserae.llm.words import Words
 
 FOLDS = 5
@@ -208,10 +208,8 @@ def learn(rows: DataFrame, labels: DataFrame, settings: Settings) -> Machine | f
     ones, total = counts.get(1, 0), sum(counts.values())
     if len(counts) < 2:
         return (ones + 1) / (total + 2)
-    picked = [
-        known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample) for c in (0, 1)
-    ]
-    sample = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    some = [picked(known.filter(F.col("label") == c), settings.sample, counts[c], "doc_id") for c in (0, 1)]
+    sample = rows.join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
 
     def run(batches):
         for batch in slices(batches, "text"):
