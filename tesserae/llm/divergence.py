@@ -1,7 +1,8 @@
 """Quality rules: plain counts, and the distance of a document's histograms from its language's.
 
 For every language the whole table gives two references: the shares of character classes, and the
-shares of its most common words with one bin for all other words. A document is compared with the
+shares of its ``common`` most common words, of those that make up at least ``least_share`` of all,
+with one bin for all other words. A document is compared with the
 references of its language by the Jensen-Shannon distance (base 2, from 0 to 1) and rejected when
 it is further away than a limit, provided that it is long enough for its histogram to mean
 something. Languages outside the ``languages`` largest, those in fewer than ``least_docs``
@@ -45,6 +46,7 @@ class Limits:
     word_distance: float = 0.50
     word_words: int = 80
     common: int = 64
+    least_share: float = 0.001
     languages: int = 200
     least_docs: int = 100
 
@@ -127,10 +129,16 @@ def references(rows: DataFrame, limits: Limits) -> dict:
     langs = [r.lang for r in largest.select("lang").collect()]
     whole = counts.groupBy("kind", "key").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "kind", "key", "n")
     counts = counts.filter(F.col("lang").isin(langs)).unionByName(whole) if langs else whole
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     words = counts.filter(F.col("kind") == WORD)
-    common = words.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limits.common).drop("place")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(DOCS).alias("kind"), F.lit(0).cast("bigint").alias("key"), "n")
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = settled(totals.select("lang", F.lit(DOCS).alias("kind"), F.lit(0).cast("bigint").alias("key"), "n"), "corpus-totals")
+    # A language has at most 1 / least_share such words, so ranking them takes no time at any scale.
+    sums = F.broadcast(totals.select(F.col("lang").alias("of"), F.col("n").alias("total")))  # a row per language
+    frequent = words.join(sums, F.col("lang").eqNullSafe(F.col("of")))
+    frequent = frequent.filter(F.col("n") >= limits.least_share * F.col("total"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
+    common = frequent.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limits.common)
+    common = common.select("lang", "kind", "key", "n")
     found = common.unionByName(counts.filter(F.col("kind") == CLASS)).unionByName(totals).collect()
     result = {}
     for lang in [*langs, ALL]:
