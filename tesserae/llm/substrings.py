@@ -174,7 +174,8 @@ class Repeats:
         self.heads = settled(heads(rows), "repeat-heads")
         whole = self.heads.filter(F.col("n_words") >= width)
         owners = whole.groupBy(*same).agg(F.min("d").alias("owner"), F.max("d").alias("last"))
-        owners = owners.filter("owner < last").select(*same, "owner")
+        # Stored, so that the join below is one of two plain scans, whose hot keys Spark splits.
+        owners = settled(owners.filter("owner < last").select(*same, "owner"), "repeat-owners")
         copies = whole.join(owners, same).filter(F.col("d") > F.col("owner"))
         self.copies = settled(copies.select("d", "k", "n_words").distinct(), "repeat-copies")
 
