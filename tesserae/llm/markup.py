@@ -42,12 +42,12 @@ MARK_NAMES = tuple(MARKS)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)[^>]*>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+)(>?)"
     r"|<[!?][^>]*>"
-    r"|<[a-zA-Z/!?][^>]*\Z",
+    r"|<[/!?][^>]*\Z",
     re.S,
 )
+BORDER = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PIECES = re.compile(r"[a-z]+")
 
@@ -80,6 +80,26 @@ def marks_of(attributes: str) -> tuple[int, int]:
     return bits, truth
 
 
+def tag_end(page: str, at: int, lost: set[int]) -> int:
+    """Where the tag with a quote at ``at`` has its ``>`` outside quotes, or -1 if a quote stays open.
+
+    ``lost`` collects the opening quotes from which no end was found, so that a page with many of
+    them is still scanned in linear time.
+    """
+    seen = []
+    while found := BORDER.search(page, at):
+        if found[0] == ">":
+            return found.start()
+        if found.start() in lost:
+            break
+        seen.append(found.start())
+        at = page.find(found[0], found.end()) + 1
+        if not at:
+            break
+    lost.update(seen)
+    return -1
+
+
 def parse(page: str) -> Tree:
     """The block tree of a page. Wrong or missing end tags are repaired; scripts, styles and hidden elements are left out."""
     tree = Tree()
@@ -87,6 +107,7 @@ def parse(page: str) -> Tree:
     run: list[str] = []
     linked = links = hidden = 0
     at, size = 0, len(page)
+    lost: set[int] = set()
 
     def block() -> int:
         return next((n for _, n in reversed(stack) if n >= 0), -1)
@@ -146,11 +167,17 @@ def parse(page: str) -> Tree:
             break
         say(page[at : found.start()])
         at = found.end()
-        name = found[2] or found[5]
-        if not name:
+        if not found[2]:
             continue
-        name, attributes = name.lower(), found[3] or ""
-        if found[1] or found[4]:
+        name, attributes = found[2].lower(), found[3]
+        if not found[4]:  # a quote, or the end of the page
+            stop = tag_end(page, at, lost) if at < size else -1
+            attributes = page[found.end(2) : stop] if stop >= 0 else ""
+            stop = stop if stop >= 0 else page.find(">", at)
+            if stop < 0:
+                break
+            at = stop + 1
+        if found[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     close(i)

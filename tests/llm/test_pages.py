@@ -223,6 +223,24 @@ def test_trees_repair_markup():
     assert all(up < i < tree.end[i] for i, up in enumerate(tree.parent))
 
 
+@pytest.mark.parametrize("size", [4_000, 4_097, 100_000])
+@pytest.mark.parametrize("quote", "\"'")
+def test_attribute_values_of_any_length(size, quote):
+    page = f"<p>before</p><div class=sidebar data-x={quote}{'a' * (size - 9)} b>c LEAK{quote}>text</div>after"
+    tree = markup.parse(page)
+    assert [s for s in tree.text if s] == ["before", "text", "after"]
+    marked = [m for t, m in zip(tree.tag, tree.marks) if markup.BLOCKS[t] == "div"]
+    assert marked == [1 << markup.MARK_NAMES.index("sidebar")]
+
+
+def test_open_quotes():
+    texts_of = lambda page: [s for s in markup.parse(page).text if s]
+    assert texts_of("<div x='a>b</div><p class=\"c>d") == ["b", "d"]
+    assert texts_of("a<div x='b") == texts_of("a<div x") == texts_of("a</") == ["a"]
+    n = 100_000
+    assert texts_of("<i \">\"" * n)[0].count('"') == n  # every tag has an open quote; linear
+
+
 def test_forest_learns_a_product():
     rng = np.random.default_rng(0)
     x = rng.uniform(-1, 1, (4000, 4)).astype(np.float32)
