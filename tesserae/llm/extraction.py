@@ -7,10 +7,12 @@ block one of three states - all of it is kept, none of it, or its children decid
 product of chances over the page is greatest: a block in a dropped one is dropped, and a block in
 a kept one is kept.
 
-The forests are fitted on at most ``sample`` pages, picked by a digest among those of at most
-``page_chars`` characters: once as they are, where an article or main element marks the
-main text, and ``variants`` times rebuilt, with their own text under other elements, attributes and
-surroundings (side bars, notices, forms, comments). Everything else is a map over the table.
+The forests are fitted on at most ``sample`` pages, picked by a digest among all that are not empty,
+or among those with a run of words if the first pick has none: once as they are, where an article or
+main element marks the main text, and ``variants`` times rebuilt, with their own text under other elements, attributes and
+surroundings (side bars, notices, forms, comments). Of a page of more than ``page_chars`` characters
+the sample has the first blocks with text, written anew without scripts, comments and other
+attributes, so that it stays within that size. Everything else is a map over the table.
 
 Defined results: a null or empty page, or one without main text, gives an empty text; a table in
 which no sampled page marks its main text is judged by rebuilt pages alone, and if there is no text
@@ -29,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.boosting import Forest, fit
-from tesserae.llm.markup import BLOCKS, MARK_NAMES, NUMBER, Tree, parse
-from tesserae.llm.tasks import picked, slices, strings
+from tesserae.llm.markup import BLOCKS, MARK_NAMES, MARKS, NUMBER, Tree, parse
+from tesserae.llm.tasks import below, digest, slices, strings
 
 MAIN = tuple(NUMBER[n] for n in ("article", "main"))
 FURNITURE = tuple(NUMBER[n] for n in ("nav", "header", "footer", "aside", "form", "menu", "dialog"))
@@ -231,6 +233,68 @@ def rebuilt(tree: Tree, kept: list[bool], others: list[str], rng: random.Random)
     return f"<html><head><title>{words(1, 8)}</title></head><body>{before}{inside}{after}</body></html>"
 
 
+def shortened(page: str, limit: int) -> str:
+    """The page, or if it is longer than ``limit`` its first blocks with text, as markup of about ``limit`` characters.
+
+    Half of the limit is left to text, however deep the blocks are nested.
+    """
+    if len(page) <= limit:
+        return page
+    tree = parse(page)
+    chars = np.concatenate([[0], np.cumsum([len(s) for s in tree.text])])
+    out, opened, size, room = [], [], 0, limit // 2
+    for i, text in enumerate(tree.text):
+        while opened and opened[-1][1] <= i:
+            out.append(f"</{opened.pop()[0]}>")
+        if size >= limit:
+            break
+        if text:
+            text = text[: limit - size]
+            link = min(tree.linked[i], len(text))
+            escape = lambda s: s.replace("&", "&amp;").replace("<", "&lt;")
+            out.append((f"<a>{escape(text[:link])}</a>" if link else "") + escape(text[link:]) + "<hr>")
+            size += len(out[-1])
+        elif chars[tree.end[i]] > chars[i] and room > 0:
+            name = BLOCKS[tree.tag[i]]
+            words = " ".join(own.split()[0] for j, own in enumerate(MARKS.values()) if tree.marks[i] >> j & 1)
+            attributes = (f' class="{words}"' if words else "") + (f' data-main="{tree.truth[i]}"' if tree.truth[i] >= 0 else "")
+            out.append(f"<{name}{attributes}>")
+            opened.append((name, tree.end[i]))
+            size += 2 * len(out[-1])  # its end tag included
+            room -= 2 * len(out[-1])
+    return "".join(out) + "".join(f"</{name}>" for name, _ in reversed(opened))
+
+
+def has_words(page: str) -> bool:
+    """Whether the page has a run that rebuilt pages can be made of."""
+    return any(len(s.split()) > 2 for s in parse(page).text)
+
+
+def sampled(rows: DataFrame, settings: Settings) -> list[str]:
+    """At most ``sample`` of the pages ``html`` of ``rows``, shortened in the tasks that read them."""
+
+    def run(batches):
+        for batch in slices(batches, "html", 1 << 21):
+            pages = pa.array([shortened(p, settings.page_chars) for p in strings(batch.column("html"))], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pages], ["digest", "html"])
+
+    few = below(rows, settings.sample, rows.count(), "page_id", "html")
+    few = few.select(digest("page_id", "html").alias("digest"), "html").mapInArrow(run, "digest bigint, html string")
+    return [r.html for r in few.orderBy("digest", "html").limit(settings.sample).collect()]
+
+
+def learned(rows: DataFrame, settings: Settings) -> tuple[Forest, Forest] | None:
+    """The forests of a sample of ``rows``; of one among the pages with words if the first has none."""
+
+    def run(batches):
+        for batch in slices(batches, "html", 1 << 21):
+            yield batch.filter(pa.array([has_words(p) for p in strings(batch.column("html"))], pa.bool_()))
+
+    rows = rows.filter(F.length("html") > 0)
+    forests = learn(sampled(rows, settings), settings)
+    return forests or learn(sampled(rows.mapInArrow(run, rows.schema), settings), settings)
+
+
 def learn(pages: list[str], settings: Settings) -> tuple[Forest, Forest] | None:
     """The forests (any main text, nothing but main text) of sampled pages, or None without any text."""
     rng = random.Random(settings.seed)
@@ -295,9 +359,7 @@ def extract(
     rows = pages.select(
         F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).cast("string").alias("html")
     )
-    short = rows.filter(F.length("html").between(1, settings.page_chars))
-    sample = picked(short, settings.sample, rows.count(), "page_id", "html").select("html")
-    forests = learn([r.html for r in sample.collect()], settings)
+    forests = learned(rows.select("page_id", "html"), settings)
     parts = forests and [(f.base, f.features, f.limits, f.values) for f in forests]
     model = pages.sparkSession.sparkContext.broadcast(parts)  # two forests of a fixed size
 

@@ -78,19 +78,25 @@ def kept_rows(docs, column: str, mask: Callable[[pa.RecordBatch], list]):
     return docs.mapInArrow(run, docs.schema)
 
 
-def picked(rows, n: int, total: int, *key: str):
-    """``n`` of ``total`` rows by the smallest digests of ``key``, or all if there are fewer.
+def digest(*key: str):
+    """The low 40 bits of a digest of ``key``."""
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+
 
-    Rows whose digest is far above the n-th smallest are left out first, so that what tasks hand on
-    for the final choice has the size of the sample, however many tasks there are. Digests are
-    uniform, so with four times the share needed a shortfall is next to impossible.
+def below(rows, n: int, total: int, *key: str):
+    """Of ``total`` rows those whose digest of ``key`` is not far above the n-th smallest.
+
+    What tasks hand on for a final choice then has the size of the sample, however many tasks there
+    are. Digests are uniform, so with four times the share needed a shortfall is next to impossible.
     """
-    from pyspark.sql import functions as F
+    return rows.filter(digest(*key) < int((1 << 40) * 4 * n / total)) if total > 4 * n else rows
 
-    digest = F.xxhash64(*key)
-    if total > 4 * n:
-        rows = rows.filter(F.pmod(digest, F.lit(1 << 40)) < int((1 << 40) * 4 * n / total))
-    return rows.orderBy(F.pmod(digest, F.lit(1 << 40)), *key).limit(n)
+
+def picked(rows, n: int, total: int, *key: str):
+    """``n`` of ``total`` rows by the smallest digests of ``key``, or all if there are fewer."""
+    return below(rows, n, total, *key).orderBy(digest(*key), *key).limit(n)
 
 
 def settled(df, label: str):

@@ -195,6 +195,40 @@ def test_extraction_of_rebuilt_pages():
     assert right >= 0.85 * 150 and missed <= 0.05 * kept and extra <= 0.02 * kept
 
 
+def sampled_size(spark, monkeypatch, rows):
+    """How many pages the forests of ``rows`` were fitted on, None if there are no forests, and the longest page."""
+    seen = []
+    original = extraction.learn
+    monkeypatch.setattr(extraction, "learn", lambda pages, settings: seen.append(pages) or original(pages, settings))
+    frame = spark.createDataFrame(rows, "page_id bigint, html string")
+    forests = extraction.learned(frame, extraction.Settings(trees=2))
+    return (len(seen[-1]) if forests else None), max(map(len, seen[-1]), default=0)
+
+
+def test_samples_are_drawn_from_the_pages_with_text(spark, monkeypatch):
+    page = lambda i: f"<nav>go to it</nav><article><p>some words of page {i}</p></article>"
+    few = [(i, page(i)) for i in range(150)]
+    assert sampled_size(spark, monkeypatch, few + [(i, None) for i in range(2_000)] + [(i, "") for i in range(2_000)])[0] == 120
+    assert sampled_size(spark, monkeypatch, few[:1] + [(i, "<br>") for i in range(5_000)])[0] == 1
+    long = [(i, page(i).replace("<article>", f"<article><script>{'x' * 70_000}</script>")) for i in range(3)]
+    long += [(9, page(9) * 5_000)]
+    assert sampled_size(spark, monkeypatch, long) == (4, pytest.approx(1 << 16, rel=0.6))
+    assert sampled_size(spark, monkeypatch, [(1, None), (2, "<br>")])[0] is None
+
+
+def test_shortened_pages_keep_their_blocks():
+    page = "<main class='post row'><p>a &lt;b</p><a>all linked</a><!-- c --><hr>x y<div class=ad data-main=0><ul><li>z</ul></div><p></p></main>"
+    page = page.replace("c -->", "c" * 1_000 + "-->")
+    whole, cut = markup.parse(page), markup.parse(extraction.shortened(page, len(page) - 1))
+    assert (cut.text, cut.linked, cut.truth) == tuple(v[:-1] for v in (whole.text, whole.linked, whole.truth))
+    assert (cut.tag, cut.marks, cut.parent) == tuple(v[:-1] for v in (whole.tag, whole.marks, whole.parent))
+    assert has_text(extraction.shortened("<div>" * 1_000 + "deep text here", 500)) == ["deep text here"]
+
+
+def has_text(page):
+    return [s for s in markup.parse(page).text if s]
+
+
 def test_decoding_is_the_best_consistent_choice():
     import itertools
 
