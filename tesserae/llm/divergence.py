@@ -5,9 +5,11 @@ shares of its ``common`` most common words, of those that make up at least ``lea
 with one bin for all other words. A document is compared with the
 references of its language by the Jensen-Shannon distance (base 2, from 0 to 1) and rejected when
 it is further away than a limit, provided that it is long enough for its histogram to mean
-something. Languages outside the ``languages`` largest, those in fewer than ``least_docs``
-documents and nulls are compared with the references of the whole table, so what is sent to the
-tasks is bounded by ``languages`` * (``common`` + classes) numbers.
+something, and its reference has at least ``reference_chars`` characters or ``reference_words``
+words. Nulls and languages in fewer than ``least_docs`` documents have the distance from the whole
+table, which never rejects. The references of the ``languages`` largest languages are sent to the
+tasks, so that is bounded by ``languages`` * (``common`` + classes) numbers; documents of all
+others are joined with theirs.
 
 Defined results: a null text is an empty one, which fails the base rules; repeated rows are judged
 alike; an empty table gives an empty result. Only the named columns are read.
@@ -33,8 +35,9 @@ REPEAT_PERCENT = 50
 
 CLASSES = ("lower", "upper", "digit", "blank", "line", "sentence", "exclamation", "symbol", "beyond_ascii", "control")
 SENTENCE = b".,;:?'\"()-/"
-WORD, CLASS, DOCS = range(3)
+WORD, CLASS, DOCS, TOTAL = range(4)
 ALL = None
+REFERENCE = "_language_reference"
 
 
 @dataclass(frozen=True)
@@ -48,7 +51,9 @@ class Limits:
     common: int = 64
     least_share: float = 0.001
     languages: int = 200
-    least_docs: int = 100
+    least_docs: int = 1
+    reference_chars: int = 10_000
+    reference_words: int = 4_000
 
 
 def class_table():
@@ -114,24 +119,19 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
-def references(rows: DataFrame, limits: Limits) -> dict:
-    """Per language, and under ``ALL`` for the whole table: (class counts, word count, common word keys, their counts).
+def references(rows: DataFrame, limits: Limits) -> tuple[dict, DataFrame | None]:
+    """References by language, and under ``ALL`` that of the whole table, as ``unpacked`` gives them.
 
-    At most ``languages`` languages and ``common`` words of each reach the driver.
+    At most ``languages`` languages and ``common`` words of each reach the driver. The second value
+    has ``lang`` and ``REFERENCE``, the packed reference, of all other languages, or is None without any.
     """
 
     counts = settled(corpus_counts(rows), "corpus-counts")
-    largest = (
-        counts.filter((F.col("kind") == DOCS) & F.col("lang").isNotNull() & (F.col("n") >= limits.least_docs))
-        .orderBy(F.desc("n"), "lang")
-        .limit(limits.languages)
-    )
-    langs = [r.lang for r in largest.select("lang").collect()]
     whole = counts.groupBy("kind", "key").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "kind", "key", "n")
-    counts = counts.filter(F.col("lang").isin(langs)).unionByName(whole) if langs else whole
+    counts = counts.filter(F.col("lang").isNotNull()).unionByName(whole)
     words = counts.filter(F.col("kind") == WORD)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    totals = settled(totals.select("lang", F.lit(DOCS).alias("kind"), F.lit(0).cast("bigint").alias("key"), "n"), "corpus-totals")
+    totals = settled(totals.select("lang", F.lit(TOTAL).alias("kind"), F.lit(0).cast("bigint").alias("key"), "n"), "corpus-totals")
     # A language has at most 1 / least_share such words, so ranking them takes no time at any scale.
     sums = F.broadcast(totals.select(F.col("lang").alias("of"), F.col("n").alias("total")))  # a row per language
     frequent = words.join(sums, F.col("lang").eqNullSafe(F.col("of")))
@@ -139,18 +139,51 @@ def references(rows: DataFrame, limits: Limits) -> dict:
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     common = frequent.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limits.common)
     common = common.select("lang", "kind", "key", "n")
-    found = common.unionByName(counts.filter(F.col("kind") == CLASS)).unionByName(totals).collect()
-    result = {}
-    for lang in [*langs, ALL]:
-        own = [r for r in found if r.lang == lang]
-        classes = np.zeros(len(CLASSES))
-        for r in own:
-            if r.kind == CLASS:
-                classes[r.key] = r.n
-        best = sorted((r.key, r.n) for r in own if r.kind == WORD)
-        total = sum(r.n for r in own if r.kind == DOCS)
-        result[lang] = classes, total, np.array([k for k, _ in best], np.int64), np.array([n for _, n in best], float)
-    return result
+    found = common.unionByName(counts.filter(F.col("kind").isin(CLASS, DOCS))).unionByName(totals)
+    docs = F.max(F.when(F.col("kind") == DOCS, F.col("n"))).alias("docs")
+    packed = found.groupBy("lang").agg(docs, F.collect_list(F.struct("kind", "key", "n")).alias(REFERENCE))
+    packed = settled(packed.filter(F.col("lang").isNull() | (F.col("docs") >= limits.least_docs)), "language-references")
+    order = F.col("lang").isNull().desc(), F.desc("docs"), "lang"
+    largest = packed.orderBy(*order).limit(limits.languages + 1).collect()
+    known = {r.lang: unpacked(r[REFERENCE]) for r in largest} or {ALL: unpacked([])}
+    if len(largest) <= limits.languages:
+        return known, None
+    others = packed.filter(~F.col("lang").isin([x for x in known if x is not ALL])).select("lang", REFERENCE)
+    return known, others
+
+
+def unpacked(entries) -> tuple:
+    """(class counts, word count, common word keys, their counts) of a packed reference."""
+    classes = np.zeros(len(CLASSES))
+    for r in entries:
+        if r["kind"] == CLASS:
+            classes[r["key"]] = r["n"]
+    best = sorted((r["key"], r["n"]) for r in entries if r["kind"] == WORD)
+    total = sum(r["n"] for r in entries if r["kind"] == TOTAL)
+    return classes, total, np.array([k for k, _ in best], np.int64), np.array([n for _, n in best], float)
+
+
+def with_references(rows: DataFrame, lang_column: str, known: dict, others: DataFrame | None) -> DataFrame:
+    """``rows``, and if there are ``others`` the packed references of these languages as a further column."""
+    if others is None:
+        return rows
+    lang = F.col(lang_column).cast("string")
+    small = lang.isNotNull() & ~lang.isin([x for x in known if x is not ALL])
+    rest = others.withColumnRenamed("lang", "_reference_of")
+    joined = rows.filter(small).join(rest, F.col(lang_column).cast("string") == F.col("_reference_of"), "left").drop("_reference_of")
+    plain = rows.filter(~small).withColumn(REFERENCE, F.lit(None).cast(others.schema[REFERENCE].dataType))
+    return plain.unionByName(joined)
+
+
+def all_known(batch: pa.RecordBatch, langs: list, known: dict) -> dict:
+    """``known`` and the references that the rows of the batch bring along."""
+    if REFERENCE not in batch.schema.names:
+        return known
+    column, more = batch.column(REFERENCE), {}
+    for i, lang in enumerate(langs):
+        if lang not in known and lang not in more and column[i].is_valid:
+            more[lang] = unpacked(column[i].as_py())
+    return known | more
 
 
 def distances(counts, reference):
@@ -203,9 +236,12 @@ def measured(text: pa.Array, langs: list, known: dict, limits: Limits) -> dict[s
     repeats = repeated_words(words, keys)
     langs = [x if x in known else ALL for x in langs]
     by_class, by_word = np.zeros(words.n_texts), np.zeros(words.n_texts)
+    class_counted, words_counted = np.zeros(words.n_texts, bool), np.zeros(words.n_texts, bool)
     for lang in set(langs):
         own = np.array([x == lang for x in langs])
         reference, total, common, counts = known[lang]
+        class_counted[own] = lang is not ALL and reference.sum() >= limits.reference_chars
+        words_counted[own] = lang is not ALL and total >= limits.reference_words
         by_class[own] = distances(classes[own], reference)
         mine = own[owner]
         asked = keys[mine].view(np.int64)
@@ -218,8 +254,8 @@ def measured(text: pa.Array, langs: list, known: dict, limits: Limits) -> dict[s
         table = np.bincount(number[owner[mine]] * width + place, minlength=int(own.sum()) * width)
         by_word[own] = distances(table.reshape(-1, width), np.append(counts, total - counts.sum()))
     failed = (words.counts < LEAST_WORDS) | (100 * repeats > REPEAT_PERCENT * words.counts)
-    far = (by_class > limits.class_distance) & (classes.sum(axis=1) >= limits.class_chars)
-    far |= (by_word > limits.word_distance) & (words.counts >= limits.word_words)
+    far = class_counted & (by_class > limits.class_distance) & (classes.sum(axis=1) >= limits.class_chars)
+    far |= words_counted & (by_word > limits.word_distance) & (words.counts >= limits.word_words)
     return {
         "n_words": words.counts.astype(np.int64),
         "word_chars": per_text(words.solid & inside).astype(np.int64),
@@ -233,7 +269,7 @@ def measured(text: pa.Array, langs: list, known: dict, limits: Limits) -> dict[s
     }
 
 
-def language_references(docs: DataFrame, text_column: str, lang_column: str, limits: Limits) -> dict:
+def language_references(docs: DataFrame, text_column: str, lang_column: str, limits: Limits) -> tuple[dict, DataFrame | None]:
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
     return references(docs.select(F.col(lang_column).cast("string").alias("lang"), text), limits)
 
@@ -246,7 +282,7 @@ def judge(
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Per row: ``doc_id``, the base counts, both distances, ``base_failed`` and ``kept``."""
-    known = language_references(docs, text_column, lang_column, limits)
+    known, others = language_references(docs, text_column, lang_column, limits)
     rows = docs.select(
         F.col(id_column).alias("doc_id"),
         F.col(lang_column).cast("string").alias("lang"),
@@ -255,13 +291,14 @@ def judge(
 
     def run(batches):
         for batch in slices(batches, "text"):
-            found = measured(filled(batch, "text"), batch.column("lang").to_pylist(), known, limits)
+            langs = batch.column("lang").to_pylist()
+            found = measured(filled(batch, "text"), langs, all_known(batch, langs, known), limits)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *map(pa.array, found.values())], ["doc_id", *found]
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
+    return with_references(rows, "lang", known, others).mapInArrow(
         run,
         f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
         "n_repeat_words bigint, class_distance double, word_distance double, base_failed boolean, kept boolean",
@@ -270,9 +307,10 @@ def judge(
 
 def passing(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs``, with all columns, that ``judge`` keeps."""
-    known = language_references(docs, text_column, lang_column, limits)
-    return kept_rows(
-        docs,
-        text_column,
-        lambda batch: measured(filled(batch, text_column), batch.column(lang_column).to_pylist(), known, limits)["kept"],
-    )
+    known, others = language_references(docs, text_column, lang_column, limits)
+
+    def kept(batch):
+        langs = batch.column(lang_column).cast(pa.string()).to_pylist()
+        return measured(filled(batch, text_column), langs, all_known(batch, langs, known), limits)["kept"]
+
+    return kept_rows(with_references(docs, lang_column, known, others), text_column, kept).select(docs.columns)

@@ -172,6 +172,25 @@ def test_distances_from_the_language_reference(spark):
     assert kept.columns == frame(spark, rows).columns
 
 
+@pytest.mark.parametrize("n", [20, 99, 101])
+def test_rare_languages_meet_their_own_reference(spark, n):
+    import random
+
+    rng = random.Random(1)
+    make = lambda letters: ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(150)]
+    latin, other = make("abcdefghij"), make("абвгдежзик")
+    text = lambda own: " ".join(rng.choices(own, k=120))
+    rows = [(i, text(latin), "en") for i in range(300)] + [(1000 + i, text(other), "ru") for i in range(n)]
+    rows += [(2000, text(other), None), (2001, text(other), "single")]
+    rows += [(3000, " ".join(f"{w.upper()}%%{i}!!!!" for i, w in enumerate(rng.choices(latin, k=120))), "ru")]
+    for limits in (divergence.Limits(), divergence.Limits(languages=1)):
+        got = {r.doc_id: r for r in divergence.judge(frame(spark, rows), limits=limits).collect()}
+        assert {i for i, r in got.items() if not r.kept} == {3000}
+        kept = divergence.passing(frame(spark, rows), limits=limits)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got) - {3000})
+        assert got[1000].class_distance < limits.class_distance and got[2001].class_distance == pytest.approx(0, abs=1e-6)
+
+
 def removed(rows, width):
     """Kept words of each row, by comparing every window with all windows of smaller ids."""
     order = lambda i: math.inf if i is None else i
