@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import archives, divergence, extraction, factorization, packing, sentences, simhash, topk, urls
+from tesserae.llm import archives, conversations, divergence, extraction, factorization, packing, prefix_bpe
+from tesserae.llm import resampling, sentences, simhash, topk, urls
 from tesserae.llm.sql import ORACLES  # noqa: F401
 from tesserae.llm.substrings import Repeats
 
@@ -78,4 +79,22 @@ def op10_boosted_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.extract(read(spark, sf, "pages", "page_id", "url", "html"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the prefix trie of the conversations, rebuilt to share beginnings."""
+    turns = conversations.turns(read(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
+    return conversations.trie(conversations.rebuilt(turns))
+
+
+def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw towards the benchmark texts."""
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    return resampling.resample(docs, read(spark, sf, "benchmark", "text"))
+
+
+def op13_prefix_sharing_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of every document's byte-level BPE ids and of the text that they decode to."""
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    return prefix_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op")}
