@@ -704,3 +704,151 @@ ORACLES["decoded_vectors"] = with_parts(
     {**VECTOR_PARTS, "rebuilt_v": "SELECT vec_id, list_transform(list_zip(e, v), lambda z: z[1] - z[2]) AS rebuilt FROM v2"},
     "SELECT vec_id, round(list_dot_product(rebuilt, rebuilt), 6) AS norm2 FROM rebuilt_v",
 )
+
+# --- recommendation lists, baselines and collisions ---
+SUPPLIER_LINES = """SELECT o_custkey AS u, l_suppkey AS i, l_quantity, year(o_orderdate) >= 1996 AS late
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+def ranking_parts(lists: dict[str, str], cutoffs: tuple[int, ...]) -> dict[str, str]:
+    """Per user and K, from ``scores`` (g, u, i, s) and ``gains`` (g, u, i, w), each item once."""
+    return {
+        **lists,
+        "placed": "SELECT *, row_number() OVER (PARTITION BY g, u ORDER BY s DESC, i) AS p FROM scores",
+        "hits": "SELECT g, u, p, w FROM placed JOIN gains USING (g, u, i)",
+        "best": "SELECT *, row_number() OVER (PARTITION BY g, u ORDER BY w DESC, i) AS p FROM gains",
+        "cuts": f"SELECT unnest({list(cutoffs)}) AS k",
+        "judged": "SELECT g, u, count(*) AS n_relevant FROM gains GROUP BY g, u",
+        "found": """SELECT g, u, k, count(p) FILTER (p <= k) AS n, sum(w / log2(1 + p)) FILTER (p <= k) AS dcg, min(p) AS first
+            FROM judged CROSS JOIN cuts LEFT JOIN hits USING (g, u) GROUP BY g, u, k""",
+        "most": "SELECT g, u, k, sum(w / log2(1 + p)) AS idcg FROM best JOIN cuts ON p <= k GROUP BY g, u, k",
+        "each_user": """SELECT g, u, k, n_relevant, n / n_relevant AS recall, (n > 0)::INTEGER::DOUBLE AS hit,
+            coalesce(dcg, 0.0) / idcg AS ndcg, coalesce(1.0 / first, 0.0) AS mrr
+            FROM found JOIN most USING (g, u, k) JOIN judged USING (g, u)""",
+    }
+
+
+SUPPLIER_LISTS = {
+    "rows": SUPPLIER_LINES,
+    "scores": "SELECT 0 AS g, u, i, sum(l_quantity) AS s FROM rows WHERE NOT late GROUP BY u, i",
+    "gains": "SELECT 0 AS g, u, i, count(*) AS w FROM rows WHERE late GROUP BY u, i",
+}
+RANKING = """SELECT {0} k::INTEGER AS k, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit, round(avg(ndcg), 6) AS ndcg,
+    round(avg(mrr), 6) AS mrr, count(*) AS num_users, coalesce(any_value(unjudged), 0) AS num_unjudged
+    FROM each_user LEFT JOIN (SELECT g, count(DISTINCT u) AS unjudged FROM scores ANTI JOIN judged USING (g, u) GROUP BY g)
+    USING (g) GROUP BY g, k"""
+ORACLES["ranking_metrics"] = with_parts(ranking_parts(SUPPLIER_LISTS, (5, 10, 50, 100)), RANKING.format(""))
+SHOWN = ", ".join(f"round(max({m}) FILTER (k = {k}), 6) AS {m}_{k}" for k in (5, 10) for m in ("recall", "hit", "ndcg"))
+ORACLES["ranking_per_user"] = with_parts(
+    ranking_parts(SUPPLIER_LISTS, (5, 10)),
+    f'SELECT u AS "user", any_value(n_relevant) AS n_relevant, round(max(mrr), 6) AS mrr, {SHOWN} FROM each_user GROUP BY u',
+)
+CLICK_LISTS = {
+    "rows": """SELECT event_type AS g, user_id AS u, json_extract_string(props, '$.k')::INTEGER AS i,
+               floor(value / 4) AS s, hour(ts) >= 20 AS night FROM events""",
+    "scores": "SELECT g, u, i, max(s) AS s FROM rows WHERE NOT night GROUP BY g, u, i",
+    "gains": "SELECT g, u, i, 1.0::DOUBLE AS w FROM rows WHERE night GROUP BY g, u, i",
+}
+ORACLES["ranking_by_category"] = with_parts(
+    ranking_parts(CLICK_LISTS, (5, 10, 50, 100)), RANKING.format("g AS category,")
+)
+
+
+def prefixes_of(rows: str, size: int) -> str:
+    return f"""SELECT *, array_to_string(ids[1:length], ',') AS prefix
+               FROM (SELECT *, unnest(range(1, {size + 1}))::INTEGER AS length FROM ({rows}))"""
+
+
+def purity_sql(rows: str, label: str, size: int) -> str:
+    return f"""SELECT length, prefix, sum(c)::BIGINT AS n, count(*) AS n_labels, max(share) AS purity,
+                      -sum(share * ln(share)) AS entropy
+        FROM (SELECT length, prefix, {label}, count(*) AS c,
+                     count(*) / sum(count(*)) OVER (PARTITION BY length, prefix) AS share
+              FROM ({prefixes_of(rows, size)}) GROUP BY length, prefix, {label}) GROUP BY length, prefix"""
+
+
+ORACLES["prefix_purity"] = f"""
+SELECT length, prefix, n, n_labels, round(purity, 6) AS purity, round(entropy, 6) + 0.0 AS entropy
+FROM ({purity_sql(CODES, 'category', 3)})"""
+LEARNED = "SELECT vec_id, label, e, [v1.code, v2.code] AS ids FROM v1 JOIN (SELECT vec_id, code FROM v2) v2 USING (vec_id)"
+ORACLES["prefix_purity_by_length"] = with_parts(
+    {**VECTOR_PARTS, "learned": LEARNED},
+    f"""SELECT length, count(*) AS num_prefixes, sum(n)::BIGINT AS num_items, max(n) AS largest,
+        round(sum(n * purity) / sum(n), 6) AS purity, round(sum(n * entropy) / sum(n), 6) AS entropy
+        FROM ({purity_sql('FROM learned', 'label', 2)}) GROUP BY length""",
+)
+
+
+def pair_parts(rows: str, size: int) -> dict[str, str]:
+    """Every pair of vectors that shares a prefix, which small tables allow."""
+    return {
+        "rows": prefixes_of(rows, size),
+        "cosines": """SELECT a.length, a.prefix, list_cosine_similarity(a.e, b.e) AS c
+            FROM rows a JOIN rows b ON a.length = b.length AND a.prefix = b.prefix AND a.vec_id < b.vec_id""",
+        "sizes": "SELECT length, prefix, count(*) AS n FROM rows GROUP BY length, prefix",
+    }
+
+
+ORACLES["prefix_cosine"] = with_parts(
+    pair_parts(f"SELECT c.*, embedding::DOUBLE[] AS e FROM ({CODES}) c JOIN embeddings USING (vec_id)", 3),
+    """SELECT length, prefix, n, round(avg(c), 6) AS cosine FROM sizes LEFT JOIN cosines USING (length, prefix)
+       GROUP BY length, prefix, n""",
+)
+ORACLES["prefix_cosine_by_length"] = with_parts(
+    {**VECTOR_PARTS, "learned": LEARNED, **pair_parts("FROM learned", 2)},
+    """SELECT length, num_prefixes, num_items, coalesce(num_pairs, 0) AS num_pairs, cosine
+       FROM (SELECT length, count(*) AS num_prefixes, sum(n)::BIGINT AS num_items FROM sizes GROUP BY length)
+       LEFT JOIN (SELECT length, count(*) AS num_pairs, round(avg(c), 6) AS cosine FROM cosines GROUP BY length) USING (length)""",
+)
+
+
+def hashed_sql(key: str, size: int, codes: int = 16) -> str:
+    return "[" + ", ".join(f"floor({unit(42, key, str(p))} * {codes})::INTEGER" for p in range(size)) + "]"
+
+
+def permuted_parts(rows: str, number: str, a: int, b: int) -> dict[str, str]:
+    """Six rounds in which each digit of radix a and b is shifted by a draw from the other."""
+    parts = {"digits0": f"SELECT *, ({number}) // {b} AS hi, ({number}) % {b} AS lo FROM ({rows})"}
+    for r in range(6):
+        shown = (
+            f"(hi + floor({unit(42, str(r), 'lo')} * {a})::BIGINT) % {a} AS hi"
+            if r % 2 == 0
+            else f"(lo + floor({unit(42, str(r), 'hi')} * {b})::BIGINT) % {b} AS lo"
+        )
+        parts[f"digits{r + 1}"] = f"SELECT * REPLACE ({shown}) FROM digits{r}"
+    return parts
+
+
+ORACLES["baseline_hash_ids"] = f"SELECT p_partkey, array_to_string({hashed_sql('p_partkey', 3)}, ',') AS ids FROM part"
+ORACLES["baseline_random_ids"] = with_parts(
+    {**ALL_IDS, **permuted_parts("SELECT category, item_id FROM iid", "item_id - 1", 61, 61)},
+    "SELECT category, item_id, CASE WHEN item_id <= 3721 THEN hi || ',' || lo END AS ids FROM digits6",
+)
+ORACLES["baseline_quality"] = with_parts(
+    {
+        **VECTOR_PARTS,
+        **permuted_parts("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS number FROM embeddings", "number", 16, 256),
+        "learned": LEARNED,
+        "together": f"""SELECT 'learned' AS category, ids FROM learned
+            UNION ALL SELECT 'hash', {hashed_sql('vec_id', 3)} FROM embeddings
+            UNION ALL SELECT 'random', [hi, lo // 16, lo % 16] FROM digits6""",
+    },
+    quality("FROM together"),
+)
+COLLISIONS = {
+    "coded": f"SELECT p_partkey AS item, {hashed_sql('p_partkey', 2)} AS ids FROM part",
+    "may": """SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS x, greatest(a.l_partkey, b.l_partkey) AS y
+        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+        WHERE a.l_partkey <> b.l_partkey""",
+    "colliding": """SELECT a.ids, x IS NOT NULL AS benign FROM coded a JOIN coded b ON a.ids = b.ids AND a.item < b.item
+        LEFT JOIN may ON x = a.item AND y = b.item""",
+    "tuples": """SELECT ids, n, count(*) AS pairs, count(*) FILTER (benign) AS benign, count(*) FILTER (NOT benign) AS harmful
+        FROM colliding JOIN (SELECT ids, count(*) AS n FROM coded GROUP BY ids) USING (ids) GROUP BY ids, n""",
+}
+ORACLES["tuple_collisions"] = with_parts(COLLISIONS, "SELECT * REPLACE (array_to_string(ids, ',') AS ids) FROM tuples")
+ORACLES["collision_split"] = with_parts(
+    COLLISIONS,
+    """SELECT *, round(harmful / pairs, 6) AS harmful_rate, round(harmful_items / num_items, 6) AS harmful_item_rate
+       FROM (SELECT (SELECT count(*) FROM coded) AS num_items, sum(pairs)::BIGINT AS pairs, sum(benign)::BIGINT AS benign,
+                    sum(harmful)::BIGINT AS harmful, sum(n) FILTER (harmful > 0)::BIGINT AS harmful_items FROM tuples)""",
+)

@@ -13,12 +13,16 @@ from registry import inputs as inp
 from tesserae.functions import text as tx
 from tesserae.functions.prompts import guessing_prompt, reference_text, without_answer
 from tesserae.operators import attributes as at
+from tesserae.operators import baselines as bl
 from tesserae.operators import codes as cd
+from tesserae.operators import collisions as cl
 from tesserae.operators import ids as idm
 from tesserae.operators import interactions as it
 from tesserae.operators import items as im
 from tesserae.operators import negatives as ng
+from tesserae.operators import prefixes as px
 from tesserae.operators import quantize as qz
+from tesserae.operators import recommendation as rm
 from tesserae.operators import reconstruction as rc
 from tesserae.operators import splits as sp
 from tesserae.operators.ranking import positions
@@ -963,3 +967,128 @@ def residual_codes_nulls(spark, sf):
     vectors = inp.table(spark, sf, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 7 > 0, F.col("embedding")))
     coded = qz.residual_codes(vectors, label_codebook(spark, sf), 2)
     return coded.select("vec_id", joined("ids", ",").alias("ids"))
+
+
+# --- recommendation lists, baselines and collisions -----------------------------------------
+
+
+def supplier_lists(spark: SparkSession, sf: str):
+    """(ranked, relevant): suppliers by what a customer bought of them early, and those bought of late, by lines."""
+    lines = inp.table(spark, sf, "lineitem", "l_orderkey", "l_suppkey", "l_quantity")
+    orders = inp.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+        F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("item"), "l_quantity",
+        (F.year("o_orderdate") >= 1996).alias("late"),
+    )
+    rows = store(rows, "supplier-lines")
+    early = rows.filter("not late").groupBy("user", "item").agg(F.sum("l_quantity").alias("score"))
+    return early, rows.filter("late").groupBy("user", "item").agg(F.count(F.lit(1)).alias("gain"))
+
+
+def ranking_row(metrics: DataFrame) -> DataFrame:
+    return rounded(metrics, *rm.METRICS, "mrr")
+
+
+@query
+def ranking_metrics(spark, sf):
+    return ranking_row(rm.ranking_metrics(*supplier_lists(spark, sf)))
+
+
+@query
+def ranking_per_user(spark, sf):
+    users = rm.per_user(*supplier_lists(spark, sf), cutoffs=(5, 10))
+    return rounded(users, "mrr", *[f"{m}_{k}" for k in (5, 10) for m in rm.METRICS])
+
+
+@query
+def ranking_by_category(spark, sf):
+    """Raw click lists with repeated items and many ties, per kind of event; what follows at night is relevant."""
+    rows = inp.table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "props", "value").select(
+        F.col("event_type").alias("category"), F.col("user_id").alias("user"),
+        F.get_json_object("props", "$.k").cast("int").alias("item"), F.floor(F.col("value") / 4).alias("score"),
+        (F.hour("ts") >= 20).alias("night"),
+    )
+    rows = store(rows, "clicks")
+    found = rm.ranking_metrics(rows.filter("not night"), rows.filter("night").drop("score"), group=("category",))
+    return ranking_row(found)
+
+
+@query
+def prefix_purity(spark, sf):
+    found = px.label_purity(inp.hashed_codes(spark, sf), SIZE, "category")
+    return rounded(found.withColumn("prefix", joined("prefix", ",")), "purity", "entropy")
+
+
+def labelled_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return store(coded_vectors(spark, sf).select("vec_id", "label", "ids", "embedding"), "coded")
+
+
+@query
+def prefix_purity_by_length(spark, sf):
+    found = px.purity_by_length(px.label_purity(labelled_codes(spark, sf), 2))
+    return rounded(found, "purity", "entropy")
+
+
+@query
+def prefix_cosine(spark, sf):
+    vectors = inp.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    codes = inp.hashed_codes(spark, sf).join(vectors, "vec_id")
+    found = px.pair_cosine(codes, SIZE)
+    return rounded(found.withColumn("prefix", joined("prefix", ",")), "cosine")
+
+
+@query
+def prefix_cosine_by_length(spark, sf):
+    return rounded(px.cosine_by_length(px.pair_cosine(labelled_codes(spark, sf), 2)), "cosine")
+
+
+def numbered_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = store(inp.table(spark, sf, "embeddings").select("vec_id", F.lit(0).alias("all")), "vectors")
+    return positions(rows, ["all"], ["vec_id"]).select("vec_id", (F.col("pos") - 1).alias("number"))
+
+
+@query
+def baseline_hash_ids(spark, sf):
+    items = inp.table(spark, sf, "part").select("p_partkey")
+    return bl.hash_ids(items, ["p_partkey"], SIZE, RANGE).withColumn("ids", joined("ids", ","))
+
+
+@query
+def baseline_random_ids(spark, sf):
+    """Random tuples of two codes out of 61 for the items of each category, by their dense ids."""
+    items = numbered(inp.interactions(spark, sf))[2]
+    coded = bl.random_ids(items, "item_id", 2, 61, first=1)
+    return coded.select("category", "item_id", joined("ids", ",").alias("ids"))
+
+
+@query
+def baseline_quality(spark, sf):
+    """Metrics of learned, hashed and random codes of the same items side by side."""
+    rows = numbered_vectors(spark, sf)
+    learned = coded_vectors(spark, sf).select(F.lit("learned").alias("category"), "ids")
+    hashed = bl.hash_ids(rows, ["vec_id"], SIZE, RANGE).select(F.lit("hash").alias("category"), "ids")
+    drawn = bl.random_ids(rows, "number", SIZE, RANGE).select(F.lit("random").alias("category"), "ids")
+    tuples = store(cd.tuple_counts(learned.unionByName(hashed).unionByName(drawn), SIZE), "tuples")
+    return rounded(cd.quality(tuples, RANGE), *QUALITY)
+
+
+def part_collisions(spark: SparkSession, sf: str):
+    """(codes, pairs): parts with two hashed codes; parts on neighbouring lines of an order may collide."""
+    codes = bl.hash_ids(inp.table(spark, sf, "part").select(F.col("p_partkey").alias("item")), ["item"], 2, RANGE)
+    lines = store(inp.table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey"), "lines")
+    following = lines.select(
+        "l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("second")
+    )
+    pairs = lines.withColumnRenamed("l_partkey", "first").join(following, ["l_orderkey", "l_linenumber"])
+    return codes, pairs.select("first", "second")
+
+
+@query
+def collision_split(spark, sf):
+    found = cl.collision_split(*part_collisions(spark, sf), 2)
+    return rounded(found, "harmful_rate", "harmful_item_rate")
+
+
+@query
+def tuple_collisions(spark, sf):
+    return cl.tuple_collisions(*part_collisions(spark, sf), 2).withColumn("ids", joined("ids", ","))
