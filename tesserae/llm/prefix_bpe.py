@@ -22,8 +22,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,8 +33,10 @@ from tokenizers import Tokenizer
 from tesserae.llm.tasks import cached, slices, strings
 from tesserae.llm.vocabulary import PATTERN, byte_alphabet
 
-CACHED = 400_000
+CACHED = 500_000
 CACHED_LENGTH = 64
+# Texts that share a trie: more than in other operators, since words that are not kept recur.
+SLICE_BYTES = 4 << 20
 # Where the library may know other versions of character classes, it cuts itself.
 PLAIN = re.compile(r"[\t\n\r -~\xa0-ɏ]*")
 # Before a space that a visible character follows, a piece always ends.
@@ -47,25 +49,31 @@ class Node:
     __slots__ = ("label", "children", "ends")
 
     def __init__(self, label: bytes, ends: bool):
-        self.label, self.children, self.ends = label, {}, ends
+        self.label, self.children, self.ends = label, None, ends
 
 
 def insert(root: Node, word: bytes) -> None:
     """Adds a word; a label that only partly agrees with it is split."""
-    node, at = root, 0
-    while at < len(word):
-        child = node.children.get(word[at])
+    node, at, size = root, 0, len(word)
+    while at < size:
+        children = node.children
+        if children is None:
+            node.children = {word[at]: Node(word[at:], True)}
+            return
+        child = children.get(word[at])
         if child is None:
-            node.children[word[at]] = Node(word[at:], True)
+            children[word[at]] = Node(word[at:], True)
             return
-        rest = word[at : at + len(child.label)]
-        if child.label != rest:
-            same = next((i for i, (a, b) in enumerate(zip(child.label, rest)) if a != b), len(rest))
-            upper = Node(child.label[:same], False)
-            child.label = child.label[same:]
-            upper.children[child.label[0]] = child
-            node.children[word[at]] = child = upper
-        node, at = child, at + len(child.label)
+        label = child.label
+        if not word.startswith(label, at):
+            rest = word[at : at + len(label)]
+            same = next((i for i, (a, b) in enumerate(zip(label, rest)) if a != b), len(rest))
+            upper = Node(label[:same], False)
+            child.label = label[same:]
+            upper.children = {child.label[0]: child}
+            children[word[at]] = child = upper
+        at += len(child.label)
+        node = child
     node.ends = True
 
 
@@ -83,6 +91,7 @@ class PrefixSharing:
         if not plain or any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in added):
             raise ValueError("not a byte-level BPE file that cuts words by its pattern alone")
         self.cutter = Tokenizer.from_str(content.decode()).pre_tokenizer
+        self.pattern = regex.compile(PATTERN)
         self.letters = byte_alphabet()
         names = {a["content"]: a["id"] for a in added}
         self.added = names
@@ -95,16 +104,21 @@ class PrefixSharing:
             (model["vocab"][a], model["vocab"][b]): (rank, model["vocab"][a + b]) for rank, (a, b) in enumerate(merges)
         }
         self.single = [ids.get(bytes([b])) for b in range(256)]
-        #: Every end of a token, and the token itself if it is a whole one.
-        self.ends: dict[bytes, int | None] = {}
-        for token in ids:
-            for at in range(len(token)):
-                self.ends.setdefault(token[at:])
-        self.ends.update(ids)
+        self.ids = ids
+        self.left = {self.merges[p][1]: p for p in self.merges}
+        self.beginnings = {token[:n] for token in ids for n in range(len(token) + 1)}
+        # Reached states: the longest end of a path that begins a token, and the tokens that end it, longest first.
+        self.states: list[tuple[bytes, list[tuple[int, int]]]] = [(b"", [])]
+        self.numbers: dict[bytes, int] = {b"": 0}
+        self.steps: dict[int, int] = {}
         self.pairs: dict[tuple[int | None, int], bool] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
-        self.stretches: dict[str, tuple[int, ...]] = {}
+        self.sides: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        # Ids are kept as little-endian 32-bit bytes, which join fast.
+        self.pieces: dict[bytes, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
         self.decimal = {i: str(i) for i in self.tokens}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.tokens}
+        self.sizes = {i: len(t) for i, t in self.tokens.items()}
 
     def bytes_of(self, token: str) -> bytes:
         return bytes(self.letters[c] for c in token)
@@ -127,76 +141,136 @@ class PrefixSharing:
             ids = out
         return ids
 
+    def side(self, token: int, end: int) -> list[tuple[int, int]]:
+        """The parts on one side of a token's merges (0: first, 1: last), with the rank that merges each on."""
+        found = self.sides.get((token, end))
+        if found is None:
+            found, until = [], len(self.merges)
+            part = token
+            while True:
+                found.append((part, until))
+                pair = self.left.get(part)
+                if pair is None:
+                    break
+                until, part = self.merges[pair][0], pair[end]
+            self.sides[token, end] = found
+        return found
+
     def fits(self, before: int | None, last: int) -> bool:
-        """Whether two tokens stay apart when they are merged as a pair; without a first, whether one is whole."""
+        """Whether two tokens stay apart when they are merged as a pair; without a first, whether one is whole.
+
+        Parts at the border merge if their rank comes before those that merge them on to their own
+        sides; of two equal ranks the one further to the left comes first.
+        """
         known = self.pairs.get((before, last))
         if known is None:
-            apart = [last] if before is None else [before, last]
-            known = self.merged(b"".join(self.tokens[i] for i in apart)) == apart
+            if before is None:
+                known = self.merged(self.tokens[last]) == [last]
+            else:
+                known = self.fits(None, before) and self.fits(None, last)
+                for left, until in self.side(before, 1):
+                    for right, on in self.side(last, 0):
+                        rank = self.merges.get((left, right))
+                        if rank is not None and rank[0] < until and rank[0] <= on:
+                            known = False
             if len(self.pairs) > CACHED * 4:
                 self.pairs.clear()
             self.pairs[before, last] = known
         return known
 
-    def last_token(self, path: bytearray, last: list[int]) -> int:
-        """The last token of the encoding of ``path``, given those of all its shorter beginnings."""
-        size, candidates = 1, []
-        while size <= len(path):
-            end = bytes(path[len(path) - size :])
-            if end not in self.ends:
-                break
-            token = self.ends[end]
-            if token is not None:
-                candidates.append((size, token))
-            size += 1
-        for size, token in reversed(candidates):
-            before = last[len(path) - size - 1] if size < len(path) else None
-            if self.fits(before, token):
+    def step(self, state: int, byte: int) -> int:
+        """The state of a path that goes on from ``state`` by a byte."""
+        key = state << 8 | byte
+        found = self.steps.get(key)
+        if found is None:
+            end = self.states[state][0] + bytes([byte])
+            while end not in self.beginnings:
+                end = end[1:]
+            found = self.numbers.get(end)
+            if found is None:
+                found = self.numbers[end] = len(self.states)
+                tails = [end[at:] for at in range(len(end))]
+                self.states.append((end, [(self.ids[t], len(t)) for t in tails if t in self.ids]))
+            self.steps[key] = found
+        return found
+
+    def last_token(self, state: int, last: list[int]) -> int:
+        """The last token of the encoding of a path in ``state``, given those of all its shorter beginnings."""
+        pairs, n = self.pairs, len(last)
+        for token, size in self.states[state][1]:
+            before = last[n - size] if size <= n else None
+            known = pairs.get((before, token))
+            if known or known is None and self.fits(before, token):
                 return token
         raise ValueError("a byte has no token")
 
-    def encode_pieces(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Ids of distinct words, each beginning that words share encoded once."""
+    def encode_pieces(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of distinct words, each beginning that words share encoded once."""
+        packed, sizes = self.packed, self.sizes
         root = Node(b"", False)
         for word in words:
             insert(root, word)
-        found, path, last = {}, bytearray(), []
-        waiting = [(0, child) for child in root.children.values()]
+        # A path is its bytes, and after each of them the state and the last token.
+        found, path, states, last = {}, bytearray(), [0], []
+        waiting = [(0, child) for child in (root.children or {}).values()]
         while waiting:
             depth, node = waiting.pop()
-            del path[depth:], last[depth:]
+            del path[depth:], states[depth + 1 :], last[depth:]
+            path += node.label
+            state = states[-1]
             for byte in node.label:
-                path.append(byte)
-                last.append(self.last_token(path, last))
+                state = self.steps.get(state << 8 | byte) or self.step(state, byte)
+                states.append(state)
+                last.append(self.last_token(state, last))
             if node.ends:
                 ids, at = [], len(path)
                 while at:
-                    ids.append(last[at - 1])
-                    at -= len(self.tokens[last[at - 1]])
-                found[bytes(path)] = tuple(reversed(ids))
-            waiting.extend((len(path), child) for child in node.children.values())
+                    token = last[at - 1]
+                    ids.append(packed[token])
+                    at -= sizes[token]
+                ids.reverse()
+                found[bytes(path)] = b"".join(ids)
+            if node.children:
+                waiting.extend((len(path), child) for child in node.children.values())
         return found
 
     def cut(self, stretch: str) -> list[bytes]:
+        """The words of a stretch, as the file's pre-tokenizer cuts them."""
+        if stretch.isascii() and stretch[1:].isalpha() and (stretch[0] == " " or stretch[0].isalpha()):
+            return [stretch.encode()]
         if PLAIN.fullmatch(stretch):
-            return [p.encode() for p in cached("piece pattern", lambda: regex.compile(PATTERN)).findall(stretch)]
+            return [p.encode() for p in self.pattern.findall(stretch)]
         return [self.bytes_of(p) for p, _ in self.cutter.pre_tokenize_str(stretch)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them without special tokens of its own."""
-        parts = [[STRETCHES.split(p) if p not in self.added else p for p in self.split_added(t) if p] for t in texts]
-        asked = {s for text in parts for part in text if isinstance(part, list) for s in part}
-        cuts = {s: self.cut(s) for s in asked if s not in self.stretches}
-        fresh = self.encode_pieces({p for pieces in cuts.values() for p in pieces if p not in self.pieces})
-        known = self.pieces
-        ids = {s: tuple(chain.from_iterable(known[p] if p in known else fresh[p] for p in ps)) for s, ps in cuts.items()}
-        here = ids | {s: self.stretches[s] for s in asked if s not in ids}
-        keep(self.pieces, fresh)
-        keep(self.stretches, ids)
-        return [
-            list(chain.from_iterable((self.added[p],) if isinstance(p, str) else chain.from_iterable(map(here.get, p)) for p in text))
-            for text in parts
-        ]
+        parts, owners = [], []
+        for i, text in enumerate(texts):
+            for part in self.split_added(text):
+                if part:
+                    parts.append([part] if part in self.added else STRETCHES.split(part))
+                    owners.append(i)
+        known = self.stretches.get
+        found = [list(map(known, part)) for part in parts]
+        open_parts = [(part, ids) for part, ids in zip(parts, found) if None in ids]
+        asked = {s for part, ids in open_parts for s, i in zip(part, ids) if i is None}
+        fresh = self.encode_stretches(asked)
+        for part, ids in open_parts:
+            ids[:] = [fresh[s] if i is None else i for s, i in zip(part, ids)]
+        keep(self.stretches, fresh)
+        joined: list[list[bytes]] = [[] for _ in texts]
+        for owner, ids in zip(owners, found):
+            joined[owner].extend(ids)
+        return [np.frombuffer(b"".join(j), "<i4") for j in joined]
+
+    def encode_stretches(self, asked: set[str]) -> dict[str, bytes]:
+        """Packed ids of stretches; their new words go through one trie."""
+        cuts = {s: self.cut(s) for s in asked if s not in self.added}
+        pieces = self.pieces
+        fresh = self.encode_pieces({p for words in cuts.values() for p in words if p not in pieces})
+        out = {s: b"".join([pieces[p] if p in pieces else fresh[p] for p in words]) for s, words in cuts.items()}
+        keep(pieces, fresh)
+        return out | {s: self.packed[self.added[s]] for s in asked if s in self.added}
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode(errors="replace")
@@ -221,8 +295,8 @@ def encode(
 
     def run(batches):
         coder = cached(("prefix-sharing", tokenizer_file), lambda: PrefixSharing(content.value))
-        for batch in slices(batches, "text"):
-            ids = coder.encode(strings(batch.column("text")))
+        for batch in slices(batches, "text", SLICE_BYTES):
+            ids = [i.tolist() for i in coder.encode(strings(batch.column("text")))]
             columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(map(len, ids), pa.int64())}
             if digests:
                 joined = (",".join(map(coder.decimal.__getitem__, i)) for i in ids)
