@@ -705,6 +705,13 @@ ORACLES["decoded_vectors"] = with_parts(
     "SELECT vec_id, round(list_dot_product(rebuilt, rebuilt), 6) AS norm2 FROM rebuilt_v",
 )
 
+ORACLES["kcore_buckets"] = ORACLES["kcore_many_rounds"]
+ORACLES["accumulated_quality"] = ORACLES["quality_by_category"]
+ORACLES["residual_codes_far"] = ORACLES["residual_codes"]
+ORACLES["codebook_loads"] = """
+SELECT level::INTEGER AS level, count(*) AS items, 96::BIGINT AS used_codes
+FROM embeddings, (SELECT unnest([0, 1]) AS level) GROUP BY level"""
+
 # --- recommendation lists, baselines and collisions ---
 SUPPLIER_LINES = """SELECT o_custkey AS u, l_suppkey AS i, l_quantity, year(o_orderdate) >= 1996 AS late
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""

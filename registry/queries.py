@@ -27,6 +27,7 @@ from tesserae.operators import reconstruction as rc
 from tesserae.operators import splits as sp
 from tesserae.operators.ranking import positions
 from tesserae.plans import corpus, evaluation
+from tesserae.plans.accumulation import CodeCounts
 from tesserae.plans.preprocess import preprocess
 from tesserae.sinks import artifacts as snk
 from tesserae.sinks import reports
@@ -96,21 +97,33 @@ def kcore_interactions(spark, sf):
     return core(spark, sf).select("category", "user", "item", "ts", "seq.l_orderkey", "seq.l_linenumber")
 
 
+def keys_of(rows: DataFrame) -> DataFrame:
+    """Stored without what statistics do not need."""
+    return store(rows.select("category", "user", "item"), "interactions")
+
+
 @query
 def kcore_stats(spark, sf):
-    rows = store(inp.interactions(spark, sf), "interactions")
+    rows = keys_of(inp.interactions(spark, sf))
     return rounded(it.dataset_stats(it.kcore(rows), rows), "avg_len", "sparsity")
 
 
 @query
 def kcore_many_rounds(spark, sf):
-    rows = store(inp.one_category(inp.interactions(spark, sf)), "interactions")
+    rows = keys_of(inp.one_category(inp.interactions(spark, sf)))
     return rounded(it.dataset_stats(it.kcore(rows, 20, 20), rows), "avg_len", "sparsity")
 
 
+@query
+def kcore_buckets(spark, sf):
+    """The same statistics with the edges cut into many buckets and rewritten after large rounds."""
+    rows = keys_of(inp.one_category(inp.interactions(spark, sf)))
+    return rounded(it.dataset_stats(it.kcore(rows, 20, 20, bucket_keys=400), rows), "avg_len", "sparsity")
+
+
 @query
 def kcore_empty(spark, sf):
-    rows = store(inp.interactions(spark, sf), "interactions")
+    rows = keys_of(inp.interactions(spark, sf))
     return rounded(it.dataset_stats(it.kcore(rows, 9, 28), rows), "avg_len", "sparsity")
 
 
@@ -481,6 +494,20 @@ def quality_capped(spark, sf):
     return rounded(evaluation.evaluate_codes(codes, 2, RANGE, max_samples=300), *NAMED)
 
 
+@query
+def accumulated_quality(spark, sf):
+    """Metrics reduced from the stored counts of batches in two folders, one of them replayed after a bad attempt."""
+    codes = store(inp.hashed_codes(spark, sf), "codes")
+    first, second = (CodeCounts(spark, new_path(spark, "code-counts"), size=SIZE) for _ in range(2))
+    for batch in range(4):
+        rows = codes.filter(F.col("batch_id") % 4 == batch)
+        if batch == 2:
+            first.add(rows.withColumn("ids", F.array(F.lit(0), F.lit(0), F.lit(0))), f"part {batch}")
+        (first if batch < 2 else second).add(rows, f"part {batch}")
+    both = CodeCounts(spark, *first.folders, *second.folders, size=SIZE)
+    return rounded(both.quality(RANGE), *QUALITY)
+
+
 @query
 def collapse_histogram(spark, sf):
     return cd.multiplicity_histogram(all_tuples(spark, sf, 2))
@@ -961,6 +988,24 @@ def codebook_fit(spark, sf):
     ).join(book.groupBy("level").agg(F.count(F.lit(1)).alias("codes")), "level")
 
 
+@query
+def codebook_loads(spark, sf):
+    """Codes of a large codebook that vectors take: none is left unused."""
+    vectors = inp.table(spark, sf, "embeddings")
+    book = store(qz.fit_codebook(vectors, 2, 96, max_iter=3), "codebook")
+    coded = qz.residual_codes(vectors, book, 2)
+    taken = coded.select(F.posexplode("ids").alias("level", "code"))
+    return taken.groupBy("level").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("code").alias("used_codes"))
+
+
+@query
+def residual_codes_far(spark, sf):
+    """The same codes as with a codebook that is sent whole, from groups of at most three centroids."""
+    vectors = inp.table(spark, sf, "embeddings")
+    coded = qz.residual_codes(vectors, label_codebook(spark, sf), 2, slice_bytes=3 * 64 * 8)
+    return coded.select("vec_id", joined("ids", ",").alias("ids"))
+
+
 @query
 def residual_codes_nulls(spark, sf):
     """Codes when every seventh vector is missing."""

@@ -24,6 +24,9 @@ ITEM_CORE = 5
 ATTRIBUTE_CORE = 0
 
 CHUNK_ITEMS = 100_000
+# Keys per bucket of edges, and the most buckets, whose numbers the driver reads in a round.
+BUCKET_KEYS = 500_000
+MOST_BUCKETS = 1024
 
 
 def rating_filter(reviews: DataFrame, column: str = "overall", floor: float = RATING_FLOOR) -> DataFrame:
@@ -59,16 +62,20 @@ def drop_under_core(
     return kept.select(*interactions.columns)
 
 
-def kcore(interactions: DataFrame, user_core: int = USER_CORE, item_core: int = ITEM_CORE) -> DataFrame:
+def kcore(
+    interactions: DataFrame, user_core: int = USER_CORE, item_core: int = ITEM_CORE, bucket_keys: int = BUCKET_KEYS
+) -> DataFrame:
     """The interactions that remain when passes are repeated until no count is under its core.
 
     The fixpoint does not depend on the order in which keys are dropped. Counts per user and item
-    are kept in one table. A round stores the keys that fell under their core, scans the (user,
-    item, n) edges for those that touch one of them, and takes these off the counts at their other
-    ends. An edge counts against a key only in the round in which its other end falls, and keys
-    that fell have left the table, so the edges need no rewriting. Edges are shuffled only where
-    they touch fallen keys; what a round writes has the size of the counts. ``interactions`` is
-    read up to three times, so pass a stored table.
+    are kept in one table. The (user, item, n) edges are stored twice, in buckets of the user's and
+    of the item's key. A round stores the keys that fell under their core, reads the edges in the
+    buckets of these keys, and takes the touched ones off the counts at their other ends. An edge
+    counts against a key only in the round in which its other end falls, and keys that fell have
+    left the table, so edges need no rewriting; they are rewritten without the fallen ones when
+    less than half of them is left. So a round reads in proportion to what fell, up to a bucket per
+    fallen key, and writes the size of the counts. ``interactions`` is read up to three times, so
+    pass a stored table.
     """
     spark = interactions.sparkSession
     cores = F.when(F.col("side") == "user", user_core).otherwise(item_core)
@@ -84,34 +91,62 @@ def kcore(interactions: DataFrame, user_core: int = USER_CORE, item_core: int =
             return _without(interactions, read_stored(fallen, *folders)) if folders else interactions
         folders.append(path)
         if edges is None:
-            edges = store(interactions.groupBy(*USER, "item").agg(F.count(F.lit(1)).alias("n")), "edges")
-        counts = store(_lowered(counts, edges, fallen), "counts")
-
-
-def _lowered(counts: DataFrame, edges: DataFrame, fallen: DataFrame) -> DataFrame:
+            buckets = min(MOST_BUCKETS, max(1, counts.count() // bucket_keys))
+            rows = interactions.groupBy(*USER, "item").agg(F.count(F.lit(1)).alias("n"))
+            edges, dropped, whole = _bucketed(rows, buckets), len(folders) - 1, None
+        counts = store(_lowered(counts, edges, fallen, buckets), "counts")
+        if buckets > 1:
+            left = counts.filter("side = 'user'").agg(F.sum("n")).first()[0] or 0
+            whole = left if whole is None else whole
+            if 2 * left < whole:
+                gone = read_stored(fallen, *folders[dropped:])
+                edges, dropped, whole = _bucketed(_without(edges["user"].drop("bucket"), gone), buckets), len(folders), left
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64("category", key), F.lit(buckets)).cast("int")
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> dict[str, DataFrame]:
+    """The edges in folders by bucket of their user, and by bucket of their item; one bucket needs one table."""
+    rows = store(rows, "edges")
+    if buckets == 1:
+        one = rows.withColumn("bucket", F.lit(0))
+        return {"user": one, "item": one}
+    found = {}
+    for side in ("user", "item"):
+        placed = rows.withColumn("bucket", _bucket(side, buckets))
+        path = new_path(rows.sparkSession, f"edges-by-{side}")
+        # Rebalancing keeps buckets together and splits those that a hot key fills.
+        placed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        found[side] = read_stored(placed, path)
+    return found
+
+
+def _touched(edges: dict[str, DataFrame], fallen: DataFrame, side: str, buckets: int) -> DataFrame:
+    """Edges whose end on ``side`` fell; only the folders of fallen keys are read."""
+    keys = fallen.filter(F.col("side") == side).select("category", F.col("key").alias(side))
+    rows = edges[side]
+    if buckets > 1:
+        hit = keys.select(_bucket(side, buckets).alias("b")).distinct().collect()  # at most MOST_BUCKETS numbers
+        rows = rows.filter(F.col("bucket").isin([r["b"] for r in hit]))
+    return rows.join(keys, ["category", side], "left_semi")
+
+
+def _lowered(counts: DataFrame, edges: dict[str, DataFrame], fallen: DataFrame, buckets: int) -> DataFrame:
     """The counts of the keys that did not fall, less their edges to those that did."""
-    users, items = _sides(fallen)
-    lost = (
-        edges.join(users, USER, "left_semi")
-        .select(F.lit("item").alias("side"), "category", F.col("item").alias("key"), "n")
-        .unionByName(
-            edges.join(items, ITEM, "left_semi").select(
-                F.lit("user").alias("side"), "category", F.col("user").alias("key"), "n"
-            )
-        )
-    )
-    lost = lost.groupBy(*KEY).agg(F.sum("n").alias("lost"))
+    lost = [
+        _touched(edges, fallen, side, buckets).select(F.lit(other).alias("side"), "category", F.col(other).alias("key"), "n")
+        for side, other in (("user", "item"), ("item", "user"))
+    ]
+    lost = lost[0].unionByName(lost[1]).groupBy(*KEY).agg(F.sum("n").alias("lost"))
     rest = counts.join(fallen, KEY, "left_anti").join(lost, KEY, "left")
     return rest.select(*KEY, (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))
 
 
-def _sides(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    users = keys.filter("side = 'user'").select("category", F.col("key").alias("user"))
-    return users, keys.filter("side = 'item'").select("category", F.col("key").alias("item"))
-
-
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    users, items = _sides(dropped)
+    users = dropped.filter("side = 'user'").select("category", F.col("key").alias("user"))
+    items = dropped.filter("side = 'item'").select("category", F.col("key").alias("item"))
     kept = rows.join(users, USER, "left_anti").join(items, ITEM, "left_anti")
     return kept.select(*rows.columns)
 

@@ -20,6 +20,8 @@ from tesserae.workspace import store
 
 SLICE_BYTES = 64 * 1024 * 1024
 POINT_BLOCK, CODE_BLOCK = 1024, 4096
+PIVOTS, POINT_ROWS = 1024, 50_000
+BOOK = "level int, code int, centroid array<double>"
 _NEAR = 1e-9
 
 
@@ -69,20 +71,6 @@ def with_code_text(rows: DataFrame, ids: str = "semantic_ids") -> DataFrame:
     )
 
 
-def _slices(codebook: DataFrame, level: int, slice_bytes: int):
-    """The level's centroids as (codes, matrix) pieces of at most ``slice_bytes`` each, in code order."""
-    rows = codebook.filter(F.col("level") == level)
-    width = rows.agg(F.max(F.size("centroid"))).first()[0]
-    if width is None:
-        return
-    per_slice = max(1, slice_bytes // (8 * width))
-    codes = [r["code"] for r in rows.select("code").orderBy("code").collect()]  # numbers only
-    for at in range(0, len(codes), per_slice):
-        piece = rows.filter(F.col("code").between(codes[at], codes[min(at + per_slice, len(codes)) - 1]))
-        found = piece.orderBy("code").select("code", "centroid").collect()
-        yield [r["code"] for r in found], np.array([r["centroid"] for r in found], dtype="float64")
-
-
 def nearest(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index and squared distance of the closest centroid; the lowest index on exact ties.
 
@@ -156,30 +144,28 @@ def residual_codes(
 ) -> DataFrame:
     """Adds ``ids`` and ``residual``: at each level the nearest centroid of what is left.
 
-    A null vector has null codes; one of another length than the centroids is an error.
+    A null vector has null codes; one of another length than the centroids is an error. Of equally
+    near centroids the one with the lowest code is taken.
 
-    A level's centroids are shipped to the executors in slices of checked size. A level that
-    fits one slice is a map over the rows; a larger one keeps the best choice so far while the
-    slices go by, stored in between so that only one slice is held at a time.
+    A level of at most ``slice_bytes`` is sent to the executors, and the choice is a map over the
+    rows. A larger one stays a table: see ``far_choice``.
     """
     state = vectors.withColumn(
         "residual", F.transform(F.col(vector), lambda x: x.cast("double"))
     ).withColumn("ids", F.array().cast("array<int>"))
     for level in range(levels):
-        chosen = None
-        for codes, centroids in _slices(codebook, level, slice_bytes):
-            choice = _choose(vectors.sparkSession, codes, centroids)(F.col("residual"))
-            if chosen is None:
-                state = state.withColumn("_best", choice)
-            else:
-                state = store(state, "slice").withColumn("_next", choice)
-                better = F.col("_next.distance") < F.col("_best.distance")
-                state = state.withColumn(
-                    "_best", F.when(better, F.col("_next")).otherwise(F.col("_best"))
-                ).drop("_next")
-            chosen = True
-        if chosen is None:
+        book = codebook.filter(F.col("level") == level).select("code", "centroid")
+        codes, width = book.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+        if not codes:
             raise ValueError(f"the codebook has no level {level}")
+        if 8 * width * codes <= slice_bytes:
+            found = book.orderBy("code").collect()
+            matrix = np.array([r["centroid"] for r in found], dtype="float64")
+            choice = _choose(vectors.sparkSession, [r["code"] for r in found], matrix)
+            state = state.withColumn("_best", choice(F.col("residual")))
+        else:
+            block = min(CODE_BLOCK, max(1, slice_bytes // (8 * width)))
+            state = far_choice(state, store(book, "level"), codes, block)
         state = state.select(
             *vectors.columns,
             F.zip_with("residual", "_best.chosen", lambda r, c: r - c).alias("residual"),
@@ -188,25 +174,152 @@ def residual_codes(
     return state
 
 
+def far_choice(state: DataFrame, book: DataFrame, codes: int, block: int, point_rows: int = POINT_ROWS) -> DataFrame:
+    """``state`` with ``_best``, the nearest of more centroids than a task should hold.
+
+    Centroids are grouped around pivots, a bounded sample of them. By the triangle inequality a
+    group whose pivot is further away than its radius and a sure bound on the nearest distance
+    cannot hold the nearest centroid, so a point meets the other groups only. They meet in tasks of
+    about ``block`` centroids and ``point_rows`` points; the least of the partial results is the
+    choice. The driver reads the pivots and three numbers per group.
+    """
+    spark = state.sparkSession
+    rows = store(state.withColumn("_row", F.monotonically_increasing_id()), "points")
+    picked = book.orderBy(F.xxhash64("code"), "code").limit(min(PIVOTS, -(-codes // block)))
+    pivots = np.array([r["centroid"] for r in picked.collect()], dtype="float64")
+    near = _choose(spark, list(range(len(pivots))), pivots)(F.col("centroid"))
+    members = store(
+        book.withColumn("_near", near).select(
+            F.col("_near.code").alias("group"), F.sqrt("_near.distance").alias("gap"), "code", "centroid"
+        ),
+        "centroid-groups",
+    )
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("least"), F.max("gap").alias("radius"))
+    groups = {r["group"]: (-(-r["n"] // block), r["least"], r["radius"]) for r in sizes.collect()}
+    reached = rows.filter(F.col("residual").isNotNull()).select(
+        "_row", "residual", F.explode(_reachable(spark, pivots, groups)(F.col("residual"))).alias("group")
+    )
+    reached = store(reached, "reachable-groups")
+    counts = {r["group"]: r["count"] for r in reached.groupBy("group").count().collect()}
+    plan = spark.createDataFrame(
+        [(g, blocks, -(-counts.get(g, 0) // point_rows)) for g, (blocks, *_) in groups.items()],
+        "group int, blocks long, salts long",
+    )
+    # A row per group, so the plan is as small as the pivots.
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    points = reached.join(F.broadcast(plan), "group").withColumn("salt", F.pmod(F.xxhash64("_row"), F.col("salts")))
+    points = points.withColumn("block", spread("blocks")).select("group", "block", "salt", "_row", "residual")
+    centers = members.join(F.broadcast(plan.filter("salts > 0")), "group")
+    centers = centers.withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks"))).withColumn("salt", spread("salts"))
+    centers = centers.select("group", "block", "salt", "code", "centroid")
+    key = ["group", "block", "salt"]
+    partial = points.groupBy(*key).cogroup(centers.groupBy(*key)).applyInArrow(
+        _nearest_in_block, "_row long, distance double, code int"
+    )
+    best = partial.groupBy("_row").agg(F.min(F.struct("distance", "code")).alias("_b"))
+    best = best.select("_row", F.col("_b.distance").alias("distance"), F.col("_b.code").alias("code"))
+    chosen = best.join(book, "code").select("_row", F.struct("code", "distance", F.col("centroid").alias("chosen")).alias("_best"))
+    return rows.join(chosen, "_row", "left").drop("_row")
+
+
+def _reachable(spark, pivots: np.ndarray, groups: dict):
+    """The groups that may hold the nearest centroid of a point."""
+    numbers = sorted(groups)
+    least = np.array([groups[g][1] for g in numbers])
+    radius = np.array([groups[g][2] for g in numbers])
+    shared = spark.sparkContext.broadcast((np.array(numbers, np.int32), pivots[numbers], least, radius))
+
+    @F.arrow_udf("array<int>")
+    def reachable(rest: pa.Array) -> pa.Array:
+        numbers, pivots, least, radius = shared.value
+        if np.any(pc.list_value_length(rest).to_numpy(zero_copy_only=False) != pivots.shape[1]):
+            raise ValueError(f"a vector has another length than the centroids, {pivots.shape[1]}")
+        points, found = _matrix(rest), []
+        for at in range(0, len(points), POINT_BLOCK):
+            own = points[at : at + POINT_BLOCK]
+            squares = (own**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :]
+            away = np.sqrt(np.maximum(squares - 2.0 * own @ pivots.T, 0.0))
+            # Rounding of the squares moves a distance by at most the root of its share of them.
+            slack = np.sqrt(_NEAR * (squares.max(axis=1, keepdims=True) + 1.0))
+            bound = (away + least).min(axis=1, keepdims=True) + 2 * slack
+            found.extend(numbers[row] for row in away - radius <= bound)
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return reachable
+
+
+def _nearest_in_block(points: pa.Table, centers: pa.Table) -> pa.Table:
+    schema = pa.schema([("_row", pa.int64()), ("distance", pa.float64()), ("code", pa.int32())])
+    if not points.num_rows or not centers.num_rows:
+        return schema.empty_table()
+    centers = centers.sort_by("code")
+    index, distance = nearest(
+        _matrix(points.column("residual").combine_chunks()), _matrix(centers.column("centroid").combine_chunks())
+    )
+    code = centers.column("code").to_numpy()[index]
+    return pa.Table.from_arrays([points.column("_row"), pa.array(distance), pa.array(code, pa.int32())], schema=schema)
+
+
 def fit_codebook(
     vectors: DataFrame, levels: int, codes: int, seed: int = 42, vector: str = "embedding",
-    max_iter: int = 20,
+    max_iter: int = 20, revivals: int = 20,
 ) -> DataFrame:
-    """One seeded k-means per level, each on the residuals of the levels before it."""
+    """One seeded k-means per level, each on the residuals of the levels before it.
+
+    Codes that no vector takes are revived, see ``revived``; with fewer distinct residuals than
+    ``codes`` a level has fewer codes. Null vectors take no part.
+    """
     spark = vectors.sparkSession
-    rest = store(vectors.select(F.transform(vector, lambda x: x.cast("double")).alias("v")), "rest")
+    rest = vectors.select(F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    rest = store(rest.filter(F.col("v").isNotNull()), "rest")
     centers = []
-    schema = "level int, code int, centroid array<double>"
     for level in range(levels):
         model = KMeans(k=codes, seed=seed + level, maxIter=max_iter, featuresCol="f").fit(
             rest.select(array_to_vector("v").alias("f"))
         )
-        found = [(0, i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-        centers += [(level, i, c) for _, i, c in found]
+        found = {i: [float(x) for x in c] for i, c in enumerate(model.clusterCenters())}
+        found = revived(rest, found, codes, revivals)
+        centers += [(level, i, c) for i, c in sorted(found.items())]
         if level + 1 < levels:
-            coded = residual_codes(rest, spark.createDataFrame(found, schema), 1, "v")
+            coded = residual_codes(rest, _one_level(spark, found), 1, "v")
             rest = store(coded.select(F.col("residual").alias("v")), "rest")
-    return spark.createDataFrame(centers, schema)
+    return spark.createDataFrame(centers, BOOK)
+
+
+def _one_level(spark, centers: dict[int, list[float]]) -> DataFrame:
+    return spark.createDataFrame([(0, i, c) for i, c in sorted(centers.items())], BOOK)
+
+
+def cell_loads(points: DataFrame, centers: dict[int, list[float]], vector: str = "v") -> DataFrame:
+    """``code, n, error, far``: vectors and squared error per used code, and its farthest vector with that error."""
+    coded = residual_codes(points, _one_level(points.sparkSession, centers), 1, vector)
+    error = F.aggregate("residual", F.lit(0.0), lambda s, x: s + x * x)
+    rows = coded.select(F.get("ids", F.lit(0)).alias("code"), F.struct(error.alias("d"), F.col(vector).alias("v")).alias("far"))
+    return rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("far.d").alias("error"), F.max("far").alias("far"))
+
+
+def revived(points: DataFrame, centers: dict[int, list[float]], codes: int, rounds: int, vector: str = "v") -> dict:
+    """The centers, those that no vector takes moved to where they are needed.
+
+    In each round the loads are counted, and the cells with the largest error are split: an unused
+    center moves to the farthest vector of such a cell, which it then takes, so the error never
+    grows. Rounds end when every code is used, or every vector lies on a center. The driver reads
+    one row per code, as many as it holds centers.
+    """
+    centers = dict(centers)
+    for _ in range(rounds):
+        cells = cell_loads(points, centers, vector).collect()
+        used = {r["code"] for r in cells}
+        unused = [i for i in range(codes) if i not in used]
+        # A cell with one vector would only hand its place on.
+        split = sorted((r for r in cells if r["far"]["d"] > 0 and r["n"] > 1), key=lambda r: (-r["error"], r["code"]))
+        if not unused or not split:
+            break
+        for code, cell in zip(unused, split):
+            centers[code] = list(cell["far"]["v"])
+    else:
+        used = {r["code"] for r in cell_loads(points, centers, vector).select("code").collect()}
+    return {i: c for i, c in centers.items() if i in used}
 
 
 def reconstruction_error(coded: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -49,6 +49,27 @@ def test_kcore_against_plain_loop(spark, seed, cores):
     assert it.is_kcore(frame, *cores).first().is_kcore == (len(expected) == len(rows))
 
 
+@pytest.mark.parametrize("seed, cores", [(1, (5, 5)), (3, (12, 8)), (4, (40, 90))])
+def test_kcore_in_buckets(spark, seed, cores):
+    rows = random_rows(seed)
+    got = it.kcore(spark.createDataFrame(rows, SCHEMA).repartition(5), *cores, bucket_keys=7)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(plain_kcore(rows, *cores))
+
+
+def test_a_round_reads_the_buckets_of_fallen_keys_only(spark):
+    rows = spark.createDataFrame(random_rows(6), SCHEMA)
+    edges = it._bucketed(rows.groupBy("category", "user", "item").agg(F.count(F.lit(1)).alias("n")), 16)
+    fallen = spark.createDataFrame([("user", "a", "u0"), ("user", "b", "u7")], "side string, category string, key string")
+    touched = it._touched(edges, fallen, "user", 16)
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+    # Bucket numbers as in the plan's filter: at most one per fallen key.
+    assert len({r.bucket for r in touched.select("bucket").distinct().collect()}) <= 2
+    want = {(r.category, r.user) for r in edges["user"].collect()} & {("a", "u0"), ("b", "u7")}
+    assert {(r.category, r.user) for r in touched.collect()} == want
+    assert it._touched(edges, fallen, "item", 16).count() == 0
+
+
 def test_sequences_and_chunks(spark):
     rows = random_rows(5)
     frame = spark.createDataFrame(rows, SCHEMA).repartition(3)

@@ -53,6 +53,38 @@ def test_codes_and_decoding(spark, slice_bytes):
         assert errors[i].cosine == pytest.approx(source @ near / np.sqrt((source @ source) * (near @ near)))
 
 
+def test_far_codes_are_pruned_and_exact(spark):
+    """Clustered centroids, of which most groups are out of reach; a third of the points are equal."""
+    rng = np.random.default_rng(7)
+    homes = rng.normal(size=(12, 5)) * 40
+    centroids = (homes[:, None, :] + rng.normal(size=(12, 25, 5))).reshape(1, -1, 5)
+    centroids[0, 7] = centroids[0, 290] = centroids[0, 31]  # exact ties far apart in code order
+    points = homes[rng.integers(0, 12, 400)] + rng.normal(size=(400, 5))
+    points[:140] = centroids[0, 31]
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, embedding array<double>")
+    expected, _ = plain_codes(points, centroids)
+    book_rows = book_frame(spark, centroids)
+    for point_rows in (qz.POINT_ROWS, 50):
+        state = frame.selectExpr("id", "embedding AS residual")
+        level = qz.store(book_rows.select("code", "centroid"))
+        best = qz.far_choice(state, level, 300, 25, point_rows)
+        got = {r.id: r._best for r in best.collect()}
+        assert {i: [b.code] for i, b in got.items()} == dict(enumerate(expected))
+        assert all(list(b.chosen) == centroids[0, b.code].tolist() for b in got.values())
+    pivots = homes[:, :]
+    groups = {g: (1, 0.0, 6.0) for g in range(12)}
+    reach = frame.select(F.size(qz._reachable(spark, pivots, groups)(F.col("embedding"))).alias("n"))
+    assert reach.agg(F.avg("n")).first()[0] < 3
+
+
+def test_far_codes_of_no_points(spark):
+    _, frame = vectors(spark, 4)
+    none = frame.withColumn("embedding", F.lit(None).cast("array<float>"))
+    got = qz.residual_codes(none, book_frame(spark, book(2, 9, 6)), 2, slice_bytes=6 * 8 * 2)
+    assert [r.ids for r in got.collect()] == [None] * 4
+    assert qz.residual_codes(none.limit(0), book_frame(spark, book(1, 9, 6)), 1, slice_bytes=6 * 8 * 2).collect() == []
+
+
 def test_null_vectors_and_gaps_between_codes(spark):
     points, frame = vectors(spark)
     some = frame.withColumn("embedding", F.when(F.col("id") % 3 > 0, F.col("embedding")))
@@ -101,6 +133,28 @@ def test_fit_lowers_the_error(spark):
     assert means[0] > means[1] > means[2]
 
 
+def test_unused_centers_are_revived(spark):
+    points = spark.createDataFrame([([float(x), 0.0],) for x in (0, 0, 0, 1, 2, 10, 11, 12, 13)], "v array<double>")
+    far = {0: [0.0, 0.0], 1: [500.0, 0.0], 2: [0.0, 0.0], 3: [11.0, 0.0], 5: [-900.0, 3.0]}
+    error = lambda centers: sum(r.error for r in qz.cell_loads(points, centers).collect())
+    got = qz.revived(points, far, 6, 20)
+    assert sorted(got) == list(range(6))
+    assert {r.code for r in qz.cell_loads(points, got).collect()} == set(range(6))
+    assert error(got) < error(far)
+    # Seven distinct places cannot use ten codes.
+    assert len(qz.revived(points, far, 10, 50)) == 7
+
+
+def test_every_code_of_a_fit_is_used(spark):
+    rng = np.random.default_rng(3)
+    rows = [(rng.normal(size=3).tolist(),) for _ in range(150)] + [([5.0, 5.0, 5.0],)] * 75 + [(None,)]
+    frame = spark.createDataFrame(rows, "embedding array<double>")
+    book_rows = qz.store(qz.fit_codebook(frame, 2, 40, max_iter=2))
+    coded = qz.residual_codes(frame.filter("embedding IS NOT NULL"), book_rows, 2)
+    loads = coded.select(F.posexplode("ids").alias("level", "code")).groupBy("level").agg(F.count_distinct("code").alias("n"))
+    assert {r.level: r.n for r in loads.collect()} == {0: 40, 1: 40}
+
+
 def make_predict():
     import json
 
