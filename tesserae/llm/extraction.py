@@ -37,6 +37,8 @@ from tesserae.llm.tasks import below, digest, slices, strings
 MAIN = tuple(NUMBER[n] for n in ("article", "main"))
 FURNITURE = tuple(NUMBER[n] for n in ("nav", "header", "footer", "aside", "form", "menu", "dialog"))
 FURNITURE_MARKS = sum(1 << i for i, n in enumerate(MARK_NAMES) if n not in ("content", "layout", "header", "share"))
+# Marks main text in rebuilt pages, whose text is escaped; given pages are parsed without it.
+TRUTH = "data-main"
 GROUPS = (
     ("#text",), ("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "dd", "dt"), ("ul", "ol", "dl", "menu"),
     ("div", "center"), ("section", "details"), ("article",), ("main",), ("nav", "menu"), ("header",), ("footer",),
@@ -91,8 +93,8 @@ def describe(trees: list[Tree]) -> np.ndarray:
     # What stands above a block: flags and marks pass down the levels of the tree.
     above = np.concatenate([own[:, 7:15], bits], axis=1)
     nearest = np.concatenate([own, bits], axis=1)[parent]
-    for level in range(1, int(depth.max(initial=0)) + 1):
-        at = np.flatnonzero(depth == level)
+    in_order = np.argsort(depth, kind="stable")
+    for at in np.split(in_order, np.flatnonzero(np.diff(depth[in_order])) + 1)[1:]:
         above[at] = np.maximum(above[at], above[parent[at]])
     children = np.bincount(parent[~root], minlength=n)
     place = here - parent
@@ -114,7 +116,7 @@ def describe(trees: list[Tree]) -> np.ndarray:
 
 
 def targets(tree: Tree) -> list[bool]:
-    """Whether each run is main text: by ``data-main`` if a page has it, else by its article or main element."""
+    """Whether each run is main text: by ``TRUTH`` if it was parsed with it, else by its article or main element."""
     n = len(tree.parent)
     marked = any(t >= 0 for t in tree.truth)
     kept = [False] * n
@@ -179,7 +181,7 @@ def rebuilt(tree: Tree, kept: list[bool], others: list[str], rng: random.Random)
         return f' {some("class", "class", "id")}="{name}{extra}"' if name else ""
 
     def off(tag, marks, body):
-        return f'<{tag} data-main="0"{attribute(*marks)}>{body}</{tag}>'
+        return f'<{tag} {TRUTH}="0"{attribute(*marks)}>{body}</{tag}>'
 
     def links(low, high):
         entries = "".join(f'<li><a href="/x">{words(1, 3)}</a></li>' for _ in range(rng.randint(low, high)))
@@ -220,7 +222,7 @@ def rebuilt(tree: Tree, kept: list[bool], others: list[str], rng: random.Random)
     tag, marks = rng.choice(
         (("article", ("", "post", "entry")), ("article", ("",)), ("main", ("", "content")), ("div", ("content", "article-body", "post", "entry-content", "story")), ("section", ("content", "article", "")))
     )
-    core = f'<{tag} data-main="1"{attribute(*marks)}>{"".join(body)}</{tag}>'
+    core = f'<{tag} {TRUTH}="1"{attribute(*marks)}>{"".join(body)}</{tag}>'
     around = [core]
     for maker, chance in ((side, 0.5), (comments, 0.5), (advert, 0.4), (form, 0.3), (side, 0.2)):
         if rng.random() < chance:
@@ -257,8 +259,7 @@ def shortened(page: str, limit: int) -> str:
         elif chars[tree.end[i]] > chars[i] and room > 0:
             name = BLOCKS[tree.tag[i]]
             words = " ".join(own.split()[0] for j, own in enumerate(MARKS.values()) if tree.marks[i] >> j & 1)
-            attributes = (f' class="{words}"' if words else "") + (f' data-main="{tree.truth[i]}"' if tree.truth[i] >= 0 else "")
-            out.append(f"<{name}{attributes}>")
+            out.append(f'<{name} class="{words}">' if words else f"<{name}>")
             opened.append((name, tree.end[i]))
             size += 2 * len(out[-1])  # its end tag included
             room -= 2 * len(out[-1])
@@ -280,6 +281,7 @@ def sampled(rows: DataFrame, settings: Settings) -> list[str]:
 
     few = below(rows, settings.sample, rows.count(), "page_id", "html")
     few = few.select(digest("page_id", "html").alias("digest"), "html").mapInArrow(run, "digest bigint, html string")
+    few = few.dropDuplicates(["digest"])  # a repeated row counts once
     return [r.html for r in few.orderBy("digest", "html").limit(settings.sample).collect()]
 
 
@@ -307,7 +309,7 @@ def learn(pages: list[str], settings: Settings) -> tuple[Forest, Forest] | None:
     examples = list(marked)
     for tree, kept in marked or [(t, [True] * len(t.parent)) for t in trees if any(t.text)]:
         for _ in range(settings.variants):
-            page = parse(rebuilt(tree, kept, runs, rng))
+            page = parse(rebuilt(tree, kept, runs, rng), TRUTH)
             examples.append((page, targets(page)))
     x = describe([t for t, _ in examples])
     some, only, useful = [], [], []

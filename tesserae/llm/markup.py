@@ -48,7 +48,9 @@ TOKEN = re.compile(
     re.S,
 )
 BORDER = re.compile("[>\"']")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+# Attributes in order, so that quoted values are passed over whole: (name, value in one of three forms).
+ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
+MARKING = frozenset(("class", "id", "role"))
 PIECES = re.compile(r"[a-z]+")
 
 
@@ -63,20 +65,20 @@ class Tree:
     marks: list[int] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
-    truth: list[int] = field(default_factory=list)  # 1 or 0 where an attribute data-main says so, else -1
+    truth: list[int] = field(default_factory=list)  # 1 or 0 where the attribute of ``parse`` says so, else -1
 
 
-def marks_of(attributes: str) -> tuple[int, int]:
-    """(bits of the marks in class, id and role, value of data-main or -1)."""
+def marks_of(attributes: str, truth_name: str | None = None) -> tuple[int, int]:
+    """(bits of the marks in class, id and role, value of the attribute ``truth_name`` or -1)."""
     bits, truth = 0, -1
-    for name, value in ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'").lower()
-        if name.lower() == "data-main":
-            truth = int(value == "1")
-            continue
-        for word in PIECES.findall(value):
-            if word in MARK_OF:
-                bits |= 1 << MARK_OF[word]
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name == truth_name:
+            truth = int("1" in values)
+        elif name in MARKING:
+            for word in PIECES.findall("".join(values).lower()):
+                if word in MARK_OF:
+                    bits |= 1 << MARK_OF[word]
     return bits, truth
 
 
@@ -100,20 +102,24 @@ def tag_end(page: str, at: int, lost: set[int]) -> int:
     return -1
 
 
-def parse(page: str) -> Tree:
-    """The block tree of a page. Wrong or missing end tags are repaired; scripts, styles and hidden elements are left out."""
+def parse(page: str, truth_name: str | None = None) -> Tree:
+    """The block tree of a page. Wrong or missing end tags are repaired; scripts, styles and hidden elements are left out.
+
+    ``truth_name`` names the attribute that says of our own rebuilt pages what is main text. The time
+    is in proportion to the page: places of open elements are kept by name, and closing one removes
+    all that it passes.
+    """
     tree = Tree()
     stack: list[tuple[str, int]] = []  # (element, block number or -1 for an inline element)
+    places: dict[str, list[int]] = {}  # of each open element in the stack, by name
+    blocks: list[int] = []  # open blocks
     run: list[str] = []
     linked = links = hidden = 0
     at, size = 0, len(page)
     lost: set[int] = set()
 
-    def block() -> int:
-        return next((n for _, n in reversed(stack) if n >= 0), -1)
-
     def add(tag: str, bits: int, truth: int) -> int:
-        number, parent = len(tree.parent), block()
+        number, parent = len(tree.parent), blocks[-1] if blocks else -1
         tree.parent.append(parent)
         tree.end.append(number + 1)
         tree.depth.append(tree.depth[parent] + 1 if parent >= 0 else 0)
@@ -145,20 +151,22 @@ def parse(page: str) -> Tree:
         nonlocal links, hidden
         if any(n >= 0 for _, n in stack[index:]):
             flush()
-        for name, number in stack[index:]:
+        for name, number in reversed(stack[index:]):
             if number >= 0:
                 tree.end[number] = len(tree.parent)
+                blocks.pop()
+            places[name].pop()
             links -= name == "a"
             hidden -= name in HIDDEN
         del stack[index:]
 
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
     def close_open(names, borders):
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                close(i)
-                return
-            if stack[i][0] in borders:
-                return
+        index = last(names)
+        if index >= 0 and index > last(borders):
+            close(index)
 
     while at < size:
         found = TOKEN.search(page, at)
@@ -178,10 +186,8 @@ def parse(page: str) -> Tree:
                 break
             at = stop + 1
         if found[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
+            if places.get(name):
+                close(places[name][-1])
             continue
         if name == "body" and hidden:
             close_open(("head",), ())
@@ -192,7 +198,7 @@ def parse(page: str) -> Tree:
                 say(" ")
             continue
         if name in RAW:
-            stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            stop = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
             at = stop.end() if stop else size
             continue
         number = -1
@@ -201,7 +207,9 @@ def parse(page: str) -> Tree:
             if name in ENDS:
                 close_open(*ENDS[name])
             flush()
-            number = add(name, *marks_of(attributes)) if attributes else add(name, 0, -1)
+            number = add(name, *marks_of(attributes, truth_name)) if attributes else add(name, 0, -1)
+            blocks.append(number)
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, number))
         links += name == "a"
         hidden += name in HIDDEN
