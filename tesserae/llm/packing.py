@@ -1,15 +1,16 @@
 """Hierarchical residual packing of token pieces into sequences of bounded length.
 
 Documents become ids and an end id; longer ones are cut into full pieces from their end, so the
-first piece may be shorter. Packing runs in rounds. In each round every task takes a bounded
-number of items, best-fits them and emits the bins that are full up to a slack; the underfull bins
-go on as items of the next round, in fewer tasks, with a larger slack. The last round best-fits
-what is left without a slack. No task ever holds more than ``group_items`` items, and items carry
-only their size.
+first piece may be shorter. Packing runs in the same rounds at every size. In each round every group
+takes a bounded number of items, best-fits them and emits the bins that are full up to a slack; the
+underfull bins go on as items of the next round, in fewer groups, with a larger slack. The last round
+best-fits what is left without a slack. A group never holds more than ``group_items`` items, a small
+table is cut into ``FIRST_GROUPS`` of them all the same, and items carry only their size.
 
 Defined results: a null text is an empty one, which gives one piece of the end id alone; repeated
-rows are packed separately; null ids are kept; an empty table gives an empty result. Only the two
-named columns are read.
+rows are packed separately; null ids are kept; an empty table gives an empty result. ``pieces`` reads
+only the two named columns; ``pack`` keeps all columns, whatever their names, but ``sequence_id`` and
+``offset``, which it replaces.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.tasks import cached, settled, slices, strings
+from tesserae.llm.tasks import cached, free, settled, slices, strings
 from tesserae.llm.vocabulary import ByteVocabulary
 
 CAPACITY = 1024
 END_ID = 2
 GROUP_ITEMS = 200_000
+FIRST_GROUPS = 8
 SLACKS = (4, 32)
 
 
@@ -112,8 +114,8 @@ def best_fit(sizes: np.ndarray, capacity: int, slack: int | None) -> tuple[np.nd
     return bins, offsets, np.array(fills, np.int64)
 
 
-def packed(items: DataFrame, size: str, capacity: int, slack: int | None, number: int, group_items: int) -> DataFrame:
-    """``items`` with ``bin``, ``shift`` (their offset in it) and the bin's ``fill``, packed within each task."""
+def packed(items: DataFrame, size: str, capacity: int, slack: int | None, number: int, group_items: int, names) -> DataFrame:
+    """``items`` with the columns ``names``: bin, offset in it and the bin's fill, packed within each task."""
 
     def run(batches):
         part, group = TaskContext.get().partitionId(), 0
@@ -125,21 +127,24 @@ def packed(items: DataFrame, size: str, capacity: int, slack: int | None, number
             bins, offsets, fills = best_fit(table.column(size).to_numpy(), capacity, slack)
             ids = bins + ((number << 60) + (part << 34) + (group << 20))
             group += 1
-            for name, values in (("bin", ids), ("shift", offsets), ("fill", fills[bins])):
+            for name, values in zip(names, (ids, offsets, fills[bins])):
                 table = table.append_column(name, pa.array(values, pa.int64()))
             yield from table.to_batches()
 
         for batch in batches:
-            waiting.append(batch)
-            rows += batch.num_rows
-            if rows >= group_items:
-                yield from out()
-                waiting, rows = [], 0
+            while batch.num_rows:
+                taken = batch.slice(0, group_items - rows)
+                batch = batch.slice(taken.num_rows)
+                waiting.append(taken)
+                rows += taken.num_rows
+                if rows == group_items:
+                    yield from out()
+                    waiting, rows = [], 0
         if rows:
             yield from out()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return items.mapInArrow(run, f"{fields}, bin bigint, shift bigint, fill bigint")
+    return items.mapInArrow(run, fields + "".join(f", `{name}` bigint" for name in names))
 
 
 def pack(
@@ -150,34 +155,34 @@ def pack(
     group_items: int = GROUP_ITEMS,
 ) -> DataFrame:
     """``items`` with ``sequence_id`` and ``offset``: gapless sequences of at most ``capacity``."""
-    stored = settled(items, "pack-items")
+    columns = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    stored = settled(items.select(*columns), "pack-items")
+    bin_, shift, fill, next_, more = (free(n, columns) for n in ("_bin", "_shift", "_fill", "_next", "_more"))
     full = F.col(size) >= capacity
 
-    def spread_out(rows: DataFrame) -> tuple[DataFrame, int]:
-        """Rows in so many tasks that each has about ``group_items`` of them; no shuffle."""
-        groups = -(-rows.count() // group_items)
-        return rows.coalesce(max(1, groups)), groups
-
-    loose, groups = spread_out(stored.filter(~full))
-    slack = slacks[0] if groups > 1 else None
-    placed = settled(packed(loose, size, capacity, slack, 0, group_items), "pack-round")
-    result, number = placed, 0
-    while slack is not None:
-        number += 1
-        under = placed.filter(F.col("fill") < capacity - slack).select(F.col("bin").alias("item"), "fill").distinct()
-        under, groups = spread_out(settled(under.withColumnRenamed("fill", "room"), "pack-underfull"))
-        slack = slacks[number] if groups > 1 and number < len(slacks) else None
-        placed = settled(packed(under, "room", capacity, slack, number, group_items), "pack-round")
-        moved = placed.select(F.col("item").alias("bin"), F.col("bin").alias("next"), F.col("shift").alias("more"))
-        result = result.join(moved, "bin", "left").select(
-            *items.columns,
-            F.coalesce("next", "bin").alias("bin"),
-            (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"),
+    def dealt(rows: DataFrame, groups: int) -> tuple[DataFrame, int]:
+        """Rows in tasks of about ``group_items``, no shuffle, and the items of a group: ``groups`` of them or more."""
+        n = rows.count()
+        return rows.coalesce(max(1, -(-n // group_items))), min(group_items, max(1, -(-n // groups)))
+
+    loose, most = dealt(stored.filter(~full), FIRST_GROUPS)
+    placed = settled(packed(loose, size, capacity, slacks[0], 0, most, (bin_, shift, fill)), "pack-round")
+    result = placed
+    for number, slack in enumerate((*slacks[1:], None), 1):
+        open_bins = placed.filter(F.col(fill) < capacity - slacks[number - 1]).select(F.col(bin_).alias("item"), F.col(fill).alias("room"))
+        # Half as many groups a round, and one in the last, as long as they do not outgrow a task.
+        groups = FIRST_GROUPS >> number if slack is not None else 1
+        under, most = dealt(settled(open_bins.distinct(), "pack-underfull"), max(1, groups))
+        placed = settled(packed(under, "room", capacity, slack, number, most, (bin_, shift, fill)), "pack-round")
+        moved = placed.select(F.col("item").alias(bin_), F.col(bin_).alias(next_), F.col(shift).alias(more))
+        result = result.join(moved, bin_, "left").select(
+            *columns,
+            F.coalesce(next_, bin_).alias(bin_),
+            (F.col(shift) + F.coalesce(more, F.lit(0))).alias(shift),
         )
-    columns = [*items.columns, F.col("bin").alias("sequence_id"), F.col("shift").alias("offset")]
     alone = stored.filter(full).select(
-        *items.columns,
+        *columns,
         (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("bigint").alias("offset"),
     )
-    return result.select(*columns).unionByName(alone)
+    return result.select(*columns, F.col(bin_).alias("sequence_id"), F.col(shift).alias("offset")).unionByName(alone)

@@ -78,6 +78,13 @@ def kept_rows(docs, column: str, mask: Callable[[pa.RecordBatch], list]):
     return docs.mapInArrow(run, docs.schema)
 
 
+def free(name: str, taken) -> str:
+    """``name``, with as many underscores in front as it takes to differ from the columns ``taken``."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def digest(*key: str):
     """The low 40 bits of a digest of ``key``."""
     from pyspark.sql import functions as F
