@@ -1,7 +1,7 @@
 """Quality rules: plain counts, and the distance of a document's histograms from its language's.
 
 For every language the whole table gives two references: the shares of character classes, and the
-shares of its ``common`` most common words, of those that make up at least ``least_share`` of all,
+shares of its ``common`` most common words,
 with one bin for all other words. A document is compared with the
 references of its language by the Jensen-Shannon distance (base 2, from 0 to 1) and rejected when
 it is further away than a limit, provided that it is long enough for its histogram to mean
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.tasks import cached, filled, kept_rows, settled, slices
+from tesserae.llm.tasks import cached, filled, free, kept_rows, settled, slices
 from tesserae.llm.words import Words, mixed, window_starts, windows
 
 # Fixed values of the base rules.
@@ -37,6 +37,7 @@ CLASSES = ("lower", "upper", "digit", "blank", "line", "sentence", "exclamation"
 SENTENCE = b".,;:?'\"()-/"
 WORD, CLASS, DOCS, TOTAL = range(4)
 ALL = None
+KEY_BUCKETS = 32
 REFERENCE = "_language_reference"
 
 
@@ -49,7 +50,6 @@ class Limits:
     word_distance: float = 0.50
     word_words: int = 80
     common: int = 64
-    least_share: float = 0.001
     languages: int = 200
     least_docs: int = 1
     reference_chars: int = 10_000
@@ -132,12 +132,11 @@ def references(rows: DataFrame, limits: Limits) -> tuple[dict, DataFrame | None]
     words = counts.filter(F.col("kind") == WORD)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     totals = settled(totals.select("lang", F.lit(TOTAL).alias("kind"), F.lit(0).cast("bigint").alias("key"), "n"), "corpus-totals")
-    # A language has at most 1 / least_share such words, so ranking them takes no time at any scale.
-    sums = F.broadcast(totals.select(F.col("lang").alias("of"), F.col("n").alias("total")))  # a row per language
-    frequent = words.join(sums, F.col("lang").eqNullSafe(F.col("of")))
-    frequent = frequent.filter(F.col("n") >= limits.least_share * F.col("total"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    common = frequent.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limits.common)
+    # The best of each bucket of keys, and of these the best: a task ranks a share of a language's words.
+    common = words.withColumn("bucket", F.pmod("key", F.lit(KEY_BUCKETS)))
+    for among in (("lang", "bucket"), ("lang",)):
+        order = Window.partitionBy(*among).orderBy(F.desc("n"), "key")
+        common = common.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limits.common)
     common = common.select("lang", "kind", "key", "n")
     found = common.unionByName(counts.filter(F.col("kind").isin(CLASS, DOCS))).unionByName(totals)
     docs = F.max(F.when(F.col("kind") == DOCS, F.col("n"))).alias("docs")
@@ -167,19 +166,24 @@ def with_references(rows: DataFrame, lang_column: str, known: dict, others: Data
     """``rows``, and if there are ``others`` the packed references of these languages as a further column."""
     if others is None:
         return rows
-    lang = F.col(lang_column).cast("string")
+    lang, of, packed = F.col(lang_column).cast("string"), free("_reference_of", rows.columns), reference_column(rows)
     small = lang.isNotNull() & ~lang.isin([x for x in known if x is not ALL])
-    rest = others.withColumnRenamed("lang", "_reference_of")
-    joined = rows.filter(small).join(rest, F.col(lang_column).cast("string") == F.col("_reference_of"), "left").drop("_reference_of")
-    plain = rows.filter(~small).withColumn(REFERENCE, F.lit(None).cast(others.schema[REFERENCE].dataType))
+    rest = others.select(F.col("lang").alias(of), F.col(REFERENCE).alias(packed))
+    joined = rows.filter(small).join(rest, F.col(lang_column).cast("string") == F.col(of), "left").drop(of)
+    plain = rows.filter(~small).withColumn(packed, F.lit(None).cast(others.schema[REFERENCE].dataType))
     return plain.unionByName(joined)
 
 
-def all_known(batch: pa.RecordBatch, langs: list, known: dict) -> dict:
-    """``known`` and the references that the rows of the batch bring along."""
-    if REFERENCE not in batch.schema.names:
+def reference_column(rows: DataFrame) -> str:
+    """The name under which rows bring their language's reference along."""
+    return free(REFERENCE, rows.columns)
+
+
+def all_known(batch: pa.RecordBatch, langs: list, known: dict, packed: str) -> dict:
+    """``known`` and the references that the rows of the batch bring along in the column ``packed``."""
+    if packed not in batch.schema.names:
         return known
-    column, more = batch.column(REFERENCE), {}
+    column, more = batch.column(packed), {}
     for i, lang in enumerate(langs):
         if lang not in known and lang not in more and column[i].is_valid:
             more[lang] = unpacked(column[i].as_py())
@@ -292,7 +296,7 @@ def judge(
     def run(batches):
         for batch in slices(batches, "text"):
             langs = batch.column("lang").to_pylist()
-            found = measured(filled(batch, "text"), langs, all_known(batch, langs, known), limits)
+            found = measured(filled(batch, "text"), langs, all_known(batch, langs, known, REFERENCE), limits)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *map(pa.array, found.values())], ["doc_id", *found]
             )
@@ -308,9 +312,10 @@ def judge(
 def passing(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs``, with all columns, that ``judge`` keeps."""
     known, others = language_references(docs, text_column, lang_column, limits)
+    packed = reference_column(docs)
 
     def kept(batch):
         langs = batch.column(lang_column).cast(pa.string()).to_pylist()
-        return measured(filled(batch, text_column), langs, all_known(batch, langs, known), limits)["kept"]
+        return measured(filled(batch, text_column), langs, all_known(batch, langs, known, packed), limits)["kept"]
 
     return kept_rows(with_references(docs, lang_column, known, others), text_column, kept).select(docs.columns)
