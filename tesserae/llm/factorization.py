@@ -210,6 +210,9 @@ def learn(rows: DataFrame, labels: DataFrame, settings: Settings) -> Machine | f
         return (ones + 1) / (total + 2)
     some = [picked(known.filter(F.col("label") == c), settings.sample, counts[c], "doc_id") for c in (0, 1)]
     sample = rows.join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    # Of rows with the same id one counts, that with the smallest digest: the sample is bounded in rows.
+    one = F.min_by(F.struct("label", "text", "metadata"), F.struct(F.xxhash64("text"), "text")).alias("one")
+    sample = sample.groupBy("doc_id").agg(one).select("doc_id", "one.*")
 
     def run(batches):
         for batch in slices(batches, "text"):
