@@ -10,7 +10,7 @@ are a filter: a chance agreement of their 64-bit keys costs time, never words.
 Exact copies of a word sequence are settled by their whole keys. Each step works on combined
 aggregates and equi-joins, so a passage that a third of all documents share is never in one task.
 
-Defined results: a null text is an empty one; a null id counts as larger than all others; repeated
+Defined results: ids are integers, and others raise a ``ValueError``; a null text is an empty one; a null id counts as larger than all others; repeated
 rows (same id and text) have equal results and do not remove from each other; other rows with the
 same id neither; an empty table gives an empty result. Only the two named columns are read.
 """
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tesserae.llm.tasks import settled, slices
 from tesserae.llm.words import Words, powers, window_starts, windows
@@ -38,6 +39,8 @@ ROW = "d bigint, k bigint"
 
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Rows as (``doc_id``, ``d``, ``k``, ``text``): the id as a number without nulls, and a key of the text."""
+    if not isinstance(docs.schema[id_column].dataType, IntegralType):
+        raise ValueError(f"ids must be integers, whose order decides what stays: {id_column}")
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_column).alias("doc_id"),

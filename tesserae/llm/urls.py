@@ -3,7 +3,7 @@
 Rules are (host, path prefix, verdict). The strings of host and path are kept in the order of their
 64-bit xxhash digests: a memory-mapped file of digests, and next to it the offsets and bytes of
 the strings. A URL probes the digests of every host suffix with every path prefix of a length
-that occurs among the rules, by vectorised binary search; an equal digest counts only if the
+that occurs among the rules, as far as its host has no more labels than a rule's, by vectorised binary search; an equal digest counts only if the
 stored string is equal too. The longest rule that fits decides.
 
 The three files go into the shared folder and reach every executor once through Spark's file
@@ -94,12 +94,17 @@ class DigestArray:
         return found, blocks & found
 
 
-def suffixes(host: str) -> list[str]:
-    """A host and its parent domains, longest first."""
-    labels = host.split(".")
+def suffixes(host: str, most: int) -> list[str]:
+    """A host and its parent domains of at most ``most`` labels, longest first."""
+    labels = host.rsplit(".", most)[-most:] if most else []
     return [".".join(labels[i:]) for i in range(len(labels))]
 
 
+def most_labels(rules) -> int:
+    """Labels of the longest host among the rules; longer suffixes of a URL's host fit none."""
+    return max((h.count(".") + 1 for h, p, v in rules if None not in (h, p, v)), default=0)
+
+
 def spread_files(spark: SparkSession, files: dict[str, bytes]) -> dict[str, str]:
     """Writes the files to the shared folder, has Spark bring them to each executor, and returns their names there."""
     folder, own = new_path(spark, "digests"), uuid.uuid4().hex
@@ -127,8 +132,9 @@ def judge(
     rows = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
     files = DigestArray.pack(rules)
     lengths = sorted({len(p) for h, p, v in rules if None not in (h, p, v)}, reverse=True)
+    most = most_labels(rules)
     if sum(map(len, files.values())) > map_bytes:
-        return joined(rows, rules, lengths)
+        return joined(rows, rules, lengths, most)
     names = spread_files(pages.sparkSession, files)
 
     def run(batches):
@@ -137,7 +143,7 @@ def judge(
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             # Addresses of one site share most candidates, so each is looked up once a batch.
             heads = [[p[:n] for n in lengths if len(p) >= n] for p in paths]
-            wanted = [[s + p for s in suffixes(h) for p in own] for h, own in zip(hosts, heads)]
+            wanted = [[s + p for s in suffixes(h, most) for p in own] for h, own in zip(hosts, heads)]
             distinct = list({w for own in wanted for w in own})
             found, blocks = array.find([w.encode() for w in distinct])
             known = {w: bool(b) for w, f, b in zip(distinct, found, blocks) if f}
@@ -155,14 +161,14 @@ def judge(
     return rows.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
-def joined(rows: DataFrame, rules, lengths: list[int]) -> DataFrame:
+def joined(rows: DataFrame, rules, lengths: list[int], most: int) -> DataFrame:
     """The same rows by an equi-join with the rules, for lists too large to give to every executor."""
     spark = rows.sparkSession
     names = [(f"{h.lower()}{p}", v) for h, p, v in rules if None not in (h, p, v)]
     listed = spark.createDataFrame(names, "rule string, listed string").groupBy("rule").agg(F.max("listed").alias("listed"))
     address = rows.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # The ends of a host from its last dots on.
+    hosts = F.array_distinct(F.expr(f"transform(sequence(1, {max(most, 1)}), i -> substring_index(host, '.', -i))"))
     cuts = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
     asked = address.select("host", "path", F.explode(hosts).alias("h"), cuts.alias("cuts"))
     asked = asked.select("host", "path", "h", F.explode("cuts").alias("n"))
