@@ -4,7 +4,9 @@ import base64
 import hashlib
 import html
 import re
+import time
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow.fs
@@ -103,6 +105,47 @@ def test_top_k_of_vectors_in_clusters(spark, settings):
     assert got == brute(np.arange(len(x)), np.floor(256 * x).astype(int), np.arange(len(x)) % 3 == 0)
 
 
+def whole_numbers(x):
+    """floor(256 * x) of doubles, bounded as the operator says."""
+    return [[max(-topk.LARGEST, min(topk.LARGEST, int(Fraction(v) * 256 // 1))) for v in own] for own in x]
+
+
+def exact_answers(x, queries, k=5):
+    whole, best = whole_numbers(x), {}
+    for q in queries:
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], own)), i) for i, own in enumerate(whole) if i != q)
+        best[q] = [(i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in scores[:k]]
+    return best
+
+
+@pytest.mark.parametrize("size", [1e6, 3e7, 1e10, 1e15, 1e17, 1e300])
+@pytest.mark.parametrize("settings", [{}, {"bucket": 20, "block": 8}])
+def test_top_k_of_large_components_is_exact(spark, size, settings):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([size + rng.integers(-3, 4, (40, 4)), rng.normal(size=(30, 4)), -size * rng.uniform(size=(10, 4))])
+    x[5:9], x[60] = x[4], 0
+    frame = spark.createDataFrame([(i, own.tolist()) for i, own in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = answers(topk.search(frame, F.col("vec_id") % 7 == 0, **settings))
+    assert found == exact_answers(x.tolist(), range(0, len(x), 7))
+
+
+def test_unreachable_lengths_are_left_out_before_the_shuffle(spark):
+    levels = {0: (4, 10.0), 1: (2, 5.0), 2: (1, 0.5)}
+    rows = [(1, 30.0, 4.0), (2, float("-inf"), 4.0), (3, 0.0, 4.0), (4, 41.0, 4.0), (5, 1.0, 4.0), (6, 8.0, 0.0)]
+    queries = spark.createDataFrame(rows, "query_id int, threshold double, length double")
+    got = {}
+    for r in topk.reachable(queries, levels).collect():
+        got.setdefault(r.query_id, []).append((r.level, r.n))
+    every = [(0, 4), (1, 2), (2, 1)]
+    assert got == {1: every[:1], 2: every, 3: every, 5: every, 6: every}
+
+
+def test_top_k_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<double>")
+    odd = rows.selectExpr("*", *[f"'x' AS `{c}`" for c in "x norm2 level part block threshold query_id score rank n r length".split()])
+    assert answers(topk.search(odd, F.col("vec_id") == 0)) == {0: [(1, 256 * 512)]}
+
+
 def test_top_k_of_few_and_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (3, [1.0])], "vec_id bigint, embedding array<double>")
     assert answers(topk.search(frame, F.col("vec_id") == 0)) == {0: [(3, 65536), (1, 32768)]}
@@ -185,7 +228,7 @@ def test_extraction_of_rebuilt_pages():
     for page in pages[100:]:
         tree = markup.parse(page)
         page = extraction.rebuilt(tree, extraction.targets(tree), runs, rng)
-        tree = markup.parse(page)
+        tree = markup.parse(page, extraction.TRUTH)
         want = [s for s, k in zip(tree.text, extraction.targets(tree)) if s and k]
         got = extraction.main_texts([re.sub(r' data-main="."', "", page)], forests)[0].split("\n")
         right += got == want
@@ -281,3 +324,80 @@ def test_forest_learns_a_product():
     y = (x[:, 0] * x[:, 1] > 0).astype(float)
     forest = boosting.fit(x[:3000], y[:3000], trees=30, depth=3)
     assert ((forest.chances(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
+
+
+ODD_ATTRIBUTES = (
+    'data-id="ad-12"', "data-role='widget'", 'data-post-id="side-1"', "data-x='{class=\"sidebar\"}'", "data-y='id=\"ad\" > x'",
+    "xclass=ad", "class-name='nav footer'", "data-class=comments", "aria-role = 'banner'", "a-id\n=\n\"promo\"", "title='role=menu'",
+    'data-main="0"', 'data-main="1"', "=class", "checked",
+)
+
+
+@pytest.mark.parametrize("attribute", ODD_ATTRIBUTES)
+def test_only_whole_attribute_names_mark(attribute):
+    assert markup.marks_of(f" {attribute} hidden") == (0, -1)
+    both = markup.marks_of(f' {attribute} class="post" CLASS=entry {attribute}')
+    assert both == (1 << markup.MARK_OF["post"], -1)
+    page = "<body><p {0}>one two three</p><article {0}><p>a b c</p><p>d</p></article></body>"
+    plain, odd = markup.parse(page.replace("{0}", "")), markup.parse(page.format(attribute))
+    assert vars(plain) == vars(odd)
+
+
+def test_odd_attributes_change_no_page():
+    import duckdb
+
+    pages = [r[0] for r in duckdb.execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()]
+    forests = extraction.learn(pages[:120], extraction.Settings())
+    want = extraction.main_texts(pages[120:], forests)
+    for attribute in ODD_ATTRIBUTES[:5]:
+        for name in ("p", "article"):
+            changed = [re.sub(rf"<{name}\b", lambda m: f"{m[0]} {attribute}", p) for p in pages[120:]]
+            assert extraction.main_texts(changed, forests) == want
+
+
+def test_own_marks_of_main_text_are_read_in_rebuilt_pages_only():
+    tree = markup.parse('<main data-main="0"><p data-main="1">a</p></main>')
+    assert set(tree.truth) == {-1} and extraction.targets(tree)[-1]
+    assert set(markup.parse('<p data-main="0">a</p>', extraction.TRUTH).truth) == {0, -1}
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda n: "<i>" * n + "<p>x</p>" * n,
+        lambda n: "<i>" * n + "</b>" * n,
+        lambda n: "<div>" * n + "x",
+        lambda n: "<ul>" + "<li><b>x" * n,
+        lambda n: "<table>" + "<tr><td>x" * n,
+        lambda n: "<div " + "a='b' " * n + ">x",
+        lambda n: "<div " + "a=\"'" * n + ">x",
+        lambda n: "<script>" + "</script " * n,
+        lambda n: "<p>" + "</div></p>" * n,
+    ],
+)
+def test_long_pages_take_linear_time(page):
+    def seconds(n):
+        start = time.process_time()
+        extraction.describe([markup.parse(page(n))])
+        return time.process_time() - start
+
+    seconds(2000)
+    small, large = min(seconds(10_000) for _ in range(3)), seconds(80_000)
+    assert large < 30 * max(small, 0.02), (small, large)
+
+
+def test_repeated_pages_count_once_in_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(extraction, "learn", lambda pages, settings: seen.extend(pages) or "forests")
+    rows = [(1, "<p>copy</p>")] * 400 + [(i, f"<p>page {i}</p>") for i in range(2, 60)]
+    extraction.learned(spark.createDataFrame(rows, "page_id int, html string"), extraction.Settings())
+    assert len(seen) == len(set(seen)) == 59
+
+
+def test_hosts_with_very_many_labels(spark):
+    host = "a." * 100_000 + "example.net"
+    rows = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, f"http://{host}/x"), (3, "." * 50_000), (4, "http://" + "." * 50_000 + "org/fr/")], "page_id bigint, url string")
+    for size in (urls.MAP_BYTES, 0):
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(rows, RULES, map_bytes=size).collect()}
+        assert got == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: (None, "allow"), 4: ("org/fr/", "allow")}
+    assert urls.suffixes("a.b.c.d", 2) == ["c.d", "d"] and urls.suffixes("", 2) == [""] and urls.suffixes("a", 0) == []

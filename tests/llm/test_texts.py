@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -258,6 +259,70 @@ def test_pieces_and_packing(spark):
     assert packing.pack(packing.pieces(frame(spark, []), BPE)).count() == 0
 
 
+@pytest.mark.parametrize("n, most", [(1000, 1.01), (40, 1.15), (3, 1.0), (1, 1.0)])
+def test_small_tables_go_through_all_rounds(spark, monkeypatch, n, most):
+    """The rounds cost at most one sequence in a hundred against one best-fit run of a thousand pieces."""
+    rng = np.random.default_rng(n)
+    sizes = np.minimum(1024, np.maximum(1, rng.lognormal(5, 1.3, n).astype(int)))
+    rounds, real = [], packing.packed
+    monkeypatch.setattr(packing, "packed", lambda *a: rounds.append((a[3], a[5])) or real(*a))
+    items = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "id int, length int").repartition(3)
+    got = packing.pack(items).collect()
+    assert [s for s, _ in rounds] == [4, 32, None] and rounds[0][1] == max(1, -(-int((sizes < 1024).sum()) // 8))
+    fills = Counter()
+    for r in got:
+        fills[r.sequence_id] += r.length
+    assert len(got) == n and max(fills.values()) <= 1024
+    loose = sizes[sizes < 1024]
+    one = len(packing.best_fit(loose, 1024, None)[2]) + int((sizes == 1024).sum())
+    assert len(fills) <= most * one
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    odd = "bin next more shift fill room item _bin _shift _fill _next _more offset sequence_id".split()
+    items = spark.createDataFrame([(i, 300) for i in range(20)], "id int, length int")
+    items = items.selectExpr("*", *[f"concat('{c}', id) AS `{c}`" for c in odd])
+    for row in packing.pack(items, group_items=3).collect():
+        assert all(row[c] == f"{c}{row.id}" for c in odd[:-2]) and row.offset in (0, 300, 600)
+
+
+def test_flat_vocabularies_have_common_words(spark):
+    """Without a word that is more frequent than one in a thousand, the 64 commonest still judge."""
+    rows = [(i, " ".join(f"w{j}" for j in range(2000)), "xx") for i in range(3)]
+    rows += [(10, " ".join(f"w{j % 64}" for j in range(200)), "xx")]
+    known, _ = divergence.references(spark.createDataFrame(rows, "id int, text string, lang string").select("lang", "text"), divergence.Limits())
+    _, total, keys, counts = known["xx"]
+    assert total == 6200 and len(keys) == 64 and sorted(set(counts)) == [6.0, 7.0]
+
+
+def test_clashing_columns_beside_joined_references(spark):
+    rows = [(i, "a b c " * 30, lang) for i, lang in enumerate(["xx", "yy", "zz", None] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    odd = docs.selectExpr("*", *[f"'x' AS `{c}`" for c in ("_reference_of", divergence.REFERENCE, "__reference_of")])
+    limits = divergence.Limits(languages=1)
+    got = divergence.passing(odd, limits=limits)
+    assert got.columns == odd.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in divergence.passing(docs, limits=limits).collect())
+
+
+def test_a_sampled_id_counts_once(spark):
+    rng = random.Random(1)
+    word = lambda label: rng.choice(("good", "fine", "well") if label else ("bad", "worse", "junk"))
+    docs = [(i, " ".join(word(i % 2) for _ in range(30)), 100) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id int, quality int")
+    plain = spark.createDataFrame(docs, "doc_id int, text string, n_chars int")
+    many = plain.unionByName(spark.range(100_000).select(F.lit(1).alias("doc_id"), F.lit(docs[1][1]).alias("text"), F.lit(100).alias("n_chars")))
+    named = labels.withColumnRenamed("quality", "label")
+    settings = factorization.Settings()
+    one, other = (factorization.learn(factorization.table_of(d, "doc_id", "text", "n_chars"), named, settings) for d in (plain, many))
+    assert one.bias == other.bias and np.array_equal(one.weights, other.weights)
+
+
+def test_passages_refuse_text_ids(spark):
+    with pytest.raises(ValueError, match="integers"):
+        Repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_best_fit_rounds_in_many_groups(spark):
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 700, 3000)
