@@ -705,6 +705,24 @@ ORACLES["decoded_vectors"] = with_parts(
     "SELECT vec_id, round(list_dot_product(rebuilt, rebuilt), 6) AS norm2 FROM rebuilt_v",
 )
 
+CORPUS_SIDES = """
+SELECT side AS split, records, 0::BIGINT AS first, records - 1 AS last, records AS indexes, records AS prompts
+FROM (SELECT unnest(['train', 'eval']) AS side, unnest([n - e, e]) AS records
+      FROM (SELECT n, ceil({0} * n)::BIGINT AS e FROM (SELECT count(*) AS n FROM ({1})))) WHERE records > 0"""
+ORACLES["loose_corpus"] = CORPUS_SIDES.format(0.02, ORACLES["item_corpus"])
+ORACLES["structured_corpus"] = CORPUS_SIDES.format(0.2, "SELECT * FROM part")
+ORACLES["preprocess_files_run"] = with_parts(
+    {
+        "raw": f"SELECT * REPLACE ('all' AS category) FROM ({PURCHASES}) WHERE overall > 0",
+        **core_parts(5, 5),
+        "own": "SELECT u, count(*) AS c, count(DISTINCT i) AS d FROM core GROUP BY u",
+        "pool": "SELECT count(DISTINCT i) AS items FROM core",
+    },
+    """SELECT 'users' AS what, count(*) AS n FROM own UNION ALL SELECT 'interactions', sum(c)::BIGINT FROM own
+       UNION ALL SELECT 'items', items FROM pool UNION ALL SELECT 'described', items FROM pool
+       UNION ALL SELECT 'negatives', sum(least(5, items - d))::BIGINT FROM own, pool""",
+)
+ORACLES["sparse_code_lookup"] = f"SELECT vec_id, array_to_string(ids, ',') AS ids FROM ({CODES})"
 ORACLES["kcore_buckets"] = ORACLES["kcore_many_rounds"]
 ORACLES["accumulated_quality"] = ORACLES["quality_by_category"]
 ORACLES["residual_codes_far"] = ORACLES["residual_codes"]

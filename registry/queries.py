@@ -28,7 +28,7 @@ from tesserae.operators import splits as sp
 from tesserae.operators.ranking import positions
 from tesserae.plans import corpus, evaluation
 from tesserae.plans.accumulation import CodeCounts
-from tesserae.plans.preprocess import preprocess
+from tesserae.plans.preprocess import preprocess, preprocess_files
 from tesserae.sinks import artifacts as snk
 from tesserae.sinks import reports
 from tesserae.sources import artifacts as art
@@ -673,10 +673,12 @@ def under_split_sizes(spark: SparkSession, make) -> list[DataFrame]:
     """What ``make()`` reads when Spark cuts files into small and into large pieces."""
     found, key = [], "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(key)
-    for size in ("20000", "134217728"):
-        spark.conf.set(key, size)
-        found.append(store(make(), "read"))
-    spark.conf.set(key, before)
+    try:
+        for size in ("20000", "134217728"):
+            spark.conf.set(key, size)
+            found.append(store(make(), "read"))
+    finally:
+        spark.conf.set(key, before)
     return found
 
 
@@ -826,6 +828,74 @@ def item_corpus(spark, sf):
     return items.withColumn("categories", joined("categories", "|")).drop("seq")
 
 
+def corpus_sides(records: DataFrame) -> DataFrame:
+    """Per side of the split: records, their index range, and how many have whole prompts."""
+    whole = (F.size("guessing_prompt") == 3) & (F.size("reconstruction_prompt") == 3) & (F.length("product_text") > 0)
+    return records.groupBy("split").agg(
+        F.count(F.lit(1)).alias("records"), F.min("index").cast("bigint").alias("first"), F.max("index").cast("bigint").alias("last"),
+        F.count_distinct("index").alias("indexes"), F.count(F.when(whole, 1)).alias("prompts"),
+    )
+
+
+@query
+def loose_corpus(spark, sf):
+    """Records of the mode that reads dict-literal metadata, restricted to the items of artifacts."""
+    root, categories = written_artifacts(spark, sf, art.ID_MAPS)
+    config = {
+        "dataset_version": 2014, "metadata_dir": write_product_lines(spark, sf), "filename_template": "category={category}",
+        "sequential_dir": root, "categories": categories,
+    }
+    return corpus_sides(corpus.load_corpus(spark, config))
+
+
+@query
+def structured_corpus(spark, sf):
+    """Records of the mode that reads structured product files."""
+    path = new_path(spark, "structured-products")
+    part = inp.products(spark, sf)
+    part.select(
+        "category", "title", F.array("description").alias("description"), F.array("asin").alias("features"),
+    ).write.partitionBy("category").json(path)
+    paths = category_folders(spark, sf, path)
+    settings = corpus.Settings(categories=tuple(paths), product_paths=paths, ratio=0.2, version="2023")
+    return corpus_sides(corpus.load_corpus(spark, settings))
+
+
+@query
+def preprocess_files_run(spark, sf):
+    """One run from review and product files to artifacts, which are then read back and counted."""
+    folder, out = new_path(spark, "raw-files"), new_path(spark, "run-artifacts")
+    line = F.concat(
+        F.lit("{'reviewerID': '"), F.col("user"), F.lit("', 'asin': '"), F.col("item"), F.lit("', 'overall': "),
+        F.col("overall").cast("string"), F.lit(", 'unixReviewTime': "), F.col("ts").cast("string"), F.lit("}"),
+    )
+    product = F.concat(F.lit("{'asin': '"), F.col("asin"), F.lit("', 'brand': "), quoted("brand"), F.lit("}"))
+    for rows, file in ((inp.purchases(spark, sf).select(line), loose.REVIEW_FILE), (inp.products(spark, sf).select(product), loose.METADATA_FILE)):
+        rows.toDF("value").write.option("compression", "gzip").text(f"{folder}/{file.format(category='all')}")
+    preprocess_files(spark, ["all"], folder, out, negatives=5)
+    sequences = art.read_sequences(spark, out, ["all"])
+    counts = [
+        sequences.agg(F.count_distinct("user_id").alias("n")).withColumn("what", F.lit("users")),
+        sequences.agg(F.sum(F.size("item_ids")).alias("n")).withColumn("what", F.lit("interactions")),
+        art.read_item_ids(spark, out, ["all"]).agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("items")),
+        art.read_negatives(spark, out, ["all"]).agg(F.sum(F.size("neg_items")).alias("n")).withColumn("what", F.lit("negatives")),
+        art.read_item_attributes(spark, out, ["all"]).agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("described")),
+    ]
+    found = counts[0]
+    for more in counts[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+@query
+def sparse_code_lookup(spark, sf):
+    """Codes of tokens that lie far apart, some beyond 32 bits, as large vocabularies may number them."""
+    known = [7 + 999_983 * c * c * c for c in range(RANGE)]
+    token = F.transform("ids", lambda c: F.when(c >= 0, F.lit(7) + F.lit(999_983) * c.cast("bigint") * c * c).otherwise(F.lit(5)))
+    codes = tx.lookup_codes("tokens", known, SIZE)
+    return inp.hashed_codes(spark, sf).select("vec_id", token.alias("tokens")).select("vec_id", joined(codes, ",").alias("ids"))
+
+
 @query
 def metrics_json(spark, sf):
     path = new_path(spark, "metrics")

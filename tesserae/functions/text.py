@@ -5,6 +5,9 @@ from __future__ import annotations
 import sys
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,19 +175,20 @@ def code_tokens(ids) -> Column:
     )
 
 
-# A codebook may spread over so many token ids per code.
-SPARSE = 1000
+# Codebook tokens are looked up in a table of token ids if it has at most so many entries, and so many per code.
+TABLE_ENTRIES, SPARSE = 1 << 16, 16
 
 
 def lookup_codes(token_ids, codebook_tokens: list[int], size: int) -> Column:
     """Code index of each of the first ``size`` tokens; -1 when it is no codebook token.
 
-    The index of a token stands at its distance from the smallest codebook token, so a lookup
-    takes the same time for any number of codes. Of a repeated token the last index counts.
+    Where tokens lie close together, as ids of added tokens do, the index of a token stands in a
+    table at its distance from the smallest one. Others are searched in the order of their ids, in
+    batches. Of a repeated token the last index counts; null tokens are unknown.
     """
     low, high = min(codebook_tokens, default=0), max(codebook_tokens, default=-1)
-    if high - low > SPARSE * len(codebook_tokens):
-        raise ValueError("codebook tokens must lie close together, as ids of added tokens do")
+    if high - low >= min(TABLE_ENTRIES, SPARSE * len(codebook_tokens)):
+        return _searched(codebook_tokens)(F.slice(_col(token_ids), 1, size).cast("array<bigint>"))
     table = [-1] * (high - low + 1)
     for code, token in enumerate(codebook_tokens):
         table[token - low] = code
@@ -198,6 +202,25 @@ def lookup_codes(token_ids, codebook_tokens: list[int], size: int) -> Column:
     return F.transform(F.slice(_col(token_ids), 1, size), code_of)
 
 
+def _searched(codebook_tokens: list[int]):
+    """The same lookup by binary search among the sorted tokens, for any tokens."""
+    codes = {token: code for code, token in enumerate(codebook_tokens)}
+    known = np.array(sorted(codes), np.int64)
+    code_of = np.array([codes[t] for t in known.tolist()], np.int32)
+
+    @F.arrow_udf("array<int>")
+    def search(rows: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        tokens = rows.flatten()
+        asked = pc.fill_null(tokens, 0).to_numpy(zero_copy_only=False)
+        place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        hit = (known[place] == asked) & ~tokens.is_null().to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(np.where(hit, code_of[place], -1).astype(np.int32)), mask=rows.is_null())
+
+    return search
+
+
 def normalize_answer(text, prefix: str = ANSWER_PREFIX) -> Column:
     """Stripped, without the fixed answer prefix, whitespace collapsed, lower case."""
     text = strip(text)

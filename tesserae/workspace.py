@@ -15,11 +15,25 @@ FOLDER_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; the warehouse folder, which is shared too, if unset."""
-    folder = spark.conf.get(FOLDER_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder named by ``spark.checkpoint.dir``, or the warehouse folder if that is unset.
+
+    By default the warehouse is a folder of the machine at hand. On a cluster other machines would
+    write elsewhere and the driver would read an empty table, so that is refused.
+    """
+    folder = spark.conf.get(FOLDER_SETTING, None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        if scheme_of(spark, folder) == "file" and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"set {FOLDER_SETTING} to a folder that all executors reach; {folder} is local to each machine")
     return folder.rstrip("/")
 
 
+def scheme_of(spark: SparkSession, folder: str) -> str:
+    """The file system of a folder, that of the session's default if its name has none."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return (folder if ":/" in folder else default).split(":")[0]
+
+
 def run_folder(spark: SparkSession) -> str:
     """Where the intermediate tables of this application lie."""
     return f"{shared_folder(spark)}/tesserae/{spark.sparkContext.applicationId}"

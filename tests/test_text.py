@@ -112,6 +112,15 @@ def test_code_rendering(spark):
     assert one(spark, "c array<int>", ([7, 9, 8, 7],), tx.lookup_codes("c", [9, 7], 3)) == [1, 0, -1]
 
 
+def test_lookup_of_tokens_that_lie_far_apart(spark):
+    known = [5, 10**12, -3, 2**40, 5, 0]
+    rows = [[10**12, -3, 5, 9], [0, None, 2**40], [], None, [4, 10**12 + 1, -4]]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c array<bigint>")
+    got = {r.i: r.ids for r in frame.select("i", tx.lookup_codes("c", known, 3).alias("ids")).collect()}
+    assert got == {0: [1, 2, 4], 1: [5, -1, 3], 2: [], 3: None, 4: [-1, -1, -1]}
+    assert one(spark, "c array<int>", ([7],), tx.lookup_codes("c", [], 3)) == [-1]
+
+
 def test_prompts(spark):
     frame = spark.createDataFrame([(i, f"text {i}") for i in range(11)], "i int, t string")
     rows = frame.select(

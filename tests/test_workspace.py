@@ -3,6 +3,10 @@
 import subprocess
 import sys
 
+import pytest
+
+from tesserae.workspace import shared_folder
+
 SCRIPT = """
 import os, sys
 sys.path.insert(0, {repo!r})
@@ -34,6 +38,25 @@ def test_without_a_setting_tables_go_to_the_warehouse(tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
 
 
+def fake(master, checkpoint=None, warehouse="file:/opt/warehouse", default="file:///"):
+    from types import SimpleNamespace as N
+
+    settings = {"spark.checkpoint.dir": checkpoint, "spark.sql.warehouse.dir": warehouse}
+    hadoop = N(get=lambda name: default)
+    conf = N(get=lambda name, *other: settings.get(name))
+    return N(conf=conf, sparkContext=N(master=master, _jsc=N(hadoopConfiguration=lambda: hadoop)))
+
+
+def test_a_local_warehouse_is_refused_on_a_cluster():
+    for spark in (fake("yarn"), fake("spark://m:7077", warehouse="/opt/warehouse"), fake("local-cluster[2,1,1024]")):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(spark)
+    assert shared_folder(fake("local[4]")) == shared_folder(fake("local")) == "file:/opt/warehouse"
+    assert shared_folder(fake("yarn", warehouse="hdfs://n/warehouse/")) == "hdfs://n/warehouse"
+    assert shared_folder(fake("yarn", warehouse="/warehouse", default="hdfs://n")) == "/warehouse"
+    assert shared_folder(fake("yarn", checkpoint="file:/mnt/shared")) == "file:/mnt/shared"
+
+
 def test_no_machine_local_folder_is_used():
     import pathlib
 
