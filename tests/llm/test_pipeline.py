@@ -83,3 +83,52 @@ def test_last_stage_packs_every_piece(spark, steps):
     fills = after.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("top"))
     assert fills.filter("n <> top OR n > 1024").count() == 0
     assert corpus_pipeline.run(spark, SF).count() == after.count()
+
+
+CLASHING = "_row row bin next fill _reference_of _language_reference fp k d h n kept words score at v"
+
+
+def clashing(spark, rows=None):
+    docs = documents(spark)
+    docs = docs if rows is None else docs.filter("false")
+    return docs.selectExpr("*", *[f"concat('{c}', coalesce(doc_id, -1)) AS `{c}`" for c in CLASHING.split()]).repartition(3)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables(spark, name):
+    docs = clashing(spark, [])
+    after = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    assert after.count() == 0 and (name == "best_fit_packing" or after.columns == docs.columns)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_return_whole_odd_rows(spark, name):
+    """Nulls, empty and long texts, ties, repeats and clashing names come through untouched, as without those columns."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = clashing(spark)
+    after = stage(spark, docs, SF)
+    assert after.columns == docs.columns
+    got = after.collect()
+    for row in got:
+        assert all(row[c] == f"{c}{-1 if row.doc_id is None else row.doc_id}" for c in CLASHING.split())
+    plain = stage(spark, documents(spark), SF)
+    if name != "near_dedup":  # of rows with equal ids and texts any may stay
+        assert Counter((r.doc_id, r.text, r.lang) for r in got) == Counter((r.doc_id, r.text, r.lang) for r in plain.collect())
+    else:
+        assert len(got) == plain.count()
+
+
+def test_last_stage_packs_odd_rows(spark):
+    rows = texts()
+    after = corpus_pipeline.best_fit_packing(spark, clashing(spark), SF)
+    assert after.filter("piece = 0").count() == len(rows)
+    assert after.filter("doc_id = 122").select("start", "length").collect() == [(0, 1)]
+
+
+def test_filters_decide_on_odd_rows(spark):
+    docs = documents(spark)
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()}
+    want = {r.doc_id for r in divergence.judge(docs).filter("kept").collect()}
+    assert kept == want and not kept & {122, 123, 124, 125}
+    good = corpus_pipeline.quality_classifier(spark, docs, SF).count()
+    assert 0 <= good <= docs.count()
