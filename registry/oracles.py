@@ -877,3 +877,31 @@ ORACLES["collision_split"] = with_parts(
        FROM (SELECT (SELECT count(*) FROM coded) AS num_items, sum(pairs)::BIGINT AS pairs, sum(benign)::BIGINT AS benign,
                     sum(harmful)::BIGINT AS harmful, sum(n) FILTER (harmful > 0)::BIGINT AS harmful_items FROM tuples)""",
 )
+SIDE_BY_SIDE = {
+    **VECTOR_PARTS,
+    **permuted_parts("SELECT vec_id, label, e, row_number() OVER (ORDER BY vec_id) - 1 AS number FROM v0", "number", 16, 16),
+    "learned": LEARNED,
+    "coded_all": f"""SELECT 'learned' AS category, vec_id, label, e, ids FROM learned
+        UNION ALL SELECT 'hash', vec_id, label, e, {hashed_sql('vec_id', 2)} FROM v0
+        UNION ALL SELECT 'random', vec_id, label, e, [hi, lo] FROM digits6 WHERE number < 256""",
+    "by_prefix": "SELECT *, array_to_string(ids[1:length], ',') AS prefix FROM (SELECT *, unnest([1, 2]) AS length FROM coded_all)",
+    "label_shares": """SELECT category, length, prefix, label, count(*) AS c,
+        count(*) / sum(count(*)) OVER (PARTITION BY category, length, prefix) AS share FROM by_prefix GROUP BY category, length, prefix, label""",
+    "purities": """SELECT category, length, prefix, sum(c) AS n, max(share) AS purity, -sum(share * ln(share)) AS entropy
+        FROM label_shares GROUP BY category, length, prefix""",
+    "pairs_of": """SELECT category, length, avg(list_cosine_similarity(a.e, b.e)) AS cosine
+        FROM by_prefix a JOIN by_prefix b USING (category, length, prefix) WHERE a.vec_id < b.vec_id GROUP BY category, length""",
+    "meet": """SELECT category, ids, count(*) AS pairs, count(*) FILTER (b.vec_id <> a.vec_id + 1) AS harmful
+        FROM coded_all a JOIN coded_all b USING (category, ids) WHERE a.vec_id < b.vec_id GROUP BY category, ids""",
+    "sizes_of": "SELECT category, ids, count(*) AS n FROM coded_all GROUP BY category, ids",
+    "harms": """SELECT category, coalesce(sum(harmful) / sum(pairs), 0) AS rate, coalesce(sum(n) FILTER (harmful > 0), 0) / sum(n) AS item_rate
+        FROM sizes_of LEFT JOIN meet USING (category, ids) GROUP BY category""",
+}
+ORACLES["code_comparison"] = with_parts(
+    SIDE_BY_SIDE,
+    f"""SELECT p.category AS source, p.length::INTEGER AS length, num_prefixes, purity, entropy, round(cosine, 6) AS cosine,
+        codebook_perplexity, active_codes, collision_rate, uniqueness, round(rate, 6) AS harmful_rate, round(item_rate, 6) AS harmful_item_rate
+        FROM (SELECT category, length, count(*) AS num_prefixes, round(sum(n * purity) / sum(n), 6) AS purity,
+                     round(sum(n * entropy) / sum(n), 6) AS entropy FROM purities GROUP BY category, length) p
+        LEFT JOIN pairs_of USING (category, length) JOIN ({quality('FROM coded_all')}) q USING (category) JOIN harms USING (category)""",
+)

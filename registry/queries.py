@@ -26,7 +26,7 @@ from tesserae.operators import recommendation as rm
 from tesserae.operators import reconstruction as rc
 from tesserae.operators import splits as sp
 from tesserae.operators.ranking import positions
-from tesserae.plans import corpus, evaluation
+from tesserae.plans import comparison, corpus, evaluation
 from tesserae.plans.accumulation import CodeCounts
 from tesserae.plans.preprocess import preprocess, preprocess_files
 from tesserae.sinks import artifacts as snk
@@ -1207,3 +1207,14 @@ def collision_split(spark, sf):
 @query
 def tuple_collisions(spark, sf):
     return cl.tuple_collisions(*part_collisions(spark, sf), 2).withColumn("ids", joined("ids", ","))
+
+
+@query
+def code_comparison(spark, sf):
+    """Learned, hashed and random codes side by side; neighbours in the table may share a tuple."""
+    coded = labelled_codes(spark, sf)
+    pairs = coded.select(F.col("vec_id").alias("first"), (F.col("vec_id") + 1).alias("second"))
+    found = comparison.compare_codes(coded, pairs, 2, RANGE, item="vec_id")
+    return rounded(
+        found, "purity", "entropy", "cosine", "codebook_perplexity", "collision_rate", "uniqueness", "harmful_rate", "harmful_item_rate"
+    )

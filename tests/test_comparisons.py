@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tesserae.operators import baselines as bl
 from tesserae.operators import collisions as cl
 from tesserae.operators import prefixes as px
+from tesserae.plans import comparison
 
 CODED = "k string, item bigint, label string, ids array<int>, embedding array<double>"
 
@@ -177,3 +178,24 @@ def test_no_items(spark):
     alone = spark.createDataFrame([(1, [1, 1])], "item bigint, ids array<int>")
     row = cl.collision_split(alone, pairs, 2).first()
     assert (row.num_items, row.pairs, row.harmful, row.harmful_rate) == (1, 0, 0, 0.0)
+
+
+def test_codes_beside_baselines(spark):
+    """Codes that follow the labels are purer and closer than hashed and random ones, which never collide."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        label = i % 4
+        vector = [rng.gauss(0, 0.1) + (3.0 if d == label else 0.0) for d in range(4)]
+        rows.append((i, [label, rng.randrange(20)], f"l{label}", vector))
+    coded = spark.createDataFrame(rows, "item bigint, ids array<int>, label string, embedding array<double>")
+    pairs = spark.createDataFrame([(0, 4), (8, 4)], "first bigint, second bigint")
+    got = {(r.source, r.length): r for r in comparison.compare_codes(coded, pairs, 2, 20).collect()}
+    assert set(got) == {(s, n) for s in ("learned", "hash", "random") for n in (1, 2)}
+    assert got["learned", 1].purity == 1.0 and got["learned", 1].cosine > 0.9
+    assert all(got[s, 1].purity < 0.7 and got[s, 1].cosine < 0.6 for s in ("hash", "random"))
+    assert all(got["random", n].collision_rate == got["random", n].harmful_rate == 0.0 for n in (1, 2))
+    assert got["random", 2].uniqueness == 1.0 and got["hash", 2].uniqueness < 1.0
+    sources = comparison.with_baselines(coded, "item", 2, 5)
+    counts = {r.source: r.n for r in sources.filter("ids IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts == {"learned": 120, "hash": 120, "random": 25}
