@@ -37,7 +37,7 @@ CLASSES = ("lower", "upper", "digit", "blank", "line", "sentence", "exclamation"
 SENTENCE = b".,;:?'\"()-/"
 WORD, CLASS, DOCS, TOTAL = range(4)
 ALL = None
-KEY_BUCKETS = 32
+KEY_BUCKETS = (512, 16)
 REFERENCE = "_language_reference"
 
 
@@ -132,10 +132,10 @@ def references(rows: DataFrame, limits: Limits) -> tuple[dict, DataFrame | None]
     words = counts.filter(F.col("kind") == WORD)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     totals = settled(totals.select("lang", F.lit(TOTAL).alias("kind"), F.lit(0).cast("bigint").alias("key"), "n"), "corpus-totals")
-    # The best of each bucket of keys, and of these the best: a task ranks a share of a language's words.
-    common = words.withColumn("bucket", F.pmod("key", F.lit(KEY_BUCKETS)))
-    for among in (("lang", "bucket"), ("lang",)):
-        order = Window.partitionBy(*among).orderBy(F.desc("n"), "key")
+    # The best of each bucket of keys, and of these the best: a task ranks a small share of a language's words.
+    common = words
+    for buckets in (*KEY_BUCKETS, 1):
+        order = Window.partitionBy("lang", F.pmod("key", F.lit(buckets))).orderBy(F.desc("n"), "key")
         common = common.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limits.common)
     common = common.select("lang", "kind", "key", "n")
     found = common.unionByName(counts.filter(F.col("kind").isin(CLASS, DOCS))).unionByName(totals)
