@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.ranking import HOT_ROWS, positions
-from tesserae.workspace import new_path, read_stored, store
+from tesserae.workspace import exists, new_path, read_stored, store
 
 USER = ["category", "user"]
 ITEM = ["category", "item"]
@@ -81,26 +81,29 @@ def kcore(
     cores = F.when(F.col("side") == "user", user_core).otherwise(item_core)
     users = user_counts(interactions).select(F.lit("user").alias("side"), "category", F.col("user").alias("key"), "n")
     items = item_counts(interactions).select(F.lit("item").alias("side"), "category", F.col("item").alias("key"), "n")
-    counts, edges, folders = store(users.unionByName(items), "counts"), None, []
+    counts, edges, folders = users.unionByName(items), None, []
     while True:
-        fallen = counts.filter(F.col("n") < cores).select(*KEY)
-        path = new_path(spark, "fallen")
-        fallen.write.parquet(path)
-        fallen = read_stored(fallen, path)
-        if fallen.isEmpty():
-            return _without(interactions, read_stored(fallen, *folders)) if folders else interactions
-        folders.append(path)
+        # One write deals the keys into those that fall and those that stay.
+        path = new_path(spark, "counts")
+        counts.withColumn("fell", F.col("n") < cores).write.partitionBy("fell").parquet(path)
+        fell, stayed = f"{path}/fell=true", f"{path}/fell=false"
+        some, left = exists(spark, fell), exists(spark, stayed)
+        if some:
+            folders.append(fell)
+        if not some or not left:
+            return _without(interactions, read_stored(counts, *folders)) if folders else interactions
+        fallen, rest = read_stored(counts, fell).select(*KEY), read_stored(counts, stayed)
         if edges is None:
-            buckets = min(MOST_BUCKETS, max(1, counts.count() // bucket_keys))
+            buckets = min(MOST_BUCKETS, max(1, rest.count() // bucket_keys))
             rows = interactions.groupBy(*USER, "item").agg(F.count(F.lit(1)).alias("n"))
             edges, dropped, whole = _bucketed(rows, buckets), len(folders) - 1, None
-        counts = store(_lowered(counts, edges, fallen, buckets), "counts")
         if buckets > 1:
-            left = counts.filter("side = 'user'").agg(F.sum("n")).first()[0] or 0
-            whole = left if whole is None else whole
-            if 2 * left < whole:
-                gone = read_stored(fallen, *folders[dropped:])
-                edges, dropped, whole = _bucketed(_without(edges["user"].drop("bucket"), gone), buckets), len(folders), left
+            held = rest.filter("side = 'user'").agg(F.sum("n")).first()[0] or 0
+            whole = held if whole is None else whole
+            if 2 * held < whole:
+                gone = read_stored(counts, *folders[dropped:-1])
+                edges, dropped, whole = _bucketed(_without(edges["user"].drop("bucket"), gone), buckets), len(folders) - 1, held
+        counts = _lowered(rest, edges, fallen, buckets)
 
 
 def _bucket(key: str, buckets: int):
@@ -133,15 +136,14 @@ def _touched(edges: dict[str, DataFrame], fallen: DataFrame, side: str, buckets:
     return rows.join(keys, ["category", side], "left_semi")
 
 
-def _lowered(counts: DataFrame, edges: dict[str, DataFrame], fallen: DataFrame, buckets: int) -> DataFrame:
+def _lowered(rest: DataFrame, edges: dict[str, DataFrame], fallen: DataFrame, buckets: int) -> DataFrame:
     """The counts of the keys that did not fall, less their edges to those that did."""
     lost = [
         _touched(edges, fallen, side, buckets).select(F.lit(other).alias("side"), "category", F.col(other).alias("key"), "n")
         for side, other in (("user", "item"), ("item", "user"))
     ]
     lost = lost[0].unionByName(lost[1]).groupBy(*KEY).agg(F.sum("n").alias("lost"))
-    rest = counts.join(fallen, KEY, "left_anti").join(lost, KEY, "left")
-    return rest.select(*KEY, (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))
+    return rest.join(lost, KEY, "left").select(*KEY, (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))
 
 
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
