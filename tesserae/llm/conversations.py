@@ -13,10 +13,9 @@ prefixes; a sequence's share of a subtree is what it passes through first (of th
 a node, that with the smallest id has it), which is a run of places up to its end. So no node is
 paired with its ancestors, and the work grows with the turns.
 
-Defined results: a null role or text is an empty one; turns are in the order of ``turn``, nulls
+Defined results: ids are whole numbers; a null role or text is an empty one; turns are in the order of ``turn``, nulls
 first, equal ones by role, then by the first 64 characters and the digest of the text, and repeated
-rows are repeated turns; rows with a null id take no part; ids that differ only in rows without
-text are sequences like all others; an empty table gives an empty result. Only the named columns
+rows are repeated turns; rows with a null id take no part; an empty table gives an empty result. Only the named columns
 are read, so other columns cannot clash.
 """
 
