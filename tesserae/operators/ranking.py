@@ -18,6 +18,8 @@ from tesserae.workspace import store
 
 HOT_ROWS = 1_000_000
 BUCKET_ROWS = 20_000
+# So many digits make at most 256 buckets a group, which one task sums.
+FLAT_DIGITS = 2
 
 
 def hash_rank(
@@ -43,13 +45,7 @@ def hash_rank(
         digits = max(1, math.ceil(math.log(max(1, hashed.count() / BUCKET_ROWS), 16)))
     hashed = hashed.withColumn("_b", F.substring("_h", 1, digits))
     sizes = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    whole = W.partitionBy(*group)
-    starts = sizes.select(
-        *group,
-        "_b",
-        (F.sum("_n").over(whole.orderBy("_b")) - F.col("_n")).alias("_start"),
-        F.sum("_n").over(whole).alias("_total"),
-    )
+    starts = _bucket_starts(sizes, group, digits)
     local = W.partitionBy(*group, "_b").orderBy("_h", *key)
     ranked = (
         hashed.withColumn("_i", F.row_number().over(local))
@@ -61,6 +57,27 @@ def hash_rank(
     return ranked.drop("_h", "_b", "_i", "_start", "_total")
 
 
+def _bucket_starts(sizes: DataFrame, group: list[str], digits: int) -> DataFrame:
+    """``_start``, rows in the buckets before one, and ``_total``, those of the group.
+
+    Many buckets are summed in two levels, by their first digits and inside of these, so that no task
+    holds more than about the root of their number.
+    """
+    if digits <= FLAT_DIGITS:
+        return _starts(sizes, group, "_b")
+    cut = sizes.withColumn("_o", F.substring("_b", 1, digits // 2))
+    outer = _starts(cut.groupBy(*group, "_o").agg(F.sum("_n").alias("_n")), group, "_o")
+    inner = _starts(cut, [*group, "_o"], "_b").withColumnRenamed("_start", "_inner").drop("_total")
+    both = inner.join(outer, [*group, "_o"])
+    return both.select(*group, "_b", (F.col("_start") + F.col("_inner")).alias("_start"), "_total")
+
+
+def _starts(sizes: DataFrame, group: list[str], bucket: str) -> DataFrame:
+    whole = W.partitionBy(*group)
+    before = F.sum("_n").over(whole.orderBy(bucket)) - F.col("_n")
+    return sizes.select(*group, bucket, before.alias("_start"), F.sum("_n").over(whole).alias("_total"))
+
+
 def positions(
     df: DataFrame,
     group: list[str],

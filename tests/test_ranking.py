@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions.hashing import unit
@@ -41,9 +42,10 @@ def test_hot_group_is_spread_over_tasks(spark):
     assert len(hot) > 3 and max(r["count"] for r in hot) < 1500
 
 
-def test_hash_rank(spark):
+@pytest.mark.parametrize("digits", [1, 2, 3, 4])
+def test_hash_rank(spark, digits):
     rows, frame = skewed(spark)
-    got = hash_rank(frame, 9, ["i"], ["g"], "r", "n", digits=1).collect()
+    got = hash_rank(frame, 9, ["i"], ["g"], "r", "n", digits=digits).collect()
     for g in {r[0] for r in rows}:
         ids = [r[2] for r in rows if r[0] == g]
         ids.sort(key=lambda i: hashlib.md5(f"9:{g}:{i}".encode()).hexdigest())
@@ -52,6 +54,14 @@ def test_hash_rank(spark):
         assert {x.n for x in got if x.g == g} == {len(ids)}
 
 
+def test_hash_rank_without_groups(spark):
+    rows, frame = skewed(spark)
+    ids = sorted((r[2] for r in rows), key=lambda i: hashlib.md5(f"9:{i}".encode()).hexdigest())
+    for digits in (2, 5):
+        got = hash_rank(frame, 9, ["i"], [], "r", "n", digits=digits).collect()
+        assert {x.i: x.r for x in got} == {i: k + 1 for k, i in enumerate(ids)} and {x.n for x in got} == {len(ids)}
+
+
 def test_running_start(spark):
     rng = random.Random(2)
     rows = [(c, i, rng.randrange(1, 9)) for c in "ab" for i in range(1, 500)]
