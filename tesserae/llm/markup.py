@@ -40,14 +40,14 @@ MARKS = {
 MARK_OF = {word: i for i, words in enumerate(MARKS.values()) for word in words.split()}
 MARK_NAMES = tuple(MARKS)
 
+# Comments; tags, in which only a quote right after an equals sign opens a value; declarations; a cut end.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+)(>?)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(>?)"
     r"|<[!?][^>]*>"
     r"|<[/!?][^>]*\Z",
     re.S,
 )
-BORDER = re.compile("[>\"']")
 # Attributes in order, so that quoted values are passed over whole: (name, value in one of three forms).
 ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
 MARKING = frozenset(("class", "id", "role"))
@@ -82,26 +82,6 @@ def marks_of(attributes: str, truth_name: str | None = None) -> tuple[int, int]:
     return bits, truth
 
 
-def tag_end(page: str, at: int, lost: set[int]) -> int:
-    """Where the tag with a quote at ``at`` has its ``>`` outside quotes, or -1 if a quote stays open.
-
-    ``lost`` collects the opening quotes from which no end was found, so that a page with many of
-    them is still scanned in linear time.
-    """
-    seen = []
-    while found := BORDER.search(page, at):
-        if found[0] == ">":
-            return found.start()
-        if found.start() in lost:
-            break
-        seen.append(found.start())
-        at = page.find(found[0], found.end()) + 1
-        if not at:
-            break
-    lost.update(seen)
-    return -1
-
-
 def parse(page: str, truth_name: str | None = None) -> Tree:
     """The block tree of a page. Wrong or missing end tags are repaired; scripts, styles and hidden elements are left out.
 
@@ -116,7 +96,6 @@ def parse(page: str, truth_name: str | None = None) -> Tree:
     run: list[str] = []
     linked = links = hidden = 0
     at, size = 0, len(page)
-    lost: set[int] = set()
 
     def add(tag: str, bits: int, truth: int) -> int:
         number, parent = len(tree.parent), blocks[-1] if blocks else -1
@@ -178,13 +157,8 @@ def parse(page: str, truth_name: str | None = None) -> Tree:
         if not found[2]:
             continue
         name, attributes = found[2].lower(), found[3]
-        if not found[4]:  # a quote, or the end of the page
-            stop = tag_end(page, at, lost) if at < size else -1
-            attributes = page[found.end(2) : stop] if stop >= 0 else ""
-            stop = stop if stop >= 0 else page.find(">", at)
-            if stop < 0:
-                break
-            at = stop + 1
+        if not found[4]:  # the page ends in the tag
+            break
         if found[1]:
             if places.get(name):
                 close(places[name][-1])

@@ -329,7 +329,7 @@ def test_forest_learns_a_product():
 ODD_ATTRIBUTES = (
     'data-id="ad-12"', "data-role='widget'", 'data-post-id="side-1"', "data-x='{class=\"sidebar\"}'", "data-y='id=\"ad\" > x'",
     "xclass=ad", "class-name='nav footer'", "data-class=comments", "aria-role = 'banner'", "a-id\n=\n\"promo\"", "title='role=menu'",
-    'data-main="0"', 'data-main="1"', "=class", "checked",
+    'data-main="0"', 'data-main="1"', "data-x=a'class=ad", "=class", "checked",
 )
 
 
@@ -355,6 +355,14 @@ def test_odd_attributes_change_no_page():
             assert extraction.main_texts(changed, forests) == want
 
 
+@pytest.mark.parametrize("tag", ['<p class="post"">', "<p title=it's>", '<p a"b c=\'d\'>', "<p 'x>", '<p x = "a>b" \'>', "<p x=>"])
+def test_stray_quotes_open_no_value(tag):
+    """As in browsers, a quote opens a value right after an equals sign only, so no text is lost to a typing error."""
+    assert [s for s in markup.parse(f"<p>before</p>{tag}one</p><p>two 'three'</p><p class=\"x\">four</p>").text if s] == [
+        "before", "one", "two 'three'", "four",
+    ]
+
+
 def test_own_marks_of_main_text_are_read_in_rebuilt_pages_only():
     tree = markup.parse('<main data-main="0"><p data-main="1">a</p></main>')
     assert set(tree.truth) == {-1} and extraction.targets(tree)[-1]
@@ -372,6 +380,8 @@ def test_own_marks_of_main_text_are_read_in_rebuilt_pages_only():
         lambda n: "<div " + "a='b' " * n + ">x",
         lambda n: "<div " + "a=\"'" * n + ">x",
         lambda n: "<script>" + "</script " * n,
+        lambda n: "<i x=\"" * n,
+        lambda n: "<i x='>\"" * n + "<p y=\">z",
         lambda n: "<p>" + "</div></p>" * n,
     ],
 )
