@@ -1,8 +1,10 @@
 """Writers of the preprocessing artifacts, for all categories in one job each.
 
-A line holds at most ``CHUNK_ITEMS`` entries. Larger sequences and maps continue in the folder
-of the next ``chunk_no``, so no task has to build one huge line; ordinary ones have a single
-chunk, whose lines are those of the reference's files.
+A line holds at most ``CHUNK_ITEMS`` entries, so no task has to build one huge line. Larger
+sequences continue in the folder of the next ``chunk_no``. The chunks of larger maps need no order,
+so the folder ``chunk_no=n`` of a map holds the chunks from n, a power of two, to 2n - 1: a map has as
+many folders as its number of chunks has binary digits. Ordinary ones have a single chunk 0, whose lines are those of the
+reference's files.
 """
 
 from __future__ import annotations
@@ -47,11 +49,17 @@ def _chunk_no(id_column: str, chunk: int) -> Column:
     return F.floor((F.col(id_column) - 1) / chunk).alias("chunk_no")
 
 
+def _write_maps(maps: DataFrame, path: str) -> None:
+    """A folder per chunk would be one of a few lines for each of many thousand chunks."""
+    first = F.pow(F.lit(2.0), F.length(F.bin("chunk_no")) - 1).cast("bigint")
+    _write_lines(maps.withColumn("chunk_no", F.when(F.col("chunk_no") > 0, first).otherwise(F.col("chunk_no"))), path)
+
+
 def write_item_attributes(lists: DataFrame, root: str, chunk: int = CHUNK_ITEMS) -> None:
     """JSON object per chunk: item id to list of attribute ids."""
     entries = _map(F.col("item_id").cast("string"), F.col("attribute_ids"))
     maps = lists.groupBy("category", _chunk_no("item_id", chunk)).agg(entries.alias("_m"))
-    _write_lines(maps.withColumn("value", F.to_json("_m")), f"{root}/{ITEM_ATTRIBUTES}")
+    _write_maps(maps.withColumn("value", F.to_json("_m")), f"{root}/{ITEM_ATTRIBUTES}")
 
 
 def write_id_maps(
@@ -74,7 +82,7 @@ def write_id_maps(
     names = ["user2id", "item2id", "id2user", "id2item", "attribute2id", "id2attribute", "attributeid2num"]
     empty = F.map_from_arrays(F.array(), F.array())
     filled = [F.coalesce(F.col(n), empty.cast(maps.schema[n].dataType)).alias(n) for n in names]
-    _write_lines(maps.select(*key, F.to_json(F.struct(*filled)).alias("value")), f"{root}/{ID_MAPS}")
+    _write_maps(maps.select(*key, F.to_json(F.struct(*filled)).alias("value")), f"{root}/{ID_MAPS}")
 
 
 def to_category_folders(spark: SparkSession, root: str, out: str) -> None:

@@ -234,3 +234,23 @@ def test_chunks_of_a_long_key(spark):
     rows = chunked(frame, ["k"], "pos", "v", "vs", chunk=999).orderBy("chunk_no").collect()
     assert [len(r.vs) for r in rows] == [999] * 10 + [10]
     assert [v for r in rows for v in r.vs] == [-i for i in range(1, 10_001)]
+
+
+def test_many_chunks_of_maps_lie_in_few_folders(spark, tmp_path):
+    ids = spark.range(1, 1001)
+    users = ids.select(F.lit("c").alias("category"), F.concat(F.lit("u"), "id").alias("user"), F.col("id").alias("user_id"))
+    items = ids.select(F.lit("c").alias("category"), F.concat(F.lit("i"), "id").alias("item"), F.col("id").alias("item_id"))
+    names = ids.select(
+        F.lit("c").alias("category"), F.concat(F.lit("a"), "id").alias("attribute"), F.col("id").alias("attribute_id"), F.lit(1).alias("num")
+    )
+    root = str(tmp_path / "maps")
+    snk.write_id_maps(users, items, names, root, chunk=3)
+    lists = items.select("category", "item_id", F.array("item_id").alias("attribute_ids"))
+    snk.write_item_attributes(lists, root, chunk=3)
+    for artifact in (art.ID_MAPS, art.ITEM_ATTRIBUTES):
+        folders = {p.name for p in (tmp_path / "maps" / artifact / "category=c").iterdir()}
+        assert folders == {"chunk_no=0", *(f"chunk_no={2**n}" for n in range(9))}
+    assert sorted((r.item, r.item_id) for r in art.read_item_ids(spark, root, ["c"]).collect()) == sorted((f"i{n}", n) for n in range(1, 1001))
+    assert sorted((r.item_id, r.attribute_ids) for r in art.read_item_attributes(spark, root, ["c"]).collect()) == [(n, [n]) for n in range(1, 1001)]
+    with pytest.raises(ValueError, match="several chunks"):
+        snk.to_category_folders(spark, root, str(tmp_path / "out"))
