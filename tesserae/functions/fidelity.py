@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -28,9 +29,12 @@ def lcs_length(a, b) -> int:
     return len(b) - row.bit_count()
 
 
-def _words(texts: pa.Array) -> list[list[str]]:
-    """Tokens of normalised texts. Whole texts cross to Python faster than arrays of words."""
-    return [(text or "").split() for text in texts.to_pylist()]
+def _words(texts: pa.Array) -> Iterator[list[str]]:
+    """Tokens of normalised texts, one text at a time: words take ten times the memory of the batch.
+
+    Whole texts cross to Python faster than arrays of words.
+    """
+    return ((text.as_py() or "").split() for text in texts)
 
 
 @F.arrow_udf(T.LongType())
