@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.hashing import unit
-from tesserae.operators.ranking import running_start
+from tesserae.operators.ranking import HOT_ROWS, running_start
 from tesserae.workspace import store
 
 # Defaults that must equal the reference's.
@@ -29,10 +29,15 @@ BROADCAST_ITEMS = 250_000
 
 
 def first_slots(k: int) -> int:
-    """Draws in the first round: enough for nearly every user when the pool is large."""
+    """Draws before the number grows: enough for nearly every user when the pool is large."""
     return k + k // 4 + 8
 
 
+def ample_items(k: int) -> int:
+    """In a pool of so many items few users need more than ``k`` draws, so these are made first."""
+    return 8 * k * first_slots(k)
+
+
 def _steps(df: DataFrame, first, last, name: str) -> DataFrame:
     """One row per integer in [first, last], generated through arrays of at most BLOCK entries."""
     outer = F.explode(F.sequence(F.floor(first / BLOCK), F.floor(last / BLOCK)))
@@ -49,15 +54,12 @@ def _weighted_pool(seen: DataFrame, sizes: DataFrame) -> DataFrame:
     return pool.join(sizes.select("category", "width"), "category")
 
 
-def _draw(users: DataFrame, pool: DataFrame | None, small: bool, seed: int) -> DataFrame:
+def _draw(users: DataFrame, pool: DataFrame | None, small: bool, seed: int, tasks: int) -> DataFrame:
     """``category, user_id, target, got, slot, item_id`` for slots first..slots-1 of each user.
 
-    The user table is small and its draws are many, so it is spread by the number of draws:
+    The user table is small and its draws are many, so it is spread over a given number of tasks:
     adaptive execution would go by its bytes and leave them to one task.
     """
-    spark = users.sparkSession
-    draws = users.agg(F.sum(F.col("slots") - F.col("first"))).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, draws // DRAWS_PER_TASK)
     spread = users.repartition(tasks, *USER_ID)
     slots = _steps(spread, F.col("first"), F.col("slots") - 1, "slot")
     drawn = slots.withColumn("at", F.floor(unit(seed, *USER_ID, "slot") * F.col("mass")))
@@ -90,12 +92,27 @@ def _sized(side: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(side) if small else side.hint("merge")
 
 
-def _unseen(draws: DataFrame, seen: DataFrame) -> DataFrame:
-    """First slot of each drawn item that the user has not seen."""
-    first = draws.groupBy(*PAIR).agg(
-        F.min("slot").alias("slot"), F.max("target").alias("target"), F.max("got").alias("got")
+def _unseen(users: DataFrame, pool: DataFrame | None, small: bool, known: DataFrame, hot_rows: int, seed: int) -> DataFrame:
+    """First slot of each drawn item that the user does not know.
+
+    Draws are made where the known pairs of their users lie, so that only users and known pairs, and
+    draws that look for an interval in a large pool, are shuffled. Users who know more than
+    ``hot_rows`` items are left to a join by pair.
+    """
+    draws, most = users.agg(F.sum(F.col("slots") - F.col("first")), F.max("own")).first()
+    tasks = max(users.sparkSession.sparkContext.defaultParallelism, (draws or 0) // DRAWS_PER_TASK)
+    drawn = _draw(users, pool, small, seed, tasks)
+    if pool is not None and not small:
+        drawn = drawn.repartition(tasks, *USER_ID)
+    hot = users.filter(F.col("own") > hot_rows).select(*USER_ID) if (most or 0) > hot_rows else None
+    pairs = known if hot is None else known.join(hot, USER_ID, "left_anti")
+    both = drawn.unionByName(pairs.select(*PAIR).repartition(tasks, *USER_ID), allowMissingColumns=True)
+    first = both.groupBy(*PAIR).agg(
+        F.min("slot").alias("slot"), F.max("target").alias("target"), F.max("got").alias("got"),
+        F.count(F.when(F.col("slot").isNull(), 1)).alias("_known"),
     )
-    return first.join(seen, PAIR, "left_anti")
+    first = first.filter("_known = 0").drop("_known")
+    return first if hot is None else first.join(known.join(hot, USER_ID, "left_semi"), PAIR, "left_anti")
 
 
 def _take(candidates: DataFrame, k: int, *order) -> DataFrame:
@@ -128,11 +145,12 @@ def _remaining(users: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def sample_negatives(
-    encoded: DataFrame, k: int = NEGATIVES, seed: int = NEGATIVE_SEED, mode: str = "random"
+    encoded: DataFrame, k: int = NEGATIVES, seed: int = NEGATIVE_SEED, mode: str = "random", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """``category, user_id, neg_pos, item_id``: min(k, unseen items) negatives for every user.
 
-    Users who are still short get up to four times the slots; only the new ones are drawn, and
+    Users who are still short get up to four times the slots (in ample pools ``k`` slots come before the
+    first ones, with the same picks, as these go by slot); only the new ones are drawn, and
     what they add comes behind what the user has. Once a user's slots reach the number of items in
     the category, what is missing is taken from the user's unseen items in the order of exponential
     clocks (rate = weight), which continues the same law and costs no more than the draws already
@@ -154,17 +172,17 @@ def sample_negatives(
         .withColumn("target", target)
         .filter(F.col("target") > 0)
         .withColumn("first", F.lit(0).cast("bigint"))
-        .withColumn("slots", F.lit(first_slots(k)).cast("bigint"))
-        .withColumn("got", F.lit(0).cast("bigint"))
-        .drop("own"),
+        .withColumn("slots", F.when(F.col("items") >= ample_items(k), k).otherwise(first_slots(k)).cast("bigint"))
+        .withColumn("got", F.lit(0).cast("bigint")),
         "users",
     )
     small = pool is not None and pool.count() <= BROADCAST_ITEMS
     parts: list[DataFrame] = []
     while True:
-        fresh = _unseen(_draw(users, pool, small, seed), seen)
+        known = seen.select(*PAIR)
         if parts:
-            fresh = fresh.join(_union(parts), PAIR, "left_anti")
+            known = known.unionByName(_union(parts).select(*PAIR)).join(users.select(*USER_ID), USER_ID, "left_semi")
+        fresh = _unseen(users, pool, small, known, hot_rows, seed)
         parts.append(store(_take(fresh, k, "slot"), "picks"))
         more = parts[-1].groupBy(*USER_ID).agg(F.count(F.lit(1)).alias("more"))
         short = users.join(more, USER_ID, "left").withColumn("got", F.col("got") + F.coalesce("more", F.lit(0)))
@@ -177,7 +195,8 @@ def sample_negatives(
             return _union([*parts, _fill(spent, pool, small, seen, _union(parts), seed, k)])
         if not spent.isEmpty():
             parts.append(store(_fill(spent, pool, small, seen, _union(parts), seed, k), "picks"))
-        users = users.withColumn("first", F.col("slots")).withColumn("slots", F.col("slots") * 4)
+        more = F.when(F.col("slots") < first_slots(k), first_slots(k)).otherwise(F.col("slots") * 4).cast("bigint")
+        users = users.withColumn("first", F.col("slots")).withColumn("slots", more)
 
 
 def _fill(users, pool: DataFrame | None, small: bool, seen: DataFrame, picked: DataFrame, seed: int, k: int) -> DataFrame:

@@ -99,3 +99,25 @@ def test_rounds_of_new_slots_past_the_pool(spark, monkeypatch):
     candidates = frame.select("category", "user_id", F.lit(1).cast("bigint").alias("item_id")).distinct()
     left = {(r.category, r.user_id) for r in ng.unseen_only(candidates, frame).collect()}
     assert ("a", 2) not in left and ("a", 3) in left
+
+
+@pytest.mark.parametrize("mode", ["random", "pop"])
+def test_draws_before_the_first_slots_change_no_pick(spark, monkeypatch, mode):
+    _, frame = encoded(spark, items=400)
+    monkeypatch.setattr(ng, "ample_items", lambda k: 10**9)
+    whole = sorted(tuple(r) for r in ng.sample_negatives(frame, 5, mode=mode).collect())
+    monkeypatch.undo()
+    monkeypatch.setattr(ng, "ample_items", lambda k: 0)
+    assert whole == sorted(tuple(r) for r in ng.sample_negatives(frame, 5, mode=mode).collect())
+    assert whole == sorted(tuple(r) for r in ng.sample_negatives(frame, 5, mode=mode, hot_rows=9).collect())
+
+
+def test_draws_are_not_shuffled(spark):
+    rows = [("a", u, p, u * 5 + p) for u in range(40) for p in range(1, 6)]
+    frame = ng.store(spark.createDataFrame(rows, SCHEMA), "seen")
+    users = frame.groupBy(*ng.USER_ID).agg(F.count(F.lit(1)).alias("own")).select(
+        "*", *[F.lit(n).cast("bigint").alias(name) for name, n in (("target", 5), ("got", 0), ("first", 0), ("slots", 9), ("mass", 200))]
+    )
+    taken = ng._take(ng._unseen(ng.store(users, "users"), None, False, frame, 100, 1), 5, "slot")
+    plan = taken._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
