@@ -217,8 +217,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def unseen_only(candidates: DataFrame, encoded: DataFrame) -> DataFrame:
-    """Candidate (category, user_id, item_id) rows the user has not interacted with."""
-    return candidates.join(encoded.select(*PAIR).distinct(), PAIR, "left_anti")
+    """Candidate (category, user_id, item_id) rows the user has not interacted with.
+
+    Stored pairs take a few bytes each, in memory a hundred times that: a join that goes by the size of
+    files would send millions of them to every task.
+    """
+    return candidates.join(encoded.select(*PAIR).distinct().hint("merge"), PAIR, "left_anti")
 
 
 def sequence_records(sequences: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -121,3 +121,11 @@ def test_draws_are_not_shuffled(spark):
     taken = ng._take(ng._unseen(ng.store(users, "users"), None, False, frame, 100, 1), 5, "slot")
     plan = taken._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_seen_pairs_are_not_broadcast(spark):
+    frame = ng.store(spark.createDataFrame([("a", 1, 1, 1), ("a", 1, 2, 2), ("b", 2, 1, 1)], SCHEMA), "encoded")
+    candidates = frame.select("category", "user_id", (F.col("item_id") + 1).alias("item_id"))
+    rest = ng.unseen_only(candidates, frame)
+    assert sorted(tuple(r) for r in rest.collect()) == [("a", 1, 3), ("b", 2, 2)]
+    assert "Broadcast" not in rest._jdf.queryExecution().executedPlan().toString()
