@@ -18,10 +18,15 @@ def user_ids(interactions: DataFrame, seed: int = ID_SEED) -> DataFrame:
     return hash_rank(interactions.select(*USER).distinct(), seed, ["user"], ["category"], "user_id")
 
 
+def with_user_ids(sequenced: DataFrame, users: DataFrame) -> DataFrame:
+    """``sequenced`` with ``user_id``, joined unless it is there already; store it if it is used more than once."""
+    return sequenced if "user_id" in sequenced.columns else sequenced.join(users, USER)
+
+
 def item_ids(sequenced: DataFrame, users: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``category, item, item_id``: ids by first appearance, walking users by id and items by ``pos``."""
     first = (
-        sequenced.join(users, USER)
+        with_user_ids(sequenced, users)
         .groupBy("category", "item")
         .agg(F.min(F.struct("user_id", "pos")).alias("first"))
     )
@@ -31,8 +36,7 @@ def item_ids(sequenced: DataFrame, users: DataFrame, hot_rows: int = HOT_ROWS) -
 def encode(sequenced: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """``category, user_id, pos, item_id`` of each interaction."""
     return (
-        sequenced.select("category", "user", "item", "pos")
-        .join(users, USER)
+        with_user_ids(sequenced, users)
         .join(items, ["category", "item"])
         .select("category", "user_id", "pos", "item_id")
     )

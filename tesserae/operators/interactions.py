@@ -16,6 +16,8 @@ from tesserae.workspace import exists, new_path, read_stored, store
 USER = ["category", "user"]
 ITEM = ["category", "item"]
 KEY = ["side", "category", "key"]
+SIDES = ("user", "item")
+OTHER = {"user": "item", "item": "user"}
 
 # Defaults that must equal the reference's.
 RATING_FLOOR = 0.0
@@ -27,6 +29,8 @@ CHUNK_ITEMS = 100_000
 # Keys per bucket of edges, and the most buckets, whose numbers the driver reads in a round.
 BUCKET_KEYS = 500_000
 MOST_BUCKETS = 1024
+# Rounds that scan the given rows before edges are put into buckets, which costs several such scans.
+SCANNED_ROUNDS = 2
 
 
 def rating_filter(reviews: DataFrame, column: str = "overall", floor: float = RATING_FLOOR) -> DataFrame:
@@ -68,42 +72,65 @@ def kcore(
     """The interactions that remain when passes are repeated until no count is under its core.
 
     The fixpoint does not depend on the order in which keys are dropped. Counts per user and item
-    are kept in one table. The (user, item, n) edges are stored twice, in buckets of the user's and
-    of the item's key. A round stores the keys that fell under their core, reads the edges in the
-    buckets of these keys, and takes the touched ones off the counts at their other ends. An edge
-    counts against a key only in the round in which its other end falls, and keys that fell have
-    left the table, so edges need no rewriting; they are rewritten without the fallen ones when
-    less than half of them is left. So a round reads in proportion to what fell, up to a bucket per
-    fallen key, and writes the size of the counts. ``interactions`` is read up to three times, so
-    pass a stored table.
+    are kept in one table. A round stores the keys that fell under their core and takes their edges off
+    the counts at the other ends. An edge counts against a key only in the round in which its other
+    end falls, and keys that fell have left the table, so edges need no rewriting; they are rewritten
+    without the fallen ones when much of them went. The first rounds, often the only ones, scan the given
+    rows. Later ones read (user, item, n) edges that are stored twice, in buckets of the user's and of
+    the item's key, and only the buckets of the keys that fell: a round then reads in proportion to
+    these, up to a bucket per fallen key, and writes the size of the counts. ``interactions`` is read
+    several times, so pass a stored table.
     """
     spark = interactions.sparkSession
     cores = F.when(F.col("side") == "user", user_core).otherwise(item_core)
     users = user_counts(interactions).select(F.lit("user").alias("side"), "category", F.col("user").alias("key"), "n")
     items = item_counts(interactions).select(F.lit("item").alias("side"), "category", F.col("item").alias("key"), "n")
-    counts, edges, folders = users.unionByName(items), None, []
+    counts, folders, rounds, dropped, buckets, whole = users.unionByName(items), [], 0, 0, 1, None
+    rows, edges = interactions.select(*USER, "item", F.lit(1).cast("bigint").alias("n")), None
     while True:
         # One write deals the keys into those that fall and those that stay.
         path = new_path(spark, "counts")
-        counts.withColumn("fell", F.col("n") < cores).write.partitionBy("fell").parquet(path)
+        counts.withColumn("fell", F.col("n") < cores).write.partitionBy("fell", "side").parquet(path)
         fell, stayed = f"{path}/fell=true", f"{path}/fell=false"
         some, left = exists(spark, fell), exists(spark, stayed)
         if some:
-            folders.append(fell)
-        if not some or not left:
-            return _without(interactions, read_stored(counts, *folders)) if folders else interactions
-        fallen, rest = read_stored(counts, fell).select(*KEY), read_stored(counts, stayed)
-        if edges is None:
+            folders.append({side: f"{fell}/side={side}" for side in SIDES if exists(spark, f"{fell}/side={side}")})
+        if not some:
+            return _without(interactions, _keys(counts, folders)) if folders else interactions
+        if not left:
+            # Every key fell; a null has no equal and so drops no row.
+            return interactions.filter("category IS NULL OR (user IS NULL AND item IS NULL)")
+        fallen, rest = _keys(counts, folders[-1:]), read_stored(counts, stayed)
+        if rounds == 0:
             buckets = min(MOST_BUCKETS, max(1, rest.count() // bucket_keys))
-            rows = interactions.groupBy(*USER, "item").agg(F.count(F.lit(1)).alias("n"))
-            edges, dropped, whole = _bucketed(rows, buckets), len(folders) - 1, None
-        if buckets > 1:
+        rounds += 1
+        if buckets == 1 or rounds <= SCANNED_ROUNDS:
+            whole = interactions.count() if whole is None else whole
+            if 2 * (read_stored(counts, fell).agg(F.sum("n")).first()[0] or 0) > whole:
+                lost, rows = _split_off(rows, fallen)
+                dropped, whole = len(folders), rows.count()
+            else:
+                lost = _lost({side: rows for side in SIDES}, fallen, 1)
+        else:
             held = rest.filter("side = 'user'").agg(F.sum("n")).first()[0] or 0
-            whole = held if whole is None else whole
-            if 2 * held < whole:
-                gone = read_stored(counts, *folders[dropped:-1])
-                edges, dropped, whole = _bucketed(_without(edges["user"].drop("bucket"), gone), buckets), len(folders) - 1, held
-        counts = _lowered(rest, edges, fallen, buckets)
+            if edges is None:
+                merged = rows.groupBy(*USER, "item").agg(F.sum("n").alias("n"))
+                edges, whole = _bucketed(merged, buckets), held
+            elif 2 * held < whole:
+                kept = _without(edges["user"].drop("bucket"), _keys(counts, folders[dropped:-1]))
+                edges, dropped, whole = _bucketed(kept, buckets), len(folders) - 1, held
+            lost = _lost(edges, fallen, buckets)
+        counts = rest.join(lost, KEY, "left").select(*KEY, (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))
+
+
+def _keys(counts: DataFrame, folders: list[dict[str, str]]) -> dict[str, DataFrame]:
+    """Per side that has any, the fallen keys. Each side is a scan of its own, so its size is known to the joins."""
+    found = {}
+    for side in SIDES:
+        paths = [f[side] for f in folders if side in f]
+        if paths:
+            found[side] = read_stored(counts.select("category", "key"), *paths).withColumn("side", F.lit(side))
+    return found
 
 
 def _bucket(key: str, buckets: int):
@@ -136,26 +163,57 @@ def _touched(edges: dict[str, DataFrame], fallen: DataFrame, side: str, buckets:
     return rows.join(keys, ["category", side], "left_semi")
 
 
-def _lowered(rest: DataFrame, edges: dict[str, DataFrame], fallen: DataFrame, buckets: int) -> DataFrame:
-    """The counts of the keys that did not fall, less their edges to those that did."""
+def _lost(edges: dict[str, DataFrame], fallen: dict[str, DataFrame], buckets: int) -> DataFrame:
+    """Per key the edges whose other end fell."""
+    return _summed(
+        [_touched(edges, keys, side, buckets).withColumnRenamed(OTHER[side], "key").withColumn("side", F.lit(OTHER[side])) for side, keys in fallen.items()]
+    )
+
+
+def _summed(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0].select(*KEY, "n")
+    for part in parts[1:]:
+        whole = whole.unionByName(part.select(*KEY, "n"))
+    return whole.groupBy(*KEY).agg(F.sum("n").alias("lost"))
+
+
+def _split_off(rows: DataFrame, fallen: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """What ``_lost`` gives, and the edges none of whose ends fell, after one pass over the edges."""
+    marked = rows
+    for side in SIDES:
+        if side in fallen:
+            keys = fallen[side].select("category", F.col("key").alias(side), F.lit(True).alias(f"_{side}"))
+            marked = marked.join(keys, ["category", side], "left")
+        else:
+            marked = marked.withColumn(f"_{side}", F.lit(None).cast("boolean"))
+    gone = {side: F.col(f"_{side}").isNotNull() for side in SIDES}
+    ends = F.when(gone["user"], "user").when(gone["item"], "item").otherwise("none").alias("fell")
+    # Edges that lost both ends count for no key that is left.
+    marked = marked.filter(~(gone["user"] & gone["item"])).select(*rows.columns, ends)
+    path = new_path(rows.sparkSession, "edges")
+    marked.write.partitionBy("fell").parquet(path)
+    stored = read_stored(marked, path)
     lost = [
-        _touched(edges, fallen, side, buckets).select(F.lit(other).alias("side"), "category", F.col(other).alias("key"), "n")
-        for side, other in (("user", "item"), ("item", "user"))
+        stored.filter(F.col("fell") == side).withColumnRenamed(OTHER[side], "key").withColumn("side", F.lit(OTHER[side])) for side in SIDES
     ]
-    lost = lost[0].unionByName(lost[1]).groupBy(*KEY).agg(F.sum("n").alias("lost"))
-    return rest.join(lost, KEY, "left").select(*KEY, (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))
+    return _summed(lost), stored.filter("fell = 'none'").drop("fell")
 
 
-def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    users = dropped.filter("side = 'user'").select("category", F.col("key").alias("user"))
-    items = dropped.filter("side = 'item'").select("category", F.col("key").alias("item"))
-    kept = rows.join(users, USER, "left_anti").join(items, ITEM, "left_anti")
+def _without(rows: DataFrame, fallen: dict[str, DataFrame]) -> DataFrame:
+    """Users go last: what follows is mostly a grouping by user, which then needs no shuffle of its own."""
+    kept = rows
+    for side in reversed(SIDES):
+        if side in fallen:
+            kept = kept.join(fallen[side].select("category", F.col("key").alias(side)), ["category", side], "left_anti")
     return kept.select(*rows.columns)
 
 
-def sequences(interactions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds ``pos``: 1-based place of the interaction in its user's time order, input order on ties."""
-    return positions(interactions, USER, ["ts", "seq"], "pos", hot_rows)
+def sequences(interactions: DataFrame, hot_rows: int = HOT_ROWS, within: DataFrame | None = None) -> DataFrame:
+    """Adds ``pos``: 1-based place of the interaction in its user's time order, input order on ties.
+
+    ``within`` may name a stored table that holds all of ``interactions``, which then need not be stored.
+    """
+    return positions(interactions, USER, ["ts", "seq"], "pos", hot_rows, within)
 
 
 def chunked(

@@ -20,6 +20,7 @@ HOT_ROWS = 1_000_000
 BUCKET_ROWS = 20_000
 # So many digits make at most 256 buckets a group, which one task sums.
 FLAT_DIGITS = 2
+SLOTS = 4096
 
 
 def hash_rank(
@@ -84,16 +85,19 @@ def positions(
     order: list[str],
     name: str = "pos",
     hot_rows: int = HOT_ROWS,
+    within: DataFrame | None = None,
 ) -> DataFrame:
     """1-based position inside ``group`` by ``order``, which must be unique inside a group.
 
     Groups up to ``hot_rows`` rows are numbered by a plain window. Larger ones are range
     partitioned on (group, order) and numbered piece by piece. ``df`` is read up to three times,
-    so pass a stored table, whose row count is known without reading it.
+    so pass a stored table, whose row count is known without reading it, or name one ``within`` which all
+    rows of ``df`` lie: if no group of that one is large, ``df`` is read once.
     """
     local = F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("bigint")
-    if df.count() <= hot_rows:
+    if _surely_small(df if within is None else within, group, hot_rows):
         return df.withColumn(name, local)
+    df = df if within is None else store(df, "placed")
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.filter(F.col("_n") > hot_rows).drop("_n")
     if hot.isEmpty():
@@ -104,6 +108,14 @@ def positions(
     return cold_rows.unionByName(_range_positions(hot_rows_df, group, order, name))
 
 
+def _surely_small(df: DataFrame, group: list[str], hot_rows: int) -> bool:
+    """Whether no group can have over ``hot_rows`` rows, from counts that many groups share and few rows shuffle."""
+    if df.count() <= hot_rows:
+        return True
+    slots = df.groupBy(F.pmod(F.xxhash64(*group), F.lit(SLOTS)).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    return slots.agg(F.max("_n")).first()[0] <= hot_rows
+
+
 def _range_positions(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     placed = store(
         df.repartitionByRange(*group, *order).withColumn("_pid", F.spark_partition_id()),

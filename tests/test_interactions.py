@@ -56,6 +56,50 @@ def test_kcore_in_buckets(spark, seed, cores):
     assert sorted(tuple(r) for r in got.collect()) == sorted(plain_kcore(rows, *cores))
 
 
+@pytest.mark.parametrize("cores", [(5, 5), (40, 90), (1, 1)])
+def test_few_rounds_put_no_edges_into_buckets(spark, monkeypatch, cores):
+    def refused(*args):
+        raise AssertionError("edges stored twice")
+
+    rows = [("c", f"u{i % 20}", f"i{i % 7}", 0, i) for i in range(200)] + [("c", "once", "i0", 0, 300)]
+    monkeypatch.setattr(it, "_bucketed", refused)
+    got = it.kcore(spark.createDataFrame(rows, SCHEMA), *cores, bucket_keys=1)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(plain_kcore(rows, *cores))
+
+
+def test_many_rounds_in_buckets(spark):
+    # A chain from whose end one link falls in a round.
+    rows = [("c", f"u{i + d}", f"i{i}", 0, 2 * i + d) for i in range(6) for d in (0, 1)]
+    got = it.kcore(spark.createDataFrame([*rows, *[("c", f"k{i % 3}", f"j{i // 3}", 0, 50 + i) for i in range(9)]], SCHEMA), 2, 2, bucket_keys=2)
+    assert sorted(r.seq for r in got.collect()) == list(range(50, 59))
+
+
+def test_nulls_equal_no_fallen_key(spark):
+    rows = [("c", "u", "i", 0, 0), ("c", None, "i", 0, 1), ("c", "u", None, 0, 2), ("c", None, None, 0, 3), (None, "u", "i", 0, 4)]
+    got = it.kcore(spark.createDataFrame(rows, SCHEMA), 9, 9)
+    assert sorted(r.seq for r in got.collect()) == [3, 4]
+
+
+def test_a_part_of_a_known_table_is_numbered_in_one_pass(spark, monkeypatch):
+    frame = spark.createDataFrame(random_rows(7), SCHEMA)
+    part = frame.filter("seq % 3 > 0")
+    want = {(r.seq, r.pos) for r in it.sequences(part, hot_rows=10).collect()}
+    for limit in (10, 800):  # with groups above and below the limit
+        assert {(r.seq, r.pos) for r in it.sequences(part, limit, within=frame).collect()} == want
+    plan = it.sequences(part, 800, within=frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_user_ids_are_joined_once(spark):
+    sequenced = it.sequences(spark.createDataFrame(random_rows(8), SCHEMA)).select("category", "user", "item", "pos")
+    users = ids.user_ids(sequenced)
+    named = ids.with_user_ids(sequenced, users)
+    items = ids.item_ids(sequenced, users)
+    assert sorted(ids.item_ids(named, users).collect()) == sorted(items.collect())
+    assert sorted(ids.encode(named, users, items).collect()) == sorted(ids.encode(sequenced, users, items).collect())
+    assert ids.with_user_ids(named, users) is named
+
+
 def test_a_round_reads_the_buckets_of_fallen_keys_only(spark):
     rows = spark.createDataFrame(random_rows(6), SCHEMA)
     edges = it._bucketed(rows.groupBy("category", "user", "item").agg(F.count(F.lit(1)).alias("n")), 16)
