@@ -145,15 +145,21 @@ def event_sequences(spark, sf):
 # --- ids ------------------------------------------------------------------------------------
 
 
-def numbered(rows: DataFrame):
-    """(sequenced, users, items, encoded) of an interaction frame."""
-    placed = it.sequences(store(rows, "interactions"))
+def numbered(rows: DataFrame, within: DataFrame | None = None):
+    """(sequenced, users, items, encoded) of an interaction frame, which is part of the stored one named ``within``."""
+    placed = it.sequences(store(rows, "interactions") if within is None else rows, within=within)
     sequenced = store(placed.select("category", "user", "item", "pos"), "sequenced")
     users = store(idm.user_ids(sequenced), "user-ids")
+    sequenced = store(idm.with_user_ids(sequenced, users), "sequenced")
     items = store(idm.item_ids(sequenced, users), "item-ids")
     return sequenced, users, items, idm.encode(sequenced, users, items)
 
 
+def numbered_core(spark: SparkSession, sf: str):
+    rows = store(inp.interactions(spark, sf), "interactions")
+    return numbered(it.kcore(rows), rows)
+
+
 @query
 def user_ids(spark, sf):
     return idm.user_ids(inp.interactions(spark, sf))
@@ -242,7 +248,7 @@ def attribute_stats(spark, sf):
 
 
 def encoded_core(spark: SparkSession, sf: str) -> DataFrame:
-    return store(numbered(core(spark, sf))[3], "encoded")
+    return store(numbered_core(spark, sf)[3], "encoded")
 
 
 def encoded_clicks(spark: SparkSession, sf: str) -> DataFrame:
@@ -730,7 +736,7 @@ def text_inputs(spark, sf):
 
 def written_artifacts(spark: SparkSession, sf: str, *wanted: str):
     """(folder, categories) with the wanted artifacts of the k-core interactions."""
-    sequenced, users, items, encoded = numbered(core(spark, sf))
+    sequenced, users, items, encoded = numbered_core(spark, sf)
     encoded = store(encoded, "encoded")
     root = new_path(spark, "artifacts")
     if art.SEQUENCES in wanted:

@@ -53,10 +53,10 @@ def preprocess(
 ) -> Preprocessed:
     """All categories in one run. Frames used more than once are written and scanned again."""
     interactions = store(interactions, "interactions")
-    core = store(it.kcore(interactions, user_core, item_core), "core")
-    placed = it.sequences(core).select("category", "user", "item", "pos")
-    sequenced = store(placed, "sequenced")
-    users = store(ids.user_ids(sequenced, seed), "user-ids")
+    placed = it.sequences(it.kcore(interactions, user_core, item_core), within=interactions)
+    core = store(placed.select("category", "user", "item", "pos"), "sequenced")
+    users = store(ids.user_ids(core, seed), "user-ids")
+    sequenced = store(ids.with_user_ids(core, users), "sequenced")
     items = store(ids.item_ids(sequenced, users), "item-ids")
     encoded = store(ids.encode(sequenced, users, items), "encoded")
     known = store(latest(metadata, items), "latest")
