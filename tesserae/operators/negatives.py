@@ -225,19 +225,23 @@ def unseen_only(candidates: DataFrame, encoded: DataFrame) -> DataFrame:
     return candidates.join(encoded.select(*PAIR).distinct().hint("merge"), PAIR, "left_anti")
 
 
-def sequence_records(sequences: DataFrame, negatives: DataFrame) -> DataFrame:
+def sequence_records(sequences: DataFrame, negatives: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     """``item_ids`` and ``neg_items`` of every user with a sequence; users without negatives get none.
 
     Both sides are chunked frames (``category, user_id, chunk_no, ...``). A chunk that only one
     side has keeps what it holds beside an empty list, so a user may have more items or more
     negatives than the other list has chunks for. ``whole_records`` joins the chunks of a user.
+    ``sides`` may hold one row per user with a sequence, whose columns are added; joining it also leaves
+    out the users without one, so lists are shuffled once less.
     """
-    known = negatives.join(sequences.select(*USER_ID).distinct(), USER_ID, "left_semi")
+    known = negatives
+    if sides is None:
+        known = negatives.join(sequences.select(*USER_ID).distinct(), USER_ID, "left_semi")
     joined = sequences.join(known, [*USER_ID, "chunk_no"], "full")
     for side, name in ((sequences, "item_ids"), (negatives, "neg_items")):
         none = F.array().cast(side.schema[name].dataType)
         joined = joined.withColumn(name, F.coalesce(name, none))
-    return joined
+    return joined if sides is None else joined.join(sides, USER_ID)
 
 
 def whole_records(records: DataFrame) -> DataFrame:

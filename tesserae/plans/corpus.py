@@ -116,7 +116,7 @@ def split_sequences(sequences: DataFrame, negatives: DataFrame | None, settings:
         negatives = sequences.sparkSession.createDataFrame([], NO_NEGATIVES)
     user = ["category", "user_id"]
     sides = settings.split(sequences.select(*user).distinct(), user, eval_size=sequence_eval_size)
-    return sequence_records(sequences, negatives).join(sides, user)
+    return sequence_records(sequences, negatives, sides)
 
 
 def item_corpus(spark: SparkSession, config: Mapping | Settings) -> DataFrame:

@@ -7,7 +7,7 @@ Two layouts are understood: one file (or folder of parts) per category and artif
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import strip
@@ -42,13 +42,14 @@ def artifact_lines(
 
 def token_lists(lines: DataFrame, id_name: str, list_name: str) -> DataFrame:
     """``"<id> <token> ..."`` lines as rows; lines without a token drop, the last line of an id wins."""
-    parts = F.split(strip("value"), " ", -1)
-    split = lines.withColumn("_parts", parts).filter(F.size("_parts") >= 2)
-    rest: Column = F.slice("_parts", F.lit(2), F.size("_parts") - 1)
-    return (
-        split.groupBy("category", "chunk_no", F.get("_parts", F.lit(0)).alias(id_name))
-        .agg(F.max_by(rest, "seq").alias(list_name))
-        .select("category", id_name, "chunk_no", list_name)
+    split = lines.withColumn("value", strip("value")).filter(F.contains("value", F.lit(" ")))
+    last = split.groupBy("category", "chunk_no", F.substring_index("value", " ", 1).alias(id_name)).agg(
+        F.max_by("value", "seq").alias("_line")
+    )
+    # Lines are cut after they were shuffled: an array takes many times the bytes of its text.
+    tokens = F.split("_line", " ", -1)
+    return last.select(
+        "category", id_name, "chunk_no", F.slice(tokens, F.lit(2), F.size(tokens) - 1).alias(list_name)
     )
 
 

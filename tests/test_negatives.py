@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import negatives as ng
+from tesserae.sources.artifacts import token_lists
 
 SCHEMA = "category string, user_id bigint, pos bigint, item_id bigint"
 
@@ -129,3 +130,22 @@ def test_seen_pairs_are_not_broadcast(spark):
     rest = ng.unseen_only(candidates, frame)
     assert sorted(tuple(r) for r in rest.collect()) == [("a", 1, 3), ("b", 2, 2)]
     assert "Broadcast" not in rest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_with_sides_shuffle_lists_once(spark):
+    sequences = spark.createDataFrame([("c", u, n, [f"{u}{n}"]) for u in "ab" for n in (0, 1)], "category string, user_id string, chunk_no bigint, item_ids array<string>")
+    negatives = spark.createDataFrame([("c", "a", 0, ["x"]), ("c", "b", 5, ["y"]), ("c", "none", 0, ["z"])], "category string, user_id string, chunk_no bigint, neg_items array<string>")
+    sides = spark.createDataFrame([("c", "a", "train"), ("c", "b", "eval")], "category string, user_id string, split string")
+    got = ng.sequence_records(sequences, negatives, sides)
+    want = ng.sequence_records(sequences, negatives).join(sides, ["category", "user_id"])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 5
+    assert "LeftSemi" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_are_cut_after_their_lines_met(spark):
+    rows = [("c", 0, 1, " u1 a b "), ("c", 0, 2, "u1 a  c"), ("c", 1, 1, "u1 d"), ("c", 0, 3, "u2"), ("c", 0, 4, None), ("c", 0, 5, "")]
+    lists = token_lists(spark.createDataFrame(rows, "category string, chunk_no bigint, seq bigint, value string"), "user_id", "ids")
+    assert sorted(tuple(r) for r in lists.collect()) == [("c", "u1", 0, ["a", "", "c"]), ("c", "u1", 1, ["d"])]
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("split(") < plan.index("Aggregate")  # plans are printed from the last step to the first
+    assert "split(" not in plan[plan.index("Aggregate"):]
