@@ -21,7 +21,7 @@ from tesserae.workspace import store
 SLICE_BYTES = 64 * 1024 * 1024
 POINT_BLOCK, CODE_BLOCK = 1024, 4096
 PIVOTS, POINT_ROWS = 1024, 50_000
-BOOK = "level int, code int, centroid array<double>"
+BOOK = {"level": pa.int32(), "code": pa.int32(), "centroid": pa.list_(pa.float64())}
 _NEAR = 1e-9
 
 
@@ -107,12 +107,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _lists(matrix: np.ndarray) -> pa.Array:
+def _lists(matrix: np.ndarray, kind: pa.DataType, missing: np.ndarray | None = None) -> pa.Array:
     offsets = np.arange(len(matrix) + 1, dtype="int32") * (matrix.shape[1] if len(matrix) else 0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel(), pa.float64()))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel(), kind, mask=missing))
 
 
-_CHOICE = "code int, distance double, chosen array<double>"
+def _known(rest: pa.Array, width: int) -> np.ndarray:
+    """The places of the vectors that are not null; all of these must be ``width`` long."""
+    sizes = np.nan_to_num(pc.list_value_length(rest).to_numpy(zero_copy_only=False).astype(float), nan=-1)
+    if np.any((sizes >= 0) & (sizes != width)):
+        raise ValueError(f"a vector has another length than the centroids, {width}")
+    return np.flatnonzero(sizes >= 0)
+
+
+def _placed(found: pa.StructArray, known: np.ndarray, rows: int) -> pa.Array:
+    """``found`` at the places ``known``, null elsewhere."""
+    if len(known) == rows:
+        return found
+    place = np.full(rows, -1)
+    place[known] = np.arange(len(known))
+    return found.take(pa.array(place, mask=place < 0))
+
+
+_CHOICE = "code int, distance double"
 
 
 def _choose(spark, codes: list[int], centroids: np.ndarray):
@@ -121,23 +138,49 @@ def _choose(spark, codes: list[int], centroids: np.ndarray):
     @F.arrow_udf(_CHOICE)
     def choose(rest: pa.Array) -> pa.Array:
         ids, matrix = shared.value
-        width = matrix.shape[1]
-        sizes = np.nan_to_num(pc.list_value_length(rest).to_numpy(zero_copy_only=False).astype(float), nan=-1)
-        if np.any((sizes >= 0) & (sizes != width)):
-            raise ValueError(f"a vector has another length than the centroids, {width}")
-        known = np.flatnonzero(sizes >= 0)
+        known = _known(rest, matrix.shape[1])
         index, distance = nearest(_matrix(rest.take(pa.array(known))), matrix) if len(known) else (known, np.zeros(0))
         found = pa.StructArray.from_arrays(
-            [pa.array(ids[index], pa.int32()), pa.array(distance, pa.float64()), _lists(matrix[index])],
-            names=["code", "distance", "chosen"],
+            [pa.array(ids[index], pa.int32()), pa.array(distance, pa.float64())], names=["code", "distance"]
         )
-        place = np.full(len(rest), -1)
-        place[known] = np.arange(len(known))
-        return found.take(pa.array(place, mask=place < 0))
+        return _placed(found, known, len(rest))
 
     return choose
 
 
+_CHOICES = "codes array<int>, rest array<double>"
+
+
+def _choose_levels(spark, books: list[tuple[list[int], np.ndarray]]):
+    """The nearest centroids of consecutive levels and what is left after them.
+
+    All levels are chosen in one Python worker. The function counts as non-deterministic, since Spark
+    copies others into filters that it infers, and each copy would be one more worker for each task.
+    """
+    shared = spark.sparkContext.broadcast([(np.array(codes, dtype="int32"), matrix) for codes, matrix in books])
+
+    @F.arrow_udf(_CHOICES)
+    def choose(rest: pa.Array) -> pa.Array:
+        for _, matrix in shared.value:
+            known = _known(rest, matrix.shape[1])
+        own = rest if len(known) == len(rest) else rest.take(pa.array(known))
+        missing = own.flatten().is_null().to_numpy(zero_copy_only=False)
+        left = _matrix(own) if len(known) else np.zeros((0, 0))
+        chosen = np.zeros((len(known), len(shared.value)), "int32")
+        for level, (ids, matrix) in enumerate(shared.value if len(known) else []):
+            index, _ = nearest(left, matrix)
+            chosen[:, level] = ids[index]
+            for row in range(0, len(left), POINT_BLOCK):
+                left[row : row + POINT_BLOCK] -= matrix[index[row : row + POINT_BLOCK]]
+        found = pa.StructArray.from_arrays(
+            [_lists(chosen, pa.int32()), _lists(left, pa.float64(), missing)], names=["codes", "rest"]
+        )
+        del own, left
+        return _placed(found, known, len(rest))
+
+    return choose.asNondeterministic()
+
+
 def residual_codes(
     vectors: DataFrame, codebook: DataFrame, levels: int, vector: str = "embedding",
     slice_bytes: int = SLICE_BYTES,
@@ -148,30 +191,39 @@ def residual_codes(
     near centroids the one with the lowest code is taken.
 
     A level of at most ``slice_bytes`` is sent to the executors, and the choice is a map over the
-    rows. A larger one stays a table: see ``far_choice``.
+    rows, one for as many consecutive levels as have that size together. A larger one stays a
+    table: see ``far_choice``. Filter rows before: Spark moves no later filter below the map.
     """
+    spark = vectors.sparkSession
     state = vectors.withColumn(
         "residual", F.transform(F.col(vector), lambda x: x.cast("double"))
     ).withColumn("ids", F.array().cast("array<int>"))
+    sent = []  # levels that are still to be added to the state
+
+    def chosen(state: DataFrame, codes, rest) -> DataFrame:
+        ids = F.when(F.col("_best").isNotNull(), F.concat("ids", codes))
+        return state.select(*vectors.columns, rest.alias("residual"), ids.alias("ids"))
+
+    def with_sent(state: DataFrame) -> DataFrame:
+        state = state.withColumn("_best", _choose_levels(spark, sent)(F.col("residual")))
+        return chosen(state, F.col("_best.codes"), F.col("_best.rest"))
+
     for level in range(levels):
         book = codebook.filter(F.col("level") == level).select("code", "centroid")
         codes, width = book.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
         if not codes:
             raise ValueError(f"the codebook has no level {level}")
-        if 8 * width * codes <= slice_bytes:
+        size = 8 * width * codes
+        if sent and sum(matrix.nbytes for _, matrix in sent) + size > slice_bytes:
+            state, sent = with_sent(state), []
+        if size <= slice_bytes:
             found = book.orderBy("code").collect()
-            matrix = np.array([r["centroid"] for r in found], dtype="float64")
-            choice = _choose(vectors.sparkSession, [r["code"] for r in found], matrix)
-            state = state.withColumn("_best", choice(F.col("residual")))
+            sent.append(([r["code"] for r in found], np.array([r["centroid"] for r in found], dtype="float64")))
         else:
             block = min(CODE_BLOCK, max(1, slice_bytes // (8 * width)))
             state = far_choice(state, store(book, "level"), codes, block)
-        state = state.select(
-            *vectors.columns,
-            F.zip_with("residual", "_best.chosen", lambda r, c: r - c).alias("residual"),
-            F.when(F.col("_best").isNotNull(), F.concat("ids", F.array("_best.code"))).alias("ids"),
-        )
-    return state
+            state = chosen(state, F.array("_best.code"), F.zip_with("residual", "_best.chosen", lambda r, c: r - c))
+    return with_sent(state) if sent else state
 
 
 def far_choice(state: DataFrame, book: DataFrame, codes: int, block: int, point_rows: int = POINT_ROWS) -> DataFrame:
@@ -201,9 +253,9 @@ def far_choice(state: DataFrame, book: DataFrame, codes: int, block: int, point_
     )
     reached = store(reached, "reachable-groups")
     counts = {r["group"]: r["count"] for r in reached.groupBy("group").count().collect()}
-    plan = spark.createDataFrame(
-        [(g, blocks, -(-counts.get(g, 0) // point_rows)) for g, (blocks, *_) in groups.items()],
-        "group int, blocks long, salts long",
+    plan = _local(
+        spark, [(g, blocks, -(-counts.get(g, 0) // point_rows)) for g, (blocks, *_) in groups.items()],
+        group=pa.int32(), blocks=pa.int64(), salts=pa.int64(),
     )
     # A row per group, so the plan is as small as the pivots.
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -283,11 +335,17 @@ def fit_codebook(
         if level + 1 < levels:
             coded = residual_codes(rest, _one_level(spark, found), 1, "v")
             rest = store(coded.select(F.col("residual").alias("v")), "rest")
-    return spark.createDataFrame(centers, BOOK)
+    return _local(spark, centers, **BOOK)
 
 
 def _one_level(spark, centers: dict[int, list[float]]) -> DataFrame:
-    return spark.createDataFrame([(0, i, c) for i, c in sorted(centers.items())], BOOK)
+    return _local(spark, [(0, i, c) for i, c in sorted(centers.items())], **BOOK)
+
+
+def _local(spark, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A small table of the driver's; as an Arrow table, since lists pass through Python workers on the executors."""
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds)))
 
 
 def cell_loads(points: DataFrame, centers: dict[int, list[float]], vector: str = "v") -> DataFrame:

@@ -99,6 +99,43 @@ def test_null_vectors_and_gaps_between_codes(spark):
         qz.residual_codes(short, gaps, 1).collect()
 
 
+def python_steps(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [")
+
+
+@pytest.mark.parametrize("slice_bytes, maps", [(3 * 8 * 6 * 8, 1), (2 * 8 * 6 * 8, 2), (8 * 6 * 8, 3)])
+def test_levels_share_a_python_worker(spark, slice_bytes, maps):
+    """Also below an explode of the codes, for which Spark infers a filter on them."""
+    points, frame = vectors(spark)
+    centroids = book(3, 8, 6)
+    coded = qz.residual_codes(frame, book_frame(spark, centroids), 3, slice_bytes=slice_bytes)
+    assert python_steps(coded.select(F.posexplode("ids")).groupBy("pos").count()) == maps
+    expected, rest = plain_codes(points, centroids)
+    got = {r.id: r for r in coded.collect()}
+    assert [got[i].ids for i in range(len(points))] == expected
+    assert [got[i].residual for i in range(len(points))] == rest.tolist()
+
+
+def test_centroids_of_the_driver_pass_through_no_python_worker(spark):
+    _, frame = vectors(spark, 40)
+    for book_rows in (qz._one_level(spark, {3: [1.0, None], 1: [0.5, 2.0]}), qz.fit_codebook(frame, 2, 3, max_iter=1)):
+        assert "LocalTableScan" in book_rows._jdf.queryExecution().executedPlan().toString()
+        assert book_rows.dtypes == [("level", "int"), ("code", "int"), ("centroid", "array<double>")]
+    got = qz._one_level(spark, {3: [1.0, None], 1: [0.5, 2.0]}).collect()
+    assert [tuple(r) for r in got] == [(0, 1, [0.5, 2.0]), (0, 3, [1.0, None])]
+    assert qz._one_level(spark, {}).collect() == []
+
+
+def test_null_and_nan_components_stay(spark):
+    rows = [(0, [1.0, None]), (1, None), (2, [4.0, 4.0]), (3, [4.0, float("nan")])]
+    frame = spark.createDataFrame(rows, "id int, embedding array<float>").repartition(1)
+    codebook = spark.createDataFrame([(0, 0, [1.0, 1.0]), (0, 1, [4.0, 3.0]), (1, 0, [0.5, 0.5])], BOOK)
+    got = {r.id: (r.ids, str(r.residual)) for r in qz.residual_codes(frame, codebook, 2).collect()}
+    assert got == {
+        0: ([0, 0], "[-0.5, None]"), 1: (None, "None"), 2: ([1, 0], "[-0.5, 0.5]"), 3: ([0, 0], "[2.5, nan]")
+    }
+
+
 def test_blocks_of_points_and_codes(monkeypatch):
     rng = np.random.default_rng(0)
     points, centroids = rng.normal(size=(50, 4)), rng.normal(size=(30, 4))
