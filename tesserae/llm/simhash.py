@@ -9,7 +9,8 @@ Hamming ball around its own, and whole distances are verified.
 
 Copies collapse before the search: it runs over distinct fingerprints. Segment values with more
 than ``hot_bucket`` fingerprints are linked through shared ball points instead of pairs, which
-takes rows in proportion to the fingerprints and connects exactly the same groups.
+takes rows in proportion to the fingerprints and connects exactly the same groups. Probes and ball
+points are some dozens of rows per fingerprint; they are joined by merging, never sent whole.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and link
 like all others; repeated rows return repeatedly; a null id is kept, and a class in which every id
@@ -111,9 +112,11 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = 2, hot_buc
         "fp", "s", F.col("v").bitwiseXOR(F.col("m")).alias("v"), F.bit_count("m").alias("e")
     )
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    cool = table.join(hot, ["s", "v"], "left_anti").withColumnRenamed("fp", "b")
+    # Spark sizes exploded rows as the table below the explode and would send them whole, so they are merged.
     pairs = (
         probes.withColumnRenamed("fp", "a")
-        .join(table.join(hot, ["s", "v"], "left_anti").withColumnRenamed("fp", "b"), ["s", "v"])
+        .join(cool.hint("merge"), ["s", "v"])
         .filter((apart <= max_bits) & ((F.col("e") > 0) | (F.col("a") < F.col("b"))))
         .select("a", "b")
     )
@@ -149,7 +152,7 @@ def through_points(probes, table, hot, max_bits: int, segments: int, radius: int
     reached = members
     for e in range(radius + 1):
         reached = reached.unionByName(points(into_hot.filter(F.col("e") == e).drop("e"), max_bits - half - e))
-    found = reached.join(anchors, ["s", "v", "z"]).filter(F.col("fp") != F.col("b"))
+    found = reached.join(anchors.hint("merge"), ["s", "v", "z"]).filter(F.col("fp") != F.col("b"))
     return found.select(F.col("fp").alias("a"), "b").distinct()
 
 

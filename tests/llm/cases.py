@@ -1,6 +1,7 @@
 """Rows that every operator must take: nulls, empty and long texts, ties, repeats, and odd columns."""
 
 import random
+import re
 
 
 def texts(seed=3, n=40):
@@ -35,3 +36,17 @@ def frame(spark, rows=None):
     found = spark.createDataFrame(texts() if rows is None else rows, SCHEMA)
     odd = "d k fp s v n h at kept words label score length bin item row"
     return found.selectExpr("*", *[f"'x' AS `{c}`" for c in odd.split()]).repartition(3)
+
+
+def sent(df):
+    """What lies below the broadcasts in the plan of ``df``, as one text for each broadcast."""
+    found, open_ = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = re.match(r"[ :+|-]*", line).end()
+        open_ = [(at, lines) for at, lines in open_ if at < depth]
+        for _, lines in open_:
+            lines.append(line)
+        if "BroadcastExchange" in line:
+            open_.append((depth, []))
+            found.append(open_[-1][1])
+    return ["\n".join(lines) for lines in found]

@@ -19,7 +19,8 @@ from tesserae.llm import divergence, factorization, packing, sentences, simhash
 from tesserae.llm.components import connect
 from tesserae.llm.substrings import COVERS, Repeats
 from tesserae.llm.words import Words, window_starts, windows
-from tests.llm.cases import SCHEMA, frame, texts
+from tesserae.workspace import store
+from tests.llm.cases import SCHEMA, frame, sent, texts
 
 WORD = r"[^\x20\x09-\x0D]+"
 BPE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -109,6 +110,16 @@ def test_links_connect_what_all_pairs_connect(spark, segments, hot):
         assert {tuple(sorted(p)) for p in found} == set(near)
 
 
+@pytest.mark.parametrize("hot", [64, 0])
+def test_links_send_no_exploded_rows(spark, hot):
+    """Spark sizes probes and ball points as the stored fingerprints; at a million of them they overflow the driver."""
+    nodes = store(spark.range(200).select(F.xxhash64("id").alias("fp")).union(spark.range(40).toDF("fp")))
+    found = simhash.links(nodes, hot_bucket=hot)
+    assert sent(found) and not [x for x in sent(found) if "Generate" in x]
+    found.collect()
+    assert not [x for x in sent(found) if "Generate" in x]
+
+
 def test_components_of_long_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(200, 260)]
     star = [(1000, 1000 + i) for i in range(1, 80)]
