@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tesserae.llm import divergence, factorization, packing
-from tests.llm.cases import texts
+from tesserae.llm import divergence, factorization, packing, simhash
+from tests.llm.cases import sent, texts
 from tests.llm.test_texts import BPE, classes, fingerprint, removed
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +68,19 @@ def test_one_document_of_each_class_stays(spark, steps):
         assert after.columns == before.columns
 
 
+def test_near_dedup_sends_no_exploded_rows(spark, monkeypatch):
+    plans = []
+
+    def watched(df, label="step"):
+        plans.extend(sent(df))
+        return corpus_pipeline.store(df, label)
+
+    monkeypatch.setattr(simhash, "store", watched)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plans.extend(sent(corpus_pipeline.near_dedup(spark, docs, SF)))
+    assert plans and not [x for x in plans if "Generate" in x]
+
+
 def test_passages_go(spark, steps):
     for before, after in (steps["substring_dedup"], (documents(spark), None)):
         after = corpus_pipeline.substring_dedup(spark, before, SF) if after is None else after
